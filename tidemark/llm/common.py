@@ -98,3 +98,32 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
 
 def rows_of(batch: pa.RecordBatch, *names: str):
     return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+
+
+def ngram_buckets(data: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hash buckets of the byte ``n``-grams of one text that hold white space at their ends only.
+
+    ``data``: the text's UTF-8 bytes with white space turned into single spaces.
+    """
+    size = len(data) - n + 1
+    if size <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint32)
+    h = np.full(size, n, np.uint32)
+    for i in range(n):
+        h *= np.uint32(0x01000193)
+        h ^= data[i : i + size]
+    h *= np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA77)
+    h >>= np.uint32(32 - bits)
+    inner = np.zeros(size, bool)
+    space = data == 32
+    for i in range(1, n - 1):
+        inner |= space[i : i + size]
+    at = np.flatnonzero(~inner)
+    return at, h[at]
+
+
+def by_hash(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """The ``rows`` rows whose doc_id has the smallest hashes: a bounded sample that doesn't depend on partitioning."""
+    return df.orderBy(F.xxhash64("doc_id", F.lit(73)), "doc_id").limit(rows).select(*columns)

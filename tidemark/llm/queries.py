@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import sentencepiece_codec
-from tidemark.llm.common import documents
+from tidemark.llm import language, minhash, sentencepiece_codec, toxicity
+from tidemark.llm.common import documents, labels
 
 
 def vocabulary() -> str:
@@ -20,6 +20,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(documents(spark, sf_dir), vocabulary())
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), size=4, percent=80)
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(documents(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
