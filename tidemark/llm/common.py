@@ -57,16 +57,17 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Memo(dict):
-    """A bounded memory of a function's values; forgets all when it holds ``most``."""
+    """A bounded memory of a function's values, in two generations of ``most``: what isn't used while one fills is let go."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 200_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self[key] = self.older[key] if key in self.older else self.make(key)
         return value
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import language, minhash, sentencepiece_codec, toxicity
+from tidemark.llm import language, lattice_lm, minhash, notices, pivot_search, sentencepiece_codec, toxicity
 from tidemark.llm.common import documents, labels
 
 
@@ -20,10 +21,23 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(documents(spark, sf_dir), vocabulary())
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = pivot_search.scaled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return pivot_search.top_k(vectors, F.col("id") % 100 == 0, k=10)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), size=4, percent=80)
 
 
+def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.lm_report(documents(spark, sf_dir), vocabulary())
+
+
+def op8_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.scanned(documents(spark, sf_dir))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(documents(spark, sf_dir))
 
@@ -36,5 +50,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP2_SQL = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+    from embeddings
+    where embedding is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+    select q.vec_id as query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::bigint as score
+    from v q join v x on q.vec_id <> x.vec_id and len(q.v) = len(x.v)
+    where q.vec_id % 100 = 0
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s qualify rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_topk": OP2_SQL}
