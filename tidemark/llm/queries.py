@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, lattice_lm, minhash, notices, pivot_search, sentencepiece_codec, toxicity
+from tidemark.llm import chat, decontaminate, language, lattice_lm, minhash, notices, pivot_search, sentencepiece_codec, toxicity, url_filters
 from tidemark.llm.common import documents, labels
 
 
@@ -26,10 +26,28 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.top_k(vectors, F.col("id") % 100 == 0, k=10)
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), size=4, percent=80)
 
 
+#: A conversation whose texts look like another template's control strings.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(TRICKY))
+    return chat.chat_report(rows.union(extra))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("hamming")
+
+
 def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.lm_report(documents(spark, sf_dir), vocabulary())
 
@@ -66,5 +84,83 @@ from s qualify rank <= 10
 """
 
 
+#: Brute force over all windows that share a shingle: no seeds, fingerprints or blocks.
+OP6_SQL = """
+with items as (
+    select item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from benchmark
+), i as (select item_id, w, len(w) as n_words, least(5, len(w)) as k from items where len(w) > 0
+), ish as (
+    select item_id, n_words, k, list_transform(range(1, n_words - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' ')) as sh from i
+), icount as (select item_id, s, count(*) as c from (select item_id, unnest(sh) as s from ish) group by all
+), d as (
+    select doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents
+), dsh as (
+    select doc_id, k, unnest(range(1, len(w) - k + 2)) as p, w from d, (select distinct k from ish) where len(w) >= k
+), hits as (
+    select distinct h.doc_id, h.p, i.item_id from (select doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') as s from dsh) h
+    join (select item_id, k, unnest(sh) as s from ish) i on h.s = i.s and h.k = i.k
+), starts as (
+    select distinct h.doc_id, h.item_id, i.n_words, i.k, greatest(1, least(h.p - o.o, len(d.w) - i.n_words + 1)) as b
+    from hits h join ish i using (item_id) join d using (doc_id), (select unnest(range(0, (select max(n_words) from i))) as o) o where o.o <= i.n_words - i.k
+), win as (
+    select s.doc_id, s.item_id, s.n_words, s.b, unnest(list_transform(range(s.b, s.b + least(s.n_words, len(d.w)) - s.k + 1), lambda p: array_to_string(d.w[p:p + s.k - 1], ' '))) as s
+    from starts s join d using (doc_id)
+), wcount as (select doc_id, item_id, n_words, b, s, count(*) as c from win group by all
+), sims as (
+    select w.doc_id, w.item_id, w.n_words, w.b, sum(least(w.c, coalesce(i.c, 0))) as common, sum(w.c) as n
+    from wcount w left join icount i on w.item_id = i.item_id and w.s = i.s group by all
+), sim as (select s.doc_id, s.item_id, s.n_words, s.b, s.common / (s.n + len(i.sh) - s.common) as similarity from sims s join ish i using (item_id)
+)
+select doc_id, item_id, (b - 1)::int as start_word, n_words::int as n_words, similarity from sim where similarity * 100 >= 80
+qualify row_number() over (partition by doc_id, item_id order by similarity desc, b) = 1
+"""
+
+
+OP3_SQL = """
+with p as (
+    select page_id, url, page_id % 365 + 19000 as fetch_day,
+      regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\\.$', '') as host,
+      regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) as path,
+      regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/+([^/?#]+)', 1) as step
+    from pages
+), hosts as (
+    select host from p where host <> '' union
+    select array_to_string(list_reverse(list_reverse(string_split(host, '.'))[1:2]), '.') from p where host <> ''
+), d as (
+    select 'd:' || host as key, ('0x' || substr(md5(host), 1, 7))::bigint as x from hosts
+), a as (
+    select key, ('0x' || substr(md5(key), 1, 7))::bigint as x
+    from (select distinct 'p:' || host || '/' || step as key from p where host <> '' and step <> '')
+), rules as (
+    select 'block' as list, key, 19000 + x % 200 as from_day, case when x % 2 = 0 then 19050 + x % 200 + x % 100 else 99999999 end as to_day from d where x % 3 = 0
+    union all select 'block', key, 19200 + x % 200 + x % 150, 99999999 from d where x % 12 = 0
+    union all select 'allow', key, 19000 + x % 250, 99999999 from a where x % 5 = 0
+), met as (
+    select p.page_id, r.list, r.key from p join rules r on r.from_day <= p.fetch_day and p.fetch_day < r.to_day and p.host <> ''
+      and (('d:' || p.host) = r.key or (r.key[1:2] = 'd:' and ends_with(p.host, '.' || r.key[3:]))
+        or (r.key[1:2] = 'p:' and starts_with(regexp_replace('p:' || p.host || p.path || '/', '/+', '/', 'g'), r.key || '/')))
+), best as (
+    select * from met qualify row_number() over (partition by page_id order by length(key) desc, list, key desc) = 1
+)
+select p.page_id, p.url, p.fetch_day, p.host, case when b.list = 'block' then 'blocked' else 'allowed' end as verdict, b.list, b.key as rule
+from p left join best b using (page_id)
+"""
+
+_ESC = "regexp_replace(regexp_replace(regexp_replace({}, '&(amp|lt|lsqb|lf);', '&amp;\\1;', 'g'), '<(\\|im_start\\|>|\\|im_end\\|>|/?s>)', '&lt;\\1', 'g'), '\\[(/?INST\\])', '&lsqb;\\1', 'g')"
+
+OP5_SQL = f"""
+with r as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '{TRICKY}' union all select -7, 1, 'assistant', '{TRICKY}'
+)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(12 + length(replace({_ESC.format("role")}, chr(10), '&lf;')) + 1 + length({_ESC.format("text")}) + 11)::bigint as formatted_chars
+from r group by conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL}
+    return {"op2_topk": OP2_SQL, "op3_url_filters": OP3_SQL, "op5_chat": OP5_SQL, "op6_decontaminate": OP6_SQL}
