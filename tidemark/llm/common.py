@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +72,26 @@ class Memo(dict):
         return value
 
 
+class Recent:
+    """A memory of two generations for keys that are looked up in bulk."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.older = most, {}, {}
+
+    def turn(self) -> None:
+        if len(self.now) > self.most:
+            self.older, self.now = self.now, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of the keys that have no value; values of the older generation are carried over."""
+        keys = keys - self.now.keys()
+        kept = keys & self.older.keys()
+        self.now.update((k, self.older[k]) for k in kept)
+        return keys - kept
+
+
 #: Kept between the tasks of one Python worker.
-_word_hash = Memo(xxhash.xxh3_64_intdigest)
+_word_hash = Memo(xxhash.xxh3_64_intdigest, 50_000)
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -97,8 +116,11 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def rows_of(batch: pa.RecordBatch, *names: str):
-    return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def ngram_buckets(data: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:

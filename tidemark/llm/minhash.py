@@ -4,11 +4,15 @@
    for it from here on, so groups of exact copies cost nothing more.
 2. One permutation: the hash space is cut into bins and each bin keeps its smallest hash; an empty bin takes the
    value of a bin chosen by a hash of (bin, attempt). ``bands`` bands of ``rows`` bins make the buckets.
-3. Star: in each bucket of several classes every member is paired with the smallest one only, so pairs grow as
-   members do. Links are confirmed on full sets; components come from hash-to-min label spreading.
-4. What the stars can't show is done exactly: where a bucket still holds members of several components, those outside
-   its largest component are paired with the members of other components (same length bound, signatures that
-   may reach the threshold), confirmed and joined. So no link between bucket mates of different components is lost.
+3. Star: in each bucket every member is paired with one center only, the member that shares most buckets, so pairs
+   grow as members do. Full sets are compared: a pair's common shingles, and what the member has beside the center's.
+   Confirmed pairs are links; components come from min-label spreading.
+4. Pairs the stars can't show are few and found exactly. Let x and y be mates of a center c in different components.
+   Shingles they share are shared with c too, at most min(|x & c|, |y & c|), or lie outside c. So a link needs enough
+   outside shingles in common, which a join on (center, shingle) counts, or sets so small that the first term reaches
+   the threshold alone, which a join on (center, set size) lists. Shingles that meet one component only don't count,
+   and members that can't reach the threshold with those left are put aside first. What passes is confirmed on full
+   sets. So no link between bucket mates of different components is lost, whatever the size of a bucket.
 
 Cases: null and empty texts have no shingles and link with nothing; a text with fewer words than a shingle is one
 shingle; rows that repeat a doc_id each get a result, and all are kept if one stands for its group; a null doc_id
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, mix, shingles, small, words_of, written
+from tidemark.llm.common import Memo, mix, shingles, slices, small, words_of, written
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -57,11 +61,11 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n, key, bands, sig``: set size, set digest, bucket keys, and each bin's low byte."""
+    """``doc_id, n, key, bands``: set size, set digest and bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, key, band, sig = [], [], [], []
+        for batch in slices(batches):
+            n, key, band = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(words_of(text), size)
                 n.append(len(s))
@@ -69,35 +73,64 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     salt = np.arange(1, len(s) + 1, dtype=np.uint64)
                     a, b = mix(s + salt).sum(dtype=np.uint64), mix(s ^ mix(salt)).sum(dtype=np.uint64)
                     key.append(int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big"))
-                    x = densified(s, bands * rows)
-                    band.append(band_keys(x, bands).view(np.int64))
-                    sig.append((x >> np.uint64(40)).astype(np.uint8).tobytes())
+                    band.append(band_keys(densified(s, bands * rows), bands).view(np.int64))
                 else:
                     key.append(None)
                     band.append(None)
-                    sig.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "n", "key", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "n", "key", "bands"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, key binary, bands array<bigint>, sig binary")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, key binary, bands array<bigint>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs (``a``, ``b``) whose full sets reach the threshold: 100 * intersection >= percent * union."""
+def measured(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Pairs ``a, b`` compared on full sets: ``n_a, n_b, common`` and the shingles ``outside``, in b but not in a."""
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Memo(lambda text: shingles(words_of(text), size), 64)
-        for batch in batches:
-            keep = []
+        for batch in slices(batches):
+            n_a, n_b, outside = [], [], []
             for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
                 u, v = sets[x], shingles(words_of(y), size)
-                common = len(u) + len(v) - len(np.union1d(u, v))
-                keep.append(100 * common >= percent * (len(u) + len(v) - common))
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
-
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+                n_a.append(len(u))
+                n_b.append(len(v))
+                outside.append(np.setdiff1d(v, u, assume_unique=True).view(np.int64))
+            common = [n - len(o) for n, o in zip(n_b, outside, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(common, pa.int64()), pa.array(outside, pa.list_(pa.int64()))], ["a", "b", "n_a", "n_b", "common", "outside"])
+
+    return both.mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint, outside array<bigint>").dropDuplicates(["a", "b"])
+
+
+def reaches(common: str, n_a: str, n_b: str, percent: int) -> Column:
+    """Whether so many common shingles of sets of these sizes reach the threshold."""
+    return F.expr(f"{100 + percent} * ({common}) >= {percent} * ({n_a} + {n_b})")
+
+
+def beyond_stars(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of mates of one center, in different components, that may reach the threshold (see 4 above)."""
+    rows = star.join(labels.withColumnRenamed("doc_id", "b"), "b", "left").withColumn("label", F.coalesce("component_id", "b"))
+    groups = rows.groupBy("a").agg(F.min("n_b").alias("n_min"), F.max("n_b").alias("n_max"), F.min("label").alias("l_min"), F.max("label").alias("l_max")).where("l_min <> l_max")
+    rows = written(rows.join(small(written(groups.select("a", "n_min", "n_max"), "groups")), "a").select("a", "b", "n_a", "n_b", "common", "outside", "label", "n_min", "n_max"), "mixed")
+
+    shares = rows.select("a", "b", "n_b", "common", "label", "n_min", F.explode("outside").alias("shingle"))
+    for _ in range(2):
+        meets = shares.groupBy("a", "shingle").agg(F.min("label").alias("l_min"), F.max("label").alias("l_max")).where("l_min <> l_max").select("a", "shingle")
+        shares = shares.join(meets, ["a", "shingle"], "left_semi")
+        left = shares.groupBy("a", "b").agg(F.any_value("n_b").alias("n_b"), F.any_value("common").alias("common"), F.any_value("n_min").alias("n_min"), F.count("*").alias("s"))
+        alive = left.where(reaches("common + s", "n_b", f"greatest(n_min, ceil({percent} * n_b / 100))", percent)).select("a", "b")
+        shares = written(shares.join(alive, ["a", "b"], "left_semi"), "shares")
+    x = shares.select("a", "shingle", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("common").alias("common_x"), F.col("label").alias("label_x"))
+    y = shares.select("a", "shingle", F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("common").alias("common_y"), F.col("label").alias("label_y"))
+    met = x.join(y, ["a", "shingle"]).where("x < y and label_x <> label_y").groupBy("a", "x", "y", "n_x", "n_y", "common_x", "common_y").agg(F.count("*").alias("k"))
+    by_shingles = met.where(reaches("least(common_x, common_y) + k", "n_x", "n_y", percent)).select("x", "y")
+
+    lo, hi = F.expr(f"greatest(n_min, ceil({percent} * n_b / 100))"), F.expr(f"least(n_max, floor({100 + percent} * common / {percent}) - n_b)")
+    apart = rows.where(~reaches("common", "n_a", "n_b", percent)).select("a", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("common").alias("common_x"), F.col("label").alias("label_x"), lo.alias("lo"), hi.alias("hi"))
+    apart = apart.where("lo <= hi").withColumn("n_y", F.explode(F.expr("sequence(cast(lo as bigint), cast(hi as bigint))")))
+    sized = rows.select("a", F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("common").alias("common_y"), F.col("label").alias("label_y"))
+    by_sizes = apart.join(sized, ["a", "n_y"]).where("label_x <> label_y").where(reaches("least(common_x, common_y)", "n_x", "n_y", percent)).select("x", "y")
+    return by_shingles.union(by_sizes).selectExpr("least(x, y) a", "greatest(x, y) b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -119,46 +152,27 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _may_reach(bins: int, percent: int) -> Column:
-    """False where a pair of large sets agrees in fewer bins than one at the threshold, less six standard deviations.
-
-    Small sets leave bins empty, so they pass. A bin's byte agrees at least as often as the bin itself."""
-    j = percent / 100
-    least = max(0, int(bins * (j - 6 * (j * (1 - j) / bins) ** 0.5)))
-    return F.expr(f"least(n_a, n_b) < {4 * bins} or size(filter(sequence(1, {bins}), i -> substring(sig_a, i, 1) = substring(sig_b, i, 1))) >= {least}")
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 36, rows: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``)."""
     source = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     table = written(signatures(source, size, bands, rows), "signatures")
     filled = table.where("n > 0")
-    reps = written(filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "bands", "sig"), "doc_id").alias("x")).select("key", "rep", "x.*"), "classes")
+    reps = written(filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "bands"), "doc_id").alias("x")).select("key", "rep", "x.*"), "classes")
 
     buckets = reps.select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "n"), F.struct("doc_id", "n")).alias("center"), F.count("*").alias("members")).where("members > 1")
-    mates = written(buckets.join(small(written(shared.select("bucket", "center"), "shared")), "bucket"), "mates")
-    ratio = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    star = mates.select(F.col("center.doc_id").alias("a"), F.col("center.n").alias("n_a"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"))
-    pairs = written(star.where("a <> b").where(ratio).select("a", "b").distinct(), "pairs")
-    wanted = small(written(mates.select("doc_id").distinct(), "wanted"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    mates = written(buckets.join(small(written(shared, "shared")), "bucket"), "mates")
+    central = mates.groupBy("doc_id").agg(F.sum("members").alias("shares"))
+    centers = mates.select("bucket", "doc_id").join(central, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("shares", -F.col("doc_id"))).alias("center"))
+    pairs = mates.join(centers, "bucket").where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
+    wanted = small(written(central.select("doc_id"), "wanted"))
     texts = source.join(wanted, "doc_id", "left_semi")
-    links = written(confirmed(pairs, texts, size, percent), "confirmed")
+    star = written(measured(written(pairs, "pairs"), texts, size), "star")
+    links = star.where(reaches("common", "n_a", "n_b", percent)).select("a", "b")
     labels = components(links)
-
-    known = mates.join(labels, "doc_id", "left").select("bucket", "doc_id", "n", F.col("center.doc_id").alias("center"), F.coalesce("component_id", "doc_id").alias("label"))
-    sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("n_label"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n_label").alias("members"), F.max_by("label", F.struct("n_label", "label")).alias("main")).where("labels > 1 and members > 2")
-    left = written(known.join(small(written(mixed.select("bucket", "main"), "mixed")), "bucket"), "left")
-    one = left.where("label <> main").select("bucket", "center", F.col("doc_id").alias("x"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    two = left.select("bucket", F.col("doc_id").alias("y"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    rest = one.join(two, "bucket").where("label_a <> label_b and x <> center and y <> center").where(ratio)
-    rest = rest.selectExpr("least(x, y) a", "greatest(x, y) b", "n_a", "n_b").dropDuplicates(["a", "b"])
-    sig = reps.select("rep", "sig").join(wanted.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")
-    rest = rest.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").where(_may_reach(bands * rows, percent))
-    rest = written(rest.select("a", "b"), "rest")
+    rest = written(beyond_stars(star, labels, percent), "rest")
     if not rest.isEmpty():
-        more = written(confirmed(rest, texts, size, percent), "confirmed")
+        more = written(measured(rest, texts, size).where(reaches("common", "n_a", "n_b", percent)).select("a", "b"), "more")
         if not more.isEmpty():
             labels = components(links.union(more))
 
