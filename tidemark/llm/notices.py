@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import Memo
+from tidemark.llm.common import Memo, slices
 
 # Phrases and the labels of the exact search.
 PHRASES = {
@@ -147,7 +147,7 @@ def scanned(docs: DataFrame, per: int = 12) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanners.setdefault(per, Scanner(per=per))
-        for batch in batches:
+        for batch in slices(batches):
             out = [report(t, scanner) for t in batch.column(1).to_pylist()]
             columns = [pa.array([r[i] for r in out], kind) for i, (_, kind) in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(n for n, _ in kinds)])

@@ -23,37 +23,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import Recent, slices
+
 MARK = "▁"
 #: Ends of words that are split off where no piece spans the cut.
 STOPS = ".,;:!?"
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
-class Recent:
-    """A memory of two generations: what isn't used while one fills is let go."""
-
-    def __init__(self, most: int):
-        self.most, self.now, self.older = most, {}, {}
-
-    def turn(self) -> None:
-        if len(self.now) > self.most:
-            self.older, self.now = self.now, {}
-
-    def missing(self, keys: set[str]) -> set[str]:
-        """Those of the keys that have no value; values of the older generation are carried over."""
-        keys = keys - self.now.keys()
-        kept = keys & self.older.keys()
-        self.now.update((k, self.older[k]) for k in kept)
-        return keys - kept
-
-
 class Codec:
     """One vocabulary: pieces with scores from the model file, the library for checks and for decoding."""
 
     #: Units of more characters are encoded one by one with a heap; the others in lockstep.
     LONG = 48
     #: Chunks and units remembered in a generation.
-    MOST = 250_000
+    MOST = 150_000
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -72,13 +56,17 @@ class Codec:
         self.pair_keys = np.array([x[0] for x in pairs], np.int64)
         self.pair_scores = np.array([x[1] for x in pairs])
         self.pair_merged = np.array([x[2] for x in pairs], np.int64)
-        self.symbol_of = np.arange(n, n + 0x110000, dtype=np.int64)
+        self.symbol_of = np.arange(n, n + 0x110000, dtype=np.int32)
         for p, (_, at) in self.pieces.items():
             if len(p) == 1:
                 self.symbol_of[ord(p)] = at
-        self.chunks, self.units, self.tails = Recent(self.MOST), Recent(self.MOST), {"": ()}
+        self.forget()
         self.corrected = 0
 
+    def forget(self) -> None:
+        """Let all memories go: at a task's end, as the worker may live on with other work."""
+        self.chunks, self.units, self.tails = Recent(self.MOST), Recent(self.MOST), {"": ()}
+
     def _symbol(self, char: str) -> int:
         """The id of a one-character piece; numbers from ``n`` on stand for characters without one."""
         return self.pieces[char][1] if char in self.pieces else self.n + ord(char)
@@ -128,7 +116,7 @@ class Codec:
         out: list = [None] * len(units)
         width = max(map(len, units))
         points = np.frombuffer("".join([u.ljust(width, "\0") for u in units]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        s = self.symbol_of[points].reshape(len(units), width)
+        s = self.symbol_of[points].astype(np.int64).reshape(len(units), width)
         s[np.arange(width)[None, :] >= np.fromiter(map(len, units), np.int64, len(units))[:, None]] = -1
         own = np.arange(len(units))
         score, merged = self._scores(s[:, :-1], s[:, 1:])
@@ -233,9 +221,10 @@ def encoded(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the memories hold no cycles, and walking them takes long
         c = codec(model_file)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [x[0] + [c.end] * add_end for x in c.encode([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
+        c.forget()
 
     source = df.select(id_col, text_col)
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, ids array<int>")
@@ -246,7 +235,7 @@ def decoded(df: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = codec(model_file).library
-        for batch in batches:
+        for batch in slices(batches):
             texts = [library.decode(x) if x else "" for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
@@ -260,7 +249,7 @@ def round_trip(df: DataFrame, model_file: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the memories hold no cycles, and walking them takes long
         c = codec(model_file)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, (ids, shown) in zip(batch.column("doc_id").to_pylist(), c.encode(texts), strict=True):
@@ -271,6 +260,7 @@ def round_trip(df: DataFrame, model_file: str) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
+        c.forget()
 
     source = df.selectExpr("cast(doc_id as bigint) doc_id", "text")
     return source.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint")

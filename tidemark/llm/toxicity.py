@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_hash, crc_mod, ngram_buckets
+from tidemark.llm.common import by_hash, crc_mod, ngram_buckets, slices
 
 BITS = 18
 ORDERS = (4, 5, 6)
@@ -128,7 +128,7 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             out = [m.score(t) for t in batch.column(1).to_pylist()]
             score = pa.array([x[0] for x in out], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), score, pa.array([int(x[0] >= 0.5) for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64())], ["doc_id", "score", "predicted", "n_offending"])
@@ -141,7 +141,7 @@ def located(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = pa.array([shared.value.offending(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "sentences"])
 
@@ -154,7 +154,7 @@ def clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([shared.value.score(t)[0] < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
