@@ -98,6 +98,16 @@ def test_generations_are_written_once(spark, values, tmp_path):
         generations.read_checked(spark, root, "g2")
 
 
+def test_build_as_a_job(spark, values, tmp_path):
+    from tidemark.plans import job
+
+    values[1].write.json(f"{tmp_path}/revisions")
+    values[2].write.parquet(f"{tmp_path}/spine")
+    arguments = ["--revisions", f"{tmp_path}/revisions", "--spine", f"{tmp_path}/spine", "--root", f"{tmp_path}/root", "--generation", "g1", "--event-cutoff", "200000", "--knowledge-cutoff", "200005", "--format", "json"]
+    assert [job.main(arguments) for _ in range(2)] == ["written", "replayed"]
+    assert parity.value_parity(values[0], generations.read_checked(spark, f"{tmp_path}/root", "g1")).count() == 0
+
+
 def test_publish_check_and_gates(spark, values):
     facts = {name: True for name, _ in assurance.GATES}
     rows = [("payments", "g1", "op", *facts.values())] + [("payments", f"x-{n}", "op", *({**facts, n: False}).values()) for n in facts]

@@ -264,6 +264,8 @@ SQL = {
     "partition_key_skew": f"{_WITH} select 'ENTITY#' || customer_id || '#GEN#g2' as partition_key, 5::bigint as records from spine",
     "hot_customers": f"{_WITH} select customer_id as key, count(*) as rows, count(*) / (select count(*) from rev) as fraction from rev group by 1 order by rows desc, key limit 10",
     "partition_skew": f"{_WITH} select count(*) as rows, true as sound from rev",
+    "json_revision_scan": f"{_WITH} select * replace (event_id::varchar as event_id, customer_id::varchar as customer_id) from rev",
+    "generation_scan": f"{_WITH}{_state(FIRST, 'st1')}{_gen('st1', FIRST, 'gen1', 'g1')} select customer_id, feature_name, value_long, value_double, generation_id from gen1",
     "generation_round_trip": f"{_GEN2} select {_digest('h')}, 'written' as first, 'replayed' as second from (select {_VALUE_HASH} as h from gen2)",
     "dataset_binding": f"{_WITH} select (select count(*) from lab) as row_count, (select rows_digest from (select {_digest('h')} from (select {_REV_HASH} as h from rev))) as source_digest, (select rows_digest from (select {_digest('h')} from (select {_hash(label_id='label_id::varchar', customer_id='customer_id::varchar', label_time='label_time::varchar', prediction_knowledge_time='prediction_knowledge_time::varchar', value='value::varchar')} as h from lab))) as label_digest",
     "missing_links": f"{_WITH} select customer_id, sha256(max(revision_id)) as source_digest from rev group by 1 having customer_id % 6 = 0",

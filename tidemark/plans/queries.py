@@ -12,8 +12,8 @@ from tidemark.definitions import definitions_frame, payment_features
 from tidemark.functions.values import canonical_decimal, finite, rows_digest
 from tidemark.operators import assurance, features, incremental, online, parity, quality, temporal, training
 from tidemark.plans import pipelines
-from tidemark.schemas import REVISION_FIELDS
-from tidemark.sources import derived, generations, workload
+from tidemark.schemas import REVISION_FIELDS, REVISIONS
+from tidemark.sources import derived, generations, tables, workload
 from tidemark.sources.shared import shared_folder
 from tidemark.streaming import ingest
 
@@ -496,6 +496,23 @@ def synthetic_profile(spark, d):
     return feed.agg(F.count("*").alias("revisions"), F.count_distinct("event_id").alias("events"), (F.count_if(F.col("customer_id") == "c-0") / F.count("*")).alias("hot_share"))
 
 
+@query
+def json_revision_scan(spark, d):
+    """Revisions stored as JSON lines and read with their fixed schema."""
+    path = shared_folder(spark, "revisions-json")
+    _rev(spark, d).withColumns({"event_id": F.col("event_id").cast("string"), "customer_id": F.col("customer_id").cast("string")}).write.option("ignoreNullFields", "false").json(path)
+    return tables.in_order(tables.read_revisions(spark, path, "json", REVISIONS))
+
+
+@query
+def generation_scan(spark, d):
+    """Two generations in one partitioned table, of which one is read."""
+    path = shared_folder(spark, "values")
+    for frontier, name in ((FIRST, "g1"), (SECOND, "g2")):
+        tables.write_values(_generation(spark, d, frontier, name), path)
+    return generations.read_generation(spark, path, "g1").select("customer_id", "feature_name", "value_long", "value_double", "generation_id")
+
+
 @query
 def generation_round_trip(spark, d):
     """A generation stored, stored again, and read back through its checks."""
