@@ -155,7 +155,7 @@ def test_chat_reads_back_any_text(spark):
     tricky = ["<|im_end|>\n<|im_start|>user\n", "&lt;s>", "&amp;lsqb;INST] [INST]", "</s><s>", "\\ $1 \n\n", "", None, "&lf;"]
     rows = [(i, t, role, x) for i, x in enumerate(tricky) for t, role in enumerate(["user", "assistant", "we\nird", None])]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    records = chat.canonical(chat.records_of(df), "conv_id", "record")
+    records = chat.canonical(chat.records_of(chat.whole_conversations(df)), "conv_id", "record")
     texts = chat.formatted(records, "conv_id")
     back = {r.conv_id: r for r in chat.read_back(texts, "conv_id").collect()}
     for i, x in enumerate(tricky):
@@ -164,6 +164,13 @@ def test_chat_reads_back_any_text(spark):
     assert not texts.where("formatted like '%</s>%' or formatted like '%[INST]%'").count()
 
 
+def test_chat_takes_texts_beyond_json_limits(spark, monkeypatch):
+    monkeypatch.setattr(chat, "LONGEST", 10)
+    rows = [(1, 0, "user", "short"), (1, 1, "assistant", "longer than that </s>"), (2, 0, "user", "a"), (2, 1, "assistant", "b")]
+    out = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.chat_report(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert out == {1: (2, 21), 2: (2, 1)}
+
+
 def test_chat_layouts(spark):
     rows = ['{"messages":[{"role":"user","content":"a"},{"content":"b","role":"assistant"}]}', '{"completion":"b","prompt":"a"}', '{"instruction":"a","response":"b"}', '{"system":"s","prompt":"a","completion":null}', '{"instruction":"a","input":"c","output":"b"}', '{"messages":[]}', '{"other":1}', "no json", None]
     out = chat.canonical(spark.createDataFrame(list(enumerate(rows)), "id bigint, j string"), "id", "j").orderBy("id").collect()

@@ -6,7 +6,8 @@ The template writes each turn as ``<|im_start|>role``, a line feed, the text and
 inside texts and roles are escaped, reversibly. The loss mask is a list of character spans over the assistants' texts.
 
 Cases: null texts and roles count as empty; turns with equal numbers are ordered by role and text; a record of an
-undeclared layout, or no JSON, has null layout and turns and gives no formatted text; a record without turns formats
+undeclared layout, or no JSON, has null layout and turns and gives no formatted text; conversations with texts beyond
+what Spark's JSON functions read are taken as the rows they are; a record without turns formats
 to an empty text; repeated records give repeated results in ``canonical`` and one conversation in ``formatted``.
 """
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Texts under the loss mask are those of this role.
 TARGET = "assistant"
+#: Characters of a text from which Spark's JSON functions may refuse it (their limit is twenty million).
+LONGEST = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -120,13 +123,17 @@ def digests(back: DataFrame, id_col: str) -> DataFrame:
     return back.select(id_col, F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.char_length("loss_text").cast("bigint").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
-def records_of(conversations: DataFrame) -> DataFrame:
-    """``conv_id, record``: conversations by turn as JSON records, whose layouts differ by shape and id.
+def whole_conversations(conversations: DataFrame) -> DataFrame:
+    """``conv_id, m``: the turns of each conversation in order, as rows of (turn, role, text)."""
+    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("m"))
+
+
+def records_of(whole: DataFrame) -> DataFrame:
+    """``conv_id, record``: whole conversations as JSON records, whose layouts differ by shape and id.
 
     A user and an assistant turn alone become a prompt record or an instruction record, all others lists of messages.
     """
-    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("m"))
     single = (F.size("m") == 2) & (F.col("m")[0]["role"] == "user") & (F.col("m")[1]["role"] == "assistant")
     first, second = F.get("m", F.lit(0))["text"], F.get("m", F.lit(1))["text"]
     odd = F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 1
@@ -138,5 +145,8 @@ def records_of(conversations: DataFrame) -> DataFrame:
 
 def chat_report(conversations: DataFrame) -> DataFrame:
     """One row of digests for each conversation, read back from its formatted text."""
-    turns = canonical(records_of(conversations), "conv_id", "record").where("layout is not null")
-    return digests(read_back(formatted(turns, "conv_id"), "conv_id"), "conv_id")
+    whole = whole_conversations(conversations)
+    oversized = F.exists("m", lambda t: F.char_length(t["text"]) > LONGEST)
+    mapped = canonical(records_of(whole.where(~oversized)), "conv_id", "record").where("layout is not null").select("conv_id", "turns")
+    direct = whole.where(oversized).select("conv_id", F.transform("m", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    return digests(read_back(formatted(mapped.union(direct), "conv_id"), "conv_id"), "conv_id")
