@@ -264,6 +264,7 @@ SQL = {
     "partition_key_skew": f"{_WITH} select 'ENTITY#' || customer_id || '#GEN#g2' as partition_key, 5::bigint as records from spine",
     "hot_customers": f"{_WITH} select customer_id as key, count(*) as rows, count(*) / (select count(*) from rev) as fraction from rev group by 1 order by rows desc, key limit 10",
     "partition_skew": f"{_WITH} select count(*) as rows, true as sound from rev",
+    "injected_corrections": f"{_WITH} select * from rev union all select event_id, revision_id || '-c', customer_id, event_time, knowledge_time + 7200, operation, amount_cents + 100, status, merchant_risk from rev where operation = 'upsert' and ('0x' || substr(md5(event_id::varchar), 1, 7))::bigint % 100 < 25",
     "json_revision_scan": f"{_WITH} select * replace (event_id::varchar as event_id, customer_id::varchar as customer_id) from rev",
     "generation_scan": f"{_WITH}{_state(FIRST, 'st1')}{_gen('st1', FIRST, 'gen1', 'g1')} select customer_id, feature_name, value_long, value_double, generation_id from gen1",
     "generation_round_trip": f"{_GEN2} select {_digest('h')}, 'written' as first, 'replayed' as second from (select {_VALUE_HASH} as h from gen2)",

@@ -489,11 +489,9 @@ def partition_skew(spark, d):
 
 
 @query
-def synthetic_profile(spark, d):
-    """A synthetic feed as large as the event table, skewed: its hot customer's share, and corrections injected."""
-    n = spark.read.parquet(f"{d}/events.parquet").count()
-    feed = workload.with_corrections(workload.synthetic_revisions(spark, "skewed", 73, 50, n), 25)
-    return feed.agg(F.count("*").alias("revisions"), F.count_distinct("event_id").alias("events"), (F.count_if(F.col("customer_id") == "c-0") / F.count("*")).alias("hot_share"))
+def injected_corrections(spark, d):
+    """The feed with a second revision of a quarter of its events."""
+    return workload.with_corrections(_rev(spark, d), 25)
 
 
 @query

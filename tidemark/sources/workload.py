@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schemas import REVISION_FIELDS
@@ -29,8 +29,13 @@ def synthetic_revisions(spark: SparkSession, profile: str, seed: int, customers:
     )
 
 
+def _share(key: Column) -> Column:
+    """A number from 0 to 99 that follows from the key's MD5."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 7), 16, 10).cast("bigint") % 100
+
+
 def with_corrections(revisions: DataFrame, percent: int, later: int = 7200, extra_cents: int = 100) -> DataFrame:
     """The feed and a second revision of about ``percent`` per cent of its events, chosen by the event's hash."""
-    chosen = revisions.where((F.col("operation") == "upsert") & (F.pmod(F.xxhash64(F.col("event_id").cast("string")), F.lit(100)) < percent))
+    chosen = revisions.where((F.col("operation") == "upsert") & (_share(F.col("event_id")) < percent))
     new = chosen.withColumns({"revision_id": F.concat(F.col("revision_id"), F.lit("-c")), "knowledge_time": F.col("knowledge_time") + later, "amount_cents": F.col("amount_cents") + extra_cents})
     return revisions.unionByName(new).select(*REVISION_FIELDS)
