@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, language, lattice_lm, minhash, notices, pivot_search, sentencepiece_codec, toxicity, url_filters
-from tidemark.llm.common import documents, labels
+from tidemark.llm.common import documents, labels, smaller_batches
 
 
 def vocabulary() -> str:
@@ -18,6 +18,7 @@ def vocabulary() -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    smaller_batches(spark)
     return sentencepiece_codec.round_trip(documents(spark, sf_dir), vocabulary())
 
 
@@ -31,6 +32,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    smaller_batches(spark)
     return minhash.near_duplicates(documents(spark, sf_dir), size=4, percent=80)
 
 
@@ -49,6 +51,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    smaller_batches(spark)
     return lattice_lm.lm_report(documents(spark, sf_dir), vocabulary())
 
 

@@ -12,7 +12,6 @@ repeated rows give repeated results; other columns of the input are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import re
@@ -23,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import Recent, slices
+from tidemark.llm.common import Recent, slices, without_gc
 
 MARK = "▁"
 #: Ends of words that are split off where no piece spans the cut.
@@ -37,7 +36,7 @@ class Codec:
     #: Units of more characters are encoded one by one with a heap; the others in lockstep.
     LONG = 48
     #: Chunks and units remembered in a generation.
-    MOST = 150_000
+    MOST = 60_000
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -219,12 +218,12 @@ def encoded(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: st
     """``id_col, ids array<int>`` of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the memories hold no cycles, and walking them takes long
         c = codec(model_file)
-        for batch in slices(batches):
-            ids = [x[0] + [c.end] * add_end for x in c.encode([t or "" for t in batch.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
-        c.forget()
+        with without_gc():
+            for batch in slices(batches):
+                ids = [x[0] + [c.end] * add_end for x in c.encode([t or "" for t in batch.column(1).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
+            c.forget()
 
     source = df.select(id_col, text_col)
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, ids array<int>")
@@ -247,20 +246,20 @@ def round_trip(df: DataFrame, model_file: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes``: each whole text encoded with an end id, then decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the memories hold no cycles, and walking them takes long
         c = codec(model_file)
-        for batch in slices(batches):
-            out: list[tuple] = []
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, (ids, shown) in zip(batch.column("doc_id").to_pylist(), c.encode(texts), strict=True):
-                ids.append(c.end)
-                shown = f"{shown} {c.end}" if shown else str(c.end)
-                back = c.library.decode(ids).encode("utf-8", "surrogatepass")
-                out.append((doc_id, len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), len(back)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
-        c.forget()
+        with without_gc():
+            for batch in slices(batches):
+                out: list[tuple] = []
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                for doc_id, (ids, shown) in zip(batch.column("doc_id").to_pylist(), c.encode(texts), strict=True):
+                    ids.append(c.end)
+                    shown = f"{shown} {c.end}" if shown else str(c.end)
+                    back = c.library.decode(ids).encode("utf-8", "surrogatepass")
+                    out.append((doc_id, len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), len(back)))
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
+            c.forget()
 
     source = df.selectExpr("cast(doc_id as bigint) doc_id", "text")
     return source.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint")
