@@ -244,6 +244,30 @@ def test_forward_equals_sum_over_segmentations():
         assert sum(len(pieces[i]) * p for i, p in got.items() if pieces[i]) <= len(word) + 1e-9
 
 
+def test_expected_counts_of_many_words_equal_those_of_each():
+    import numpy as np
+
+    lattice = lattice_lm.Lattice.of(*lattice_lm.vocabulary(queries.vocabulary()))
+    rng = random.Random(12)
+    many = ["▁" + "".join(rng.choice("abtheionrs漢é\x00") for _ in range(rng.randrange(1, 12))) for _ in range(500)] + ["▁" + "the" * 30]
+    want, got = np.zeros(32_000), np.zeros(32_000)
+    for w in many:
+        for i, p in lattice.expected(w):
+            want[i] += p
+    lattice.add_expected(many, got)
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+    assert [x * math.log(10) for x in lattice._together(many[:500])] == pytest.approx([lattice.forward(w)[-1] for w in many[:500]])
+
+
+def test_weights_come_from_all_training_words(spark, monkeypatch):
+    seen = []
+    whole = lattice_lm.expected_counts
+    monkeypatch.setattr(lattice_lm, "expected_counts", lambda counts, *a: seen.append(counts.count()) or whole(counts, *a))
+    counts = lattice_lm.written(spark.range(101_000).selectExpr("cast(id as string) word", "id % 7 + 1 c"), "counts")
+    lattice_lm.fit(counts, queries.vocabulary(), rounds=2)
+    assert seen == [101_000, 101_000]
+
+
 # 8
 def test_notices_within_edits_are_found(spark, odd, empty):
     scanner = notices.Scanner()

@@ -5,8 +5,7 @@ is an arc (bytes stand in for any character), weighted by the piece's unigram lo
 has one arc of its own, weighted by its discounted count. A forward recursion in log space gives the word's marginal
 probability over the subword arcs, to which its own arc is added; a document's is the product over its words and one
 end. Pieces and first weights (a rank law over the vocabulary's scores) come from the vocabulary file; expected piece
-counts over distinct training words (forward-backward, ``rounds`` times, on about ``em_words`` of them, chosen by
-hash) then set the weights. What the own arcs give up (absolute discounting) is the weight of the subword arcs.
+counts over all distinct training words (forward-backward, ``rounds`` times) then set the weights. What the own arcs give up (absolute discounting) is the weight of the subword arcs.
 
 Word counts, N and V are exact and made by Spark; the most frequent words are broadcast up to a bound, the others are
 joined by shuffles.
@@ -44,8 +43,11 @@ class Lattice:
         self.arcs, self.byte_arcs = arcs, byte_arcs
         self.weights = {p: x and x[1] for p, x in arcs.items()}
         self.spelled = Memo(lambda char: sum(byte_arcs[c][1] for c in char.encode("utf-8", "surrogatepass")), 50_000)
-        whole = sorted((hashed(p), x[1]) for p, x in arcs.items() if x is not None)
-        self.keys, self.logp = np.array([h for h, _ in whole], np.uint64), np.array([w for _, w in whole])
+        whole = sorted((hashed(p), *x) for p, x in arcs.items() if x is not None)
+        self.keys, self.logp = np.array([h for h, _, _ in whole], np.uint64), np.array([w for _, _, w in whole])
+        self.numbers = np.array([i for _, i, _ in whole], np.int64)
+        self.maybe = np.zeros(1 << 20, bool)  # by a key's highest bits: may it be a piece
+        self.maybe[self.keys >> np.uint64(44)] = True
         self.longest = max((len(p) for p, x in arcs.items() if x is not None), default=1)
         self.log10 = Recent(150_000)
 
@@ -103,23 +105,59 @@ class Lattice:
         if max(map(len, words)) > 64:
             return [self.forward(w)[-1] / LOG10 for w in words]
         n = np.fromiter(map(len, words), np.int64, len(words))
-        width = int(n.max())
+        weights = [w for w, _, _, _ in self._arcs(words, int(n.max()))[0]]
+        alpha = forward_together(weights)
+        return (alpha[np.arange(len(words)), n] / LOG10).tolist()
+
+    def _arcs(self, words: list[str], width: int) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+        """For each arc length the weights by word and start, and row, start and key of the arcs that are pieces;
+        then the log probabilities of characters by bytes, the distinct characters and where they stand."""
         points = np.frombuffer("".join([w.ljust(width, "\0") for w in words]).encode("utf-32-le"), np.uint32).reshape(len(words), width)
         chars, at = np.unique(points, return_inverse=True)
-        spelled = np.array([self.spelled[chr(c)] for c in chars.tolist()])[at.reshape(points.shape)]
-        weights, h = [], np.zeros(points.shape, np.uint64)
+        at = at.reshape(points.shape)
+        spelled = np.array([self.spelled[chr(c)] for c in chars.tolist()])[at]
+        arcs, h = [], np.zeros(points.shape, np.uint64)
         with np.errstate(over="ignore"):
             for k in range(1, min(self.longest, width) + 1):
                 h = h[:, : width - k + 1] * FACTOR + (points[:, k - 1 :] + np.uint32(1))
-                i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                w = np.where(self.keys[i] == h, self.logp[i], -np.inf)
-                weights.append(np.logaddexp(w, spelled) if k == 1 else w)
-        alpha = np.zeros((len(words), width + 1))
-        for j in range(1, width + 1):
-            into = np.stack([alpha[:, j - k] + weights[k - 1][:, j - k] for k in range(1, min(j, len(weights)) + 1)])
-            top = into.max(0)
-            alpha[:, j] = top + np.log(np.exp(into - top).sum(0))
-        return (alpha[np.arange(len(words)), n] / LOG10).tolist()
+                row, start = np.nonzero(self.maybe[h >> np.uint64(44)])
+                sought = h[row, start]
+                i = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
+                same = self.keys[i] == sought
+                row, start, i = row[same], start[same], i[same]
+                w = spelled.copy() if k == 1 else np.full(h.shape, -np.inf)
+                w[row, start] = np.logaddexp(w[row, start], self.logp[i])
+                arcs.append((w, row, start, i))
+        return arcs, spelled, chars, at
+
+    def add_expected(self, words: list[str], total: np.ndarray) -> None:
+        """Add the expected numbers of pieces of all ``words`` to ``total``: those of one length together, long ones alone."""
+        sizes: dict[int, list[str]] = {}
+        for w in words:
+            sizes.setdefault(len(w), []).append(w)
+        for n, same in sizes.items():
+            if n > 64:
+                for w in same:
+                    for i, p in self.expected(w):
+                        total[i] += p
+            else:
+                for i in range(0, len(same), 4096):
+                    self._add_together(same[i : i + 4096], n, total)
+
+    def _add_together(self, words: list[str], n: int, total: np.ndarray) -> None:
+        """Forward and backward recursion of words of ``n`` characters."""
+        arcs, spelled, chars, at = self._arcs(words, n)
+        weights = [w for w, _, _, _ in arcs]
+        alpha = forward_together(weights)
+        beta = forward_together([w[:, ::-1] for w in weights])[:, ::-1]
+        end = alpha[:, n]
+        for k, (_, row, start, i) in enumerate(arcs, 1):
+            p = np.exp(alpha[row, start] + self.logp[i] + beta[row, start + k] - end[row])
+            total += np.bincount(self.numbers[i], p, len(total))
+        by_char = np.bincount(at.ravel(), np.exp(alpha[:, :n] + spelled + beta[:, 1:] - end[:, None]).ravel(), len(chars))
+        for c, p in zip(chars.tolist(), by_char.tolist(), strict=True):
+            for b in chr(c).encode("utf-8", "surrogatepass"):
+                total[self.byte_arcs[b][0]] += p
 
     def expected(self, s: str) -> Iterator[tuple[int, float]]:
         """Expected numbers of pieces over all segmentations of ``s``."""
@@ -145,6 +183,17 @@ def hashed(text: str) -> int:
     return h
 
 
+def forward_together(weights: list[np.ndarray]) -> np.ndarray:
+    """Log probabilities of the prefixes of many words at once; ``weights``: for each arc length by word and start."""
+    rows, width = weights[0].shape
+    alpha = np.zeros((rows, width + 1))
+    for j in range(1, width + 1):
+        into = np.stack([alpha[:, j - k] + weights[k - 1][:, j - k] for k in range(1, min(j, len(weights)) + 1)])
+        top = into.max(0)
+        alpha[:, j] = top + np.log(np.exp(into - top).sum(0))
+    return alpha
+
+
 def log_sum(xs: list[float]) -> float:
     if len(xs) == 1:
         return xs[0]
@@ -210,11 +259,13 @@ def expected_counts(counts: DataFrame, lattice: Lattice, n: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lattice(*shared.value)
         total = np.zeros(n)
-        for batch in slices(batches):
-            for word in batch.column(0).to_pylist():
-                if word != END:
-                    for i, p in own.expected(MARK + word):
-                        total[i] += p
+        kept: list[str] = []
+        for batch in batches:
+            kept += [MARK + word for word in batch.column(0).to_pylist() if word != END]
+            if len(kept) > 20_000:
+                own.add_expected(kept, total)
+                kept = []
+        own.add_expected(kept, total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["piece", "n"])
 
@@ -241,8 +292,8 @@ class Fitted:
         return max(c - self.discount, 0.0) / (self.total + 1)
 
 
-def fit(counts: DataFrame, model_file: str, rounds: int = 3, most_frequent: int = FREQUENT, em_words: int = 100_000) -> Fitted:
-    """``counts``: a written table of training word counts. ``em_words``: about how many words set the weights."""
+def fit(counts: DataFrame, model_file: str, rounds: int = 3, most_frequent: int = FREQUENT) -> Fitted:
+    """``counts``: a written table of training word counts."""
     pieces, byte_at, logp = vocabulary(model_file)
     total, distinct, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     steps = counts.agg(*[F.count_if(F.col("c") >= 1 << k).alias(f"k{k}") for k in range(50)]).first()
@@ -250,10 +301,8 @@ def fit(counts: DataFrame, model_file: str, rounds: int = 3, most_frequent: int
     frequent = {r.word.encode(): r.c for r in counts.where(F.col("c") >= least).collect()}
     discount = (once + 1) / (once + 2 * twice + 2)
     if total:
-        used = counts.where(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(em_words / distinct * (1 << 30))) if distinct > em_words else counts
-        used = written(used.select("word").repartition(max(8, min(64, distinct // 5_000))), "words")
         for _ in range(rounds):
-            n = expected_counts(used, Lattice.of(pieces, byte_at, logp), len(pieces))
+            n = expected_counts(counts, Lattice.of(pieces, byte_at, logp), len(pieces))
             n = np.where(np.isfinite(logp), n + 0.01, 0)
             with np.errstate(divide="ignore"):
                 logp = np.log(n / n.sum())
