@@ -302,6 +302,16 @@ def test_language_on_held_out_texts(spark, odd, empty):
     assert language.language_report(empty.withColumn("lang", F.lit(None).cast("string"))).count() == 0
 
 
+def test_language_rejects_what_it_has_not_learned():
+    rng = random.Random(13)
+    kinds = {"aa": "ka lo mi ru".split(), "bb": "sch ung en ber".split(), "cc": "eau oix ent qui".split(), "dd": "ña ción os ay".split()}
+    make = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    model = language.train([(make(kinds[k], rng.randrange(20, 60)), k) for k in kinds for _ in range(100)])
+    clean = [model.predict(make(kinds[k], 30)) for k in kinds for _ in range(50)]
+    strange = [model.predict(make("zxw pvf jgd ыук".split(), 30)) for _ in range(50)]
+    assert all(ok for *_, ok in clean) and not any(ok for *_, ok in strange)
+
+
 # 10
 def test_toxicity_on_held_out_texts(spark, odd, empty):
     rng = random.Random(9)

@@ -2,8 +2,8 @@
 
 A text's features are its byte n-grams (2 to 4) inside words, each with an embedding; their mean goes through a linear
 softmax. As both steps are linear, a trained model is one table of logits per bucket. The training sample is bounded
-(``per_language`` rows of each of the ``languages`` most frequent languages); a fifth of it is held back to set the
-softmax temperature and the confidence below which a text is rejected.
+(``per_language`` rows of each of the ``languages`` most frequent languages); a fifth of its texts, with the
+parts cut from them, is held back to set the softmax temperature and the confidence below which a text is rejected.
 
 Cases: a text that is null, empty or without a letter gets ``und`` with score 0 and is rejected; the rows of other
 texts get the likeliest learned language. With no labelled rows every text is ``und``. Whole texts are used.
@@ -68,16 +68,21 @@ def train(rows: list[tuple[str, str]], dims: int = 16, epochs: int = 6, rate: fl
     if not k:
         return LanguageModel([], np.zeros((1, 0), np.float32), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
-    examples = []
-    for text, lang in rows:
+    # equal texts of several languages are one document, so that no text is both learned and held back
+    texts = {t: i for i, t in enumerate(sorted({t for t, _ in rows}))}
+    groups = [texts[t] for t, _ in rows]
+    examples, source = [], []
+    for at, (text, lang) in enumerate(rows):
         words = text.split()
         cut = int(rng.integers(0, max(1, len(words) - 12)))
         for part in (text, " ".join(words[cut : cut + int(rng.integers(3, 12))])):
             h, n = np.unique(buckets(part), return_counts=True)
             if len(h):
                 examples.append((h, (n / n.sum()).astype(np.float32), languages.index(lang)))
+                source.append(groups[at])
     order = rng.permutation(len(examples))
-    held, used = order[: len(order) // 5], order[len(order) // 5 :]
+    apart = np.isin(np.array(source)[order], rng.permutation(len(texts))[: len(texts) // 5])
+    held, used = order[apart], order[~apart]
     e = rng.normal(0, 0.1, (1 << BITS, dims)).astype(np.float32)
     w = rng.normal(0, 0.1, (dims, k)).astype(np.float32)
     b = np.zeros(k, np.float32)
@@ -103,7 +108,7 @@ def train(rows: list[tuple[str, str]], dims: int = 16, epochs: int = 6, rate: fl
     temperature = min(np.geomspace(0.05, 4, 40), key=loss)
     p = np.array([softmax(x / temperature) for x in z])
     right = p.max(1)[p.argmax(1) == y]
-    least = min(float(np.quantile(right, reject)) if len(right) else 1.0, 1.2 / k if k > 1 else 1.0)
+    least = float(np.quantile(right, reject)) if len(right) else 1.0
     return LanguageModel(languages, table.astype(np.float32), b.astype(np.float64), float(temperature), least)
 
 
