@@ -171,6 +171,27 @@ def test_chat_takes_texts_beyond_json_limits(spark, monkeypatch):
     assert out == {1: (2, 21), 2: (2, 1)}
 
 
+def test_chat_loses_no_conversation(spark, monkeypatch):
+    # more than a variant holds in Spark's testing mode, in texts that are each within the limits; and one text beyond them
+    rows = [(1, t, ("user", "assistant")[t % 2], 'say "no": \\ {a}' + "x" * 3_000_000) for t in range(50)] + [(2, 0, "user", "a"), (2, 1, "assistant", "y" * 21_000_000), (3, 0, "user", "a"), (3, 1, "assistant", "b")]
+    df = spark.createDataFrame([(c, t, r, x[:20].rstrip("xy"), len(x)) for c, t, r, x in rows], "conv_id bigint, turn bigint, role string, head string, size int")
+    df = df.selectExpr("conv_id", "turn", "role", "rpad(head, size, if(conv_id = 2, 'y', 'x')) text")
+    whole = chat.whole_conversations(df)
+    layouts = {r.conv_id: r.layout for r in chat.canonical(chat.records_of(whole), "conv_id", "record").select("conv_id", "layout").collect()}
+    assert layouts[1] in ("messages", "conversations") and layouts[2] in ("prompt", "instruction")
+    out = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.chat_report(df).collect()}
+    assert out == {1: (50, 25 * len(rows[0][3])), 2: (2, 21_000_000), 3: (2, 1)}
+    monkeypatch.setattr(chat, "LAYOUTS", ())  # no record has a layout
+    assert {r.conv_id for r in chat.chat_report(df.where("conv_id = 3")).collect()} == {3}
+
+
+def test_chat_shapes_without_texts(spark):
+    texts = ['{"k:":"a\\\\","b":["x","y: \\"z\\","],"c" : {"d":"e,"}}', '{"messages":[{"role":"user","content":"\\\\\\"]}"},{"role":"a","content":""}]}']
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    out = df.select(F.schema_of_variant(F.try_parse_json("j")), F.schema_of_variant(F.try_parse_json(chat.emptied("j")))).collect()
+    assert all(a and a == b for a, b in out)
+
+
 def test_chat_layouts(spark):
     rows = ['{"messages":[{"role":"user","content":"a"},{"content":"b","role":"assistant"}]}', '{"completion":"b","prompt":"a"}', '{"instruction":"a","response":"b"}', '{"system":"s","prompt":"a","completion":null}', '{"instruction":"a","input":"c","output":"b"}', '{"messages":[]}', '{"other":1}', "no json", None]
     out = chat.canonical(spark.createDataFrame(list(enumerate(rows)), "id bigint, j string"), "id", "j").orderBy("id").collect()

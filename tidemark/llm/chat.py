@@ -6,9 +6,9 @@ The template writes each turn as ``<|im_start|>role``, a line feed, the text and
 inside texts and roles are escaped, reversibly. The loss mask is a list of character spans over the assistants' texts.
 
 Cases: null texts and roles count as empty; turns with equal numbers are ordered by role and text; a record of an
-undeclared layout, or no JSON, has null layout and turns and gives no formatted text; conversations with texts beyond
-what Spark's JSON functions read are taken as the rows they are; a record without turns formats
-to an empty text; repeated records give repeated results in ``canonical`` and one conversation in ``formatted``.
+undeclared layout, or no JSON, has null layout and turns and gives no formatted text; the shape of a long record is
+read with its texts emptied, as a variant can't hold them; a conversation whose record still has no layout is taken as
+the rows it is; a record without turns formats to an empty text; repeated records give repeated results in ``canonical`` and one conversation in ``formatted``.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Texts under the loss mask are those of this role.
 TARGET = "assistant"
-#: Characters of a text from which Spark's JSON functions may refuse it (their limit is twenty million).
+#: Bytes of a record from which its shape is read without its texts (a text of twenty million characters is refused,
+#: and a variant of 128 MiB, or of 16 MiB in Spark's testing mode).
 LONGEST = 10_000_000
+#: Options of reading a record: texts of any length.
+READ = "map('maxStringLen', '2147483647')"
 
 
 @dataclass(frozen=True)
@@ -55,9 +58,15 @@ LAYOUTS = (
 )
 
 
+def emptied(record: str) -> Column:
+    """A JSON text with empty texts for its values, names left: without escapes, quotes enclose names and values only."""
+    plain = F.replace(F.replace(record, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    return F.regexp_replace(plain, r'("[^"]*+"\s*+:)|(")[^"]*+(")', "$1$2$3")
+
+
 def shape(record: str) -> Column:
     """The tree of nested field paths of a JSON text, as ``{a:[{b,c}]}``; null where the text is no JSON."""
-    tree = F.schema_of_variant(F.try_parse_json(record))
+    tree = F.schema_of_variant(F.try_parse_json(F.when(F.octet_length(record) > LONGEST, emptied(record)).otherwise(F.col(record))))
     for pattern, text in ((r"OBJECT<", "{"), (r"ARRAY<(VOID|STRING|BIGINT|DOUBLE|BOOLEAN|DECIMAL\([0-9,]+\))>", "[]"), (r"ARRAY<", "["), (r": (VOID|STRING|BIGINT|DOUBLE|BOOLEAN|DECIMAL\([0-9,]+\))", "")):
         tree = F.regexp_replace(tree, pattern, text)
     # what an opening bracket has become says how it closes
@@ -78,7 +87,7 @@ def canonical(records: DataFrame, id_col: str, record_col: str) -> DataFrame:
     for x in reversed(LAYOUTS):
         same = F.col("fingerprint") == F.sha2(F.lit(x.shape), 256)
         name = F.when(same, F.lit(x.name)).otherwise(name)
-        turns = F.when(same, F.expr(x.turns.replace("r.", f"from_json(_record, '{x.schema}')."))).otherwise(turns)
+        turns = F.when(same, F.expr(x.turns.replace("r.", f"from_json(_record, '{x.schema}', {READ})."))).otherwise(turns)
     return marked.select(id_col, "fingerprint", name.alias("layout"), turns.alias("turns"))
 
 
@@ -130,7 +139,7 @@ def whole_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def records_of(whole: DataFrame) -> DataFrame:
-    """``conv_id, record``: whole conversations as JSON records, whose layouts differ by shape and id.
+    """``conv_id, m, record``: whole conversations as JSON records, whose layouts differ by shape and id.
 
     A user and an assistant turn alone become a prompt record or an instruction record, all others lists of messages.
     """
@@ -140,13 +149,13 @@ def records_of(whole: DataFrame) -> DataFrame:
     messages = F.to_json(F.struct(F.transform("m", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
     others = F.to_json(F.struct(F.transform("m", lambda t: F.struct(t["role"].alias("from"), t["text"].alias("value"))).alias("conversations")))
     prompt, instruction = F.to_json(F.struct(first.alias("prompt"), second.alias("completion"))), F.to_json(F.struct(first.alias("instruction"), second.alias("response")))
-    return whole.select("conv_id", F.when(single & odd, prompt).when(single, instruction).when(odd, messages).otherwise(others).alias("record"))
+    return whole.select("conv_id", "m", F.when(single & odd, prompt).when(single, instruction).when(odd, messages).otherwise(others).alias("record"))
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:
     """One row of digests for each conversation, read back from its formatted text."""
     whole = whole_conversations(conversations)
-    oversized = F.exists("m", lambda t: F.char_length(t["text"]) > LONGEST)
-    mapped = canonical(records_of(whole.where(~oversized)), "conv_id", "record").where("layout is not null").select("conv_id", "turns")
-    direct = whole.where(oversized).select("conv_id", F.transform("m", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    return digests(read_back(formatted(mapped.union(direct), "conv_id"), "conv_id"), "conv_id")
+    mapped = canonical(records_of(whole).withColumn("key", F.struct("conv_id", "m")), "key", "record")
+    direct = F.transform("key.m", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    turns = mapped.select("key.conv_id", F.when(F.col("layout").isNull(), direct).otherwise(F.col("turns")).alias("turns"))
+    return digests(read_back(formatted(turns, "conv_id"), "conv_id"), "conv_id")
