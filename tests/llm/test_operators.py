@@ -214,6 +214,14 @@ def test_contamination_is_found_and_clean_texts_are_left(spark, odd, empty):
     assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_contamination_beyond_radius_and_in_shorter_texts(spark):
+    text = [f"v{i}" for i in range(45)]
+    bench = spark.createDataFrame([(1, " ".join(text))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, " ".join(text[:22] + text[23:])), (2, " ".join(["a", "b", *text[:42], "x", *text[43:]]))], "doc_id bigint, text string")
+    out = {r.doc_id: round(r.similarity, 3) for r in decontaminate.contaminated(docs, bench, radius=1).collect()}
+    assert out == {1: 0.8, 2: round(38 / 44, 3)}
+
+
 def test_hamming_blocks_cover_all_bits():
     radius = 18
     cuts = [64 * i // (radius + 1) for i in range(radius + 2)]

@@ -3,13 +3,14 @@
 DataFrame functions only. Texts are lower-cased words; shingles have ``size`` words (an item with fewer is one shingle).
 
 1. Seeds. A window whose weighted shingle similarity with an item is at least ``percent`` holds, of any
-   ``n - ceil(2 n t / (1 + t)) + 1`` of the item's n shingles, at least one unchanged. The seeds are found by their longest word:
+   ``n - ceil(n t) + 1`` of the item's n shingles, at least one unchanged, however long the window. The seeds are found by their longest word:
    a join of all document words with the seeds' words, then a comparison of the whole shingle.
 2. Windows of the item's length in words are laid at each seed hit, aligned with the item and shifted by up to the
    number of shingles that may differ; near a text's ends they move inside, and shorter texts are one window.
 3. SimHash: 64 bits, each the sign of the sum of the window's shingle hashes' bits, weighted by occurrence.
    Fingerprints are cut into ``radius + 1`` blocks; windows and items of one length that agree in a block meet, which
-   guarantees all pairs within ``radius`` bits.
+   guarantees all pairs within ``radius`` bits. A window's pairs with the items whose seeds it was laid for stay at any
+   distance, so that no pair is lost by chance.
 4. The exact similarity, sum of minima by sum of maxima of shingle counts, decides.
 
 Cases: null and empty texts and items match nothing; repeated rows give repeated results once for each (doc_id, item_id);
@@ -71,11 +72,11 @@ def seeds(items: DataFrame, size: int, percent: int) -> DataFrame:
     """``word, seed, at, k, offset, item_id, n_words, slack``: which words to look for, and where the seed begins."""
     n = F.size("item_shingles")
     need = F.ceil(F.lit(2 * percent) * n / F.lit(100 + percent))
-    spread = items.select("item_id", "n_words", F.least(F.lit(size), "n_words").alias("k"), (n - need).cast("int").alias("slack"), F.posexplode("item_shingles").alias("offset", "seed"))
+    spread = items.select("item_id", "n_words", F.least(F.lit(size), "n_words").alias("k"), (n - need).cast("int").alias("slack"), (n - F.ceil(F.lit(percent) * n / F.lit(100))).cast("int").alias("spare"), F.posexplode("item_shingles").alias("offset", "seed"))
     rare = F.aggregate(F.split("seed", " "), F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
     # the middle shingles of an item are as good as any; at its ends neighbouring words differ more often
-    first = ((F.col("n_words") - F.col("k") + 1 - F.col("slack") - 1) / 2).cast("int")
-    chosen = spread.where((F.col("offset") >= first) & (F.col("offset") <= first + F.col("slack"))).withColumn("word", rare)
+    first = ((F.col("n_words") - F.col("k") + 1 - F.col("spare") - 1) / 2).cast("int")
+    chosen = spread.where((F.col("offset") >= first) & (F.col("offset") <= first + F.col("spare"))).withColumn("word", rare)
     return chosen.withColumn("at", (F.array_position(F.split("seed", " "), F.col("word")) - 1).cast("int"))
 
 
@@ -90,10 +91,10 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
 
     length = F.least("n_words", F.size("w"))
     start = F.explode(F.sequence(-F.col("slack"), F.col("slack"))).alias("shift")
-    laid = hit.select("doc_id", "w", "n_words", (begin - F.col("offset")).alias("begin"), start)
+    laid = hit.select("doc_id", "w", "n_words", "item_id", (begin - F.col("offset")).alias("begin"), start)
     inside = F.greatest(F.lit(0), F.least(F.col("begin") + F.col("shift"), F.size("w") - length))
-    windows = laid.select("doc_id", "n_words", inside.alias("start_word"), F.slice("w", inside + 1, length).alias("x"))
-    windows = windows.dropDuplicates(["doc_id", "n_words", "start_word"])
+    windows = laid.select("doc_id", "n_words", "item_id", inside.alias("start_word"), F.slice("w", inside + 1, length).alias("x"))
+    windows = windows.groupBy("doc_id", "n_words", "start_word").agg(F.first("x").alias("x"), F.collect_set("item_id").alias("seeded"))
     windows = windows.withColumn("shingles", shingled("x", F.least(F.lit(size), F.col("n_words")))).drop("x").withColumn("print", simhash("shingles"))
     windows = written(windows, "windows")
 
@@ -101,9 +102,9 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
     left = windows.select("doc_id", "start_word", "n_words", "print", F.explode(blocks("print", radius)).alias("b")).select("doc_id", "start_word", "n_words", "print", "b.no", "b.bits")
     right = marked.select("item_id", "n_words", "item_print", F.explode(blocks("item_print", radius)).alias("b")).select("item_id", "n_words", "item_print", "b.no", "b.bits")
     hamming = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = left.join(right, ["n_words", "no", "bits"]).withColumn("hamming", hamming).where(F.col("hamming") <= radius)
-    near = near.select("doc_id", "start_word", "n_words", "item_id", "hamming").distinct()
-    full = near.join(windows.select("doc_id", "start_word", "n_words", "shingles"), ["doc_id", "start_word", "n_words"]).join(small(bench.select("item_id", "item_shingles")), "item_id")
+    near = left.join(right, ["n_words", "no", "bits"]).where(hamming <= radius).select("doc_id", "start_word", "n_words", "item_id")
+    near = near.union(windows.select("doc_id", "start_word", "n_words", F.explode("seeded"))).distinct()
+    full = near.join(windows.select("doc_id", "start_word", "n_words", "shingles", "print"), ["doc_id", "start_word", "n_words"]).join(small(marked.drop("n_words")), "item_id").withColumn("hamming", hamming)
     exact = full.withColumn("similarity", similarity("shingles", "item_shingles")).where(F.col("similarity") * 100 >= percent)
     best = F.max_by(F.struct("start_word", "n_words", "hamming", "similarity"), F.struct(F.col("similarity"), -F.col("start_word"))).alias("best")
     return exact.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
