@@ -6,6 +6,9 @@ adjacent symbol pairs, taken in order of score (ties: leftmost); the agendas of
 rows of an array. Each Arrow batch's new chunks are checked against the sentencepiece library, whose ids stand
 should they ever differ.
 
+Models whose normaliser, white-space or user-defined pieces don't fit the cutting into chunks are refused: whole texts,
+and each piece between others, are held against the library once for each model.
+
 Cases: null text counts as empty; an empty text has the end id only; ids decode with the library's ``decode``;
 repeated rows give repeated results; other columns of the input are ignored.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import logging
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -59,11 +63,13 @@ class Codec:
         for p, (_, at) in self.pieces.items():
             if len(p) == 1:
                 self.symbol_of[ord(p)] = at
-        self.forget()
         self.corrected = 0
+        self.forget()
 
     def forget(self) -> None:
         """Let all memories go: at a task's end, as the worker may live on with other work."""
+        if self.corrected:
+            logging.getLogger(__name__).warning("%d chunks took the library's ids", self.corrected)
         self.chunks, self.units, self.tails = Recent(self.MOST), Recent(self.MOST), {"": ()}
 
     def _symbol(self, char: str) -> int:
@@ -171,9 +177,7 @@ class Codec:
             if ids[i] != tuple(want):
                 self.corrected += 1
                 ids[i] = tuple(want)
-        shown, chunks = self.shown, self.chunks.now
-        for key, x in zip(keys, ids, strict=True):
-            chunks[key] = x, " ".join([shown[i] for i in x])
+        self.chunks.now.update(zip(keys, ids, strict=True))
 
     def chunks_of(self, text: str) -> list[str]:
         if not text:
@@ -198,13 +202,30 @@ class Codec:
             self.tails = {"": ()}
         if need := self.chunks.missing(set().union(*parts)):
             self._learn(list(need))
-        get = self.chunks.now.__getitem__
+        get, shown = self.chunks.now.__getitem__, self.shown.__getitem__
         for part in parts:
-            found = list(map(get, part))
-            yield list(chain.from_iterable([x[0] for x in found])), " ".join([x[1] for x in found])
+            ids = list(chain.from_iterable(map(get, part)))
+            yield ids, " ".join(map(shown, ids))
 
 
+#: Texts on which a model must agree with its cutting into chunks.
+PROBES = ("", " ", "a", " a", "a ", "  a   b  ", f"{MARK}a{MARK}{MARK} b", "\t\n a\r\n\u00a0\u3000b\u200b", "ﬁ Ａ① é e\u0301 Å", "A b.C,d;e :f ?g!", "x" * 70, "漢字 \U0001f600 <s> </s> <unk> <0x41>")
+
 _codecs: dict[str, Codec] = {}
+_checked: set[str] = set()
+
+
+def checked(model_file: str) -> None:
+    """Raise if the codec can't stand for the model; on the driver, once."""
+    if model_file in _checked:
+        return
+    c = codec(model_file)
+    texts = [*PROBES, *(f"a{p.replace(MARK, ' ')}b {p.replace(MARK, ' ')}" for p in c.pieces)]
+    for text, (ids, _), want in zip(texts, c.encode(texts), c.library.encode(texts, num_threads=1), strict=True):
+        if ids != want:
+            raise ValueError(f"{model_file} encodes {text!r} in a way that this codec doesn't")
+    c.forget()
+    _checked.add(model_file)
 
 
 def codec(model_file: str) -> Codec:
@@ -215,7 +236,8 @@ def codec(model_file: str) -> Codec:
 
 
 def encoded(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True) -> DataFrame:
-    """``id_col, ids array<int>`` of every whole text."""
+    """``id_col, ids array<int>`` of every whole text; null texts give the end id alone, or no id; repeated rows repeat."""
+    checked(model_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
@@ -230,7 +252,7 @@ def encoded(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: st
 
 
 def decoded(df: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id_col, text`` from arrays of ids; null ids give an empty text."""
+    """``id_col, text`` from arrays of ids; null and empty arrays give an empty text; ids outside the vocabulary raise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = codec(model_file).library
@@ -244,6 +266,7 @@ def decoded(df: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str
 
 def round_trip(df: DataFrame, model_file: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes``: each whole text encoded with an end id, then decoded."""
+    checked(model_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
