@@ -14,8 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a derived table may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a derived table may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 #: The word pattern of the corpus operators: runs of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -30,9 +30,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``; where that is unset (local tests) a new one."""
+    """The folder that all machines share: ``spark.checkpoint.dir``. A local session without one gets a new one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -42,12 +44,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage is cut and any executor can read it again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is: Spark then shuffles, and splits skewed keys."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def removed(df: DataFrame) -> None:
+    """Remove a table that ``written`` made and nothing that is still to run reads."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    path = jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(conf).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows of at most ``size`` bytes, else as it is: Spark then shuffles, and splits skewed keys."""
+    told = F.octet_length(F.to_json(F.struct(*[F.base64(c) if t == "binary" else F.col(c) for c, t in df.dtypes])))
+    n, held = df.limit(rows + 1).select(told.alias("n")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def smaller_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -164,7 +177,3 @@ def ngram_buckets(data: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.n
     at = np.flatnonzero(~inner)
     return at, h[at]
 
-
-def by_hash(df: DataFrame, rows: int, *columns: str) -> DataFrame:
-    """The ``rows`` rows whose doc_id has the smallest hashes: a bounded sample that doesn't depend on partitioning."""
-    return df.orderBy(F.xxhash64("doc_id", F.lit(73)), "doc_id").limit(rows).select(*columns)
