@@ -2,28 +2,30 @@
 
 DataFrame functions only. A record is a JSON text of some layout. Its tree of nested field paths, without types, is
 hashed; the hash selects one of the declared ``LAYOUTS``, whose SQL expression gives the canonical turns (role, text).
+The tree is read from the record with its texts emptied, whatever their length: a variant holds no long texts.
 The template writes each turn as ``<|im_start|>role``, a line feed, the text and ``<|im_end|>``; control strings
-inside texts and roles are escaped, reversibly. The loss mask is a list of character spans over the assistants' texts.
+inside texts and roles are escaped, reversibly. The loss mask has an entry for each turn: the span of the text inside
+the formatted turn for an assistant's, null for others. So reading back cuts each turn once, in linear time.
 
 Cases: null texts and roles count as empty; turns with equal numbers are ordered by role and text; a record of an
-undeclared layout, or no JSON, has null layout and turns and gives no formatted text; the shape of a long record is
-read with its texts emptied, as a variant can't hold them; a conversation whose record still has no layout is taken as
-the rows it is; a record without turns formats to an empty text; repeated records give repeated results in ``canonical`` and one conversation in ``formatted``.
+undeclared layout, or no JSON, has null layout and turns and gives no formatted text; in ``chat_report``, which makes
+its records, a record without layout is an error, so no conversation is lost; a record without turns formats to an
+empty text; repeated records give repeated results; an empty table gives an empty result. A conversation is one text,
+so its turns are gathered in one row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import written
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Texts under the loss mask are those of this role.
 TARGET = "assistant"
-#: Bytes of a record from which its shape is read without its texts (a text of twenty million characters is refused,
-#: and a variant of 128 MiB, or of 16 MiB in Spark's testing mode).
-LONGEST = 10_000_000
 #: Options of reading a record: texts of any length.
 READ = "map('maxStringLen', '2147483647')"
 
@@ -66,7 +68,7 @@ def emptied(record: str) -> Column:
 
 def shape(record: str) -> Column:
     """The tree of nested field paths of a JSON text, as ``{a:[{b,c}]}``; null where the text is no JSON."""
-    tree = F.schema_of_variant(F.try_parse_json(F.when(F.octet_length(record) > LONGEST, emptied(record)).otherwise(F.col(record))))
+    tree = F.schema_of_variant(F.try_parse_json(emptied(record)))
     for pattern, text in ((r"OBJECT<", "{"), (r"ARRAY<(VOID|STRING|BIGINT|DOUBLE|BOOLEAN|DECIMAL\([0-9,]+\))>", "[]"), (r"ARRAY<", "["), (r": (VOID|STRING|BIGINT|DOUBLE|BOOLEAN|DECIMAL\([0-9,]+\))", "")):
         tree = F.regexp_replace(tree, pattern, text)
     # what an opening bracket has become says how it closes
@@ -105,31 +107,49 @@ def unescaped(text: Column) -> Column:
 
 
 def formatted(turns: DataFrame, id_col: str) -> DataFrame:
-    """``id_col, formatted, loss_spans`` of conversations (``id_col, turns``); spans: (start, length) in characters."""
-    each = turns.select(id_col, F.posexplode_outer("turns").alias("at", "t"))
-    role = F.regexp_replace(escaped(F.coalesce("t.role", F.lit(""))), "\n", "&lf;")
-    text = escaped(F.coalesce("t.text", F.lit("")))
-    head = F.concat(F.lit(START), role, F.lit("\n"))
-    each = each.select(id_col, "at", F.when(F.col("at").isNotNull(), F.concat(head, text, F.lit(END))).otherwise("").alias("piece"), F.char_length(head).alias("head"), F.char_length(text).alias("size"), (F.col("t.role") == TARGET).alias("target"))
-    before = F.coalesce(F.sum(F.char_length("piece")).over(Window.partitionBy(id_col).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = each.withColumn("span", F.when(F.col("target"), F.struct((before + F.col("head")).cast("bigint").alias("start"), F.col("size").cast("bigint").alias("length"))))
-    rows = placed.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "piece", "span"))).alias("rows"))
-    return rows.select(id_col, F.array_join(F.transform("rows", lambda r: r["piece"]), "").alias("formatted"), F.array_compact(F.transform("rows", lambda r: r["span"])).alias("loss_spans"))
+    """``id_col, formatted, loss_mask`` of conversations (``id_col, turns``).
+
+    The mask has, for each turn, null or the (start, length) in characters of its text inside the formatted turn.
+    """
+    role = lambda t: F.regexp_replace(escaped(F.coalesce(t["role"], F.lit(""))), "\n", "&lf;")
+    text = lambda t: escaped(F.coalesce(t["text"], F.lit("")))
+    part = lambda t: F.struct(F.concat(F.lit(START), role(t), F.lit("\n")).alias("head"), text(t).alias("text"), (t["role"] == TARGET).alias("target"))
+    parts = turns.select(id_col, F.transform("turns", part).alias("parts"))
+    span = lambda p: F.when(p["target"], F.struct(F.char_length(p["head"]).cast("bigint").alias("start"), F.char_length(p["text"]).cast("bigint").alias("length")))
+    whole = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["text"], F.lit(END))), "")
+    return parts.select(id_col, whole.alias("formatted"), F.transform("parts", span).alias("loss_mask"))
+
+
+def _cut(texts: DataFrame, id_col: str) -> DataFrame:
+    """``id_col, pieces, loss_mask, formatted_chars``: formatted texts cut into their turns, which stay escaped."""
+    pieces = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda p: p != "")
+    return texts.select(id_col, pieces.alias("pieces"), "loss_mask", F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+def _role(piece: Column) -> Column:
+    return unescaped(F.substring(piece, F.lit(len(START) + 1), F.instr(piece, "\n") - len(START) - 1))
+
+
+def _text(piece: Column) -> Column:
+    return unescaped(F.substring(piece, F.instr(piece, "\n") + 1, F.char_length(piece)))
+
+
+def _loss_text() -> Column:
+    under = lambda p, m: F.when(m.isNotNull(), unescaped(F.substring(p, (m["start"] + 1).cast("int"), m["length"].cast("int"))))
+    return F.array_join(F.zip_with("pieces", "loss_mask", under), "")
 
 
 def read_back(texts: DataFrame, id_col: str) -> DataFrame:
-    """``id_col, turns, loss_text, formatted_chars`` from formatted texts and their loss spans."""
-    parts = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda p: p != "")
-    at = lambda p: F.instr(p, "\n")
-    turn = lambda p: F.struct(unescaped(F.substring(p, F.lit(len(START) + 1), at(p) - len(START) - 1)).alias("role"), unescaped(F.substring(p, at(p) + 1, F.char_length(p))).alias("text"))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
-    return texts.select(id_col, F.transform(parts, turn).alias("turns"), loss.alias("loss_text"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+    """``id_col, turns, loss_text, formatted_chars`` from formatted texts and their loss masks."""
+    turn = lambda p: F.struct(_role(p).alias("role"), _text(p).alias("text"))
+    return _cut(texts, id_col).select(id_col, F.transform("pieces", turn).alias("turns"), _loss_text().alias("loss_text"), "formatted_chars")
 
 
-def digests(back: DataFrame, id_col: str) -> DataFrame:
-    """The digest columns of conversations that were read back."""
-    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select(id_col, F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.char_length("loss_text").cast("bigint").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+def digests(texts: DataFrame, id_col: str) -> DataFrame:
+    """The digest columns of formatted texts, read back turn by turn."""
+    told = F.array_join(F.transform("pieces", lambda p: F.concat(_role(p), F.lit("\n"), _text(p), F.lit("\n"))), "")
+    back = _cut(texts, id_col).select(id_col, F.size("pieces").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), _loss_text().alias("loss_text"), "formatted_chars")
+    return back.select(id_col, "n_turns", "turns_sha256", F.char_length("loss_text").cast("bigint").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
 def whole_conversations(conversations: DataFrame) -> DataFrame:
@@ -139,7 +159,7 @@ def whole_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def records_of(whole: DataFrame) -> DataFrame:
-    """``conv_id, m, record``: whole conversations as JSON records, whose layouts differ by shape and id.
+    """``conv_id, record``: whole conversations as JSON records, whose layouts differ by shape and id.
 
     A user and an assistant turn alone become a prompt record or an instruction record, all others lists of messages.
     """
@@ -149,13 +169,12 @@ def records_of(whole: DataFrame) -> DataFrame:
     messages = F.to_json(F.struct(F.transform("m", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
     others = F.to_json(F.struct(F.transform("m", lambda t: F.struct(t["role"].alias("from"), t["text"].alias("value"))).alias("conversations")))
     prompt, instruction = F.to_json(F.struct(first.alias("prompt"), second.alias("completion"))), F.to_json(F.struct(first.alias("instruction"), second.alias("response")))
-    return whole.select("conv_id", "m", F.when(single & odd, prompt).when(single, instruction).when(odd, messages).otherwise(others).alias("record"))
+    return whole.select("conv_id", F.when(single & odd, prompt).when(single, instruction).when(odd, messages).otherwise(others).alias("record"))
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:
-    """One row of digests for each conversation, read back from its formatted text."""
-    whole = whole_conversations(conversations)
-    mapped = canonical(records_of(whole).withColumn("key", F.struct("conv_id", "m")), "key", "record")
-    direct = F.transform("key.m", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    turns = mapped.select("key.conv_id", F.when(F.col("layout").isNull(), direct).otherwise(F.col("turns")).alias("turns"))
-    return digests(read_back(formatted(turns, "conv_id"), "conv_id"), "conv_id")
+    """One row of digests for each conversation, read back from the table of formatted texts that is written first."""
+    mapped = canonical(records_of(whole_conversations(conversations)), "conv_id", "record")
+    lost = F.raise_error(F.concat(F.lit("a record without a declared layout: conversation "), F.col("conv_id").cast("string"))).cast("array<struct<role: string, text: string>>")
+    turns = mapped.select("conv_id", F.when(F.col("layout").isNull(), lost).otherwise(F.col("turns")).alias("turns"))
+    return digests(written(formatted(turns, "conv_id"), "formatted"), "conv_id")
