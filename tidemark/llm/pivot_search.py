@@ -1,17 +1,21 @@
 """2. Exact top-k search by inner product: pivot-table elimination.
 
-Components are scaled to integers, so scores are exact. Every vector's distances to ``pivots`` pivots (a bounded sample,
-the vectors with the smallest id hashes) are computed once and packed with it. For a query q and a candidate x the
+Components are scaled to integers, so scores are exact. Every vector's distances to ``pivots`` pivots of its dimension
+(the vectors with the smallest id hashes) are computed once and kept with it. For a query q and a candidate x the
 triangle inequality over all pivots gives the maximum lower bound of their distance, hence an upper bound of
 <q, x> = (|q|^2 + |x|^2 - |q - x|^2) / 2. Candidates are evaluated exactly in bound order, in slabs, until the next
 bound is below the k-th best score found.
 
-Queries and candidates meet as blocks: ``query_block`` queries by ``block`` candidates, each pair of blocks is one
-row of an equi-join on (dimension, query block, candidate block), and gives at most k rows for each query.
+Vectors stand in blocks of about ``block`` rows, queries in blocks of about ``query_block``. A first pass searches one
+block for each query block: the k-th scores found there are the thresholds of the second pass, in which each query
+block meets all blocks of its dimension, a row of an equi-join each. Only query blocks are copied, so the shuffle
+grows by queries x blocks, and a pair of blocks gives at most k rows for each query.
 
-Cases: vectors that are null or empty or hold null or non-finite components take no part; vectors of other dimensions
-than the query's are no candidates; ties go to the smaller id; rows that repeat an id are candidates each (a query
-never meets its own id); a query with fewer than k candidates gets all; other columns are ignored.
+Cases: vectors that are null or empty or hold null or non-finite components take no part, nor do rows without an id;
+vectors of other dimensions than the query's are no candidates; ties go to the smaller id. Rows count as rows: of rows
+that repeat an id each is a candidate of the others, and each that is a query has results of its own, alike but for
+the row left out. A query with fewer than k candidates gets all. Scaled components and scores beyond 64 bits count as
+the nearest number of 64 bits. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,16 +23,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import small, written
 
-#: Sums of products of integers below this are exact in 64 bits for any usual dimension.
-SAFE = 1 << 24
-_PACK = "dim int, block bigint, ids binary, vectors binary, table binary"
+#: Integers up to here are exact as doubles, and so are sums of products that stay below.
+EXACT = float(1 << 53)
+_LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -45,65 +48,105 @@ def table_of(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def packed(vectors: DataFrame, pivots: dict[int, np.ndarray], rows: int, blocks: int) -> DataFrame:
-    """Blocks of about ``rows`` vectors with their pivot tables; the block is chosen by the id's hash."""
+def _matrix(scalar: pa.Scalar, width: int) -> np.ndarray:
+    """A list of numbers as rows of ``width`` numbers."""
+    return scalar.values.to_numpy().reshape(-1, width)
 
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(part["v"].tolist(), np.float64)
-        dim = x.shape[1]
-        out = [(dim, int(part["block"].iloc[0]), part["id"].to_numpy("<i8")[i : i + 2 * rows].tobytes(), x[i : i + 2 * rows].tobytes(), table_of(x[i : i + 2 * rows], pivots[dim]).tobytes()) for i in range(0, len(x), 2 * rows)]
-        return pd.DataFrame(out, columns=["dim", "block", "ids", "vectors", "table"])
 
-    return vectors.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).groupBy("dim", "block").applyInPandas(pack, _PACK)
+def packed(base: DataFrame, chosen: DataFrame, blocks: int) -> DataFrame:
+    """``dim, block, rows, ids, vectors, tables``: blocks of vectors with their distances to the pivots.
 
+    A row's block follows from its row number's hash, so rows that repeat an id spread over blocks.
+    """
+    at = F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")
+    grouped = base.groupBy("dim", at).agg(F.collect_list("row").alias("rows"), F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vectors"))
 
-def search(qids: np.ndarray, q: np.ndarray, qt: np.ndarray, ids: np.ndarray, x: np.ndarray, xt: np.ndarray, k: int, slab: int = 256) -> list[tuple[int, int, int]]:
-    """(query, id, score) of the k best candidates of each query among the candidates of one block."""
-    exact = np.int64 if max(np.abs(q).max(), np.abs(x).max()) < SAFE else object
-    qi, xi = ((q.astype(np.int64), x.astype(np.int64)) if exact is np.int64 else (np.vectorize(int, otypes=[object])(q), np.vectorize(int, otypes=[object])(x)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                dim = one.column("dim")[0].as_py()
+                table = table_of(_matrix(one.column("vectors")[0], dim), _matrix(one.column("pivots")[0], dim))
+                values = pa.array([table.ravel()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("dim", "block", "rows", "ids", "vectors")), values], ["dim", "block", "rows", "ids", "vectors", "tables"])
+
+    return grouped.join(small(chosen), "dim").mapInArrow(run, "dim int, block bigint, rows array<bigint>, ids array<bigint>, vectors array<double>, tables array<double>")
+
+
+def search(q_rows: np.ndarray, q: np.ndarray, qt: np.ndarray, least: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, xt: np.ndarray, k: int, slab: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the ids and scores of its k best candidates of one block that reach its threshold ``least``."""
+    exact = np.abs(q).max(initial=0.0) * np.abs(x).max(initial=0.0) * q.shape[1] < EXACT
+    # integers of any size where doubles don't hold them
+    qi, xi = (q, x) if exact else (np.vectorize(int, otypes=[object])(q), np.vectorize(int, otypes=[object])(x))
     q2, x2 = (q * q).sum(1), (x * x).sum(1)
     out = []
     for i in range(len(q)):
         low = np.zeros(len(x))
         for p in range(qt.shape[1]):
             np.maximum(low, np.abs(xt[:, p] - qt[i, p]), out=low)
-        low = np.maximum(low - 1e-6 * (1 + low), 0)  # rounding can't lift it above the true bound
-        bound = (q2[i] + x2 - low * low) / 2
-        bound += 1e-9 * (np.abs(bound) + q2[i] + x2) + 1e-3
-        order = np.argsort(-bound, kind="stable")
-        best_s, best_id = np.empty(0, exact), np.empty(0, np.int64)
+        size = q2[i] + x2
+        low = np.maximum(low - 1e-6 * (1 + low) - 1e-7 * np.sqrt(size), 0)  # rounding can't lift it above the true bound
+        bound = (size - low * low) / 2
+        bound += 1e-9 * (np.abs(bound) + size) + 1e-3
+        bound = np.maximum(bound, float(_LONG[0]))  # as scores are
+        order = np.flatnonzero(bound >= least[i])
+        order = order[np.argsort(-bound[order], kind="stable")]
+        best_s, best_id = np.empty(0, np.int64), np.empty(0, np.int64)
         for a in range(0, len(order), slab):
             at = order[a : a + slab]
             if len(best_s) == k and bound[at[0]] < best_s[-1]:
                 break
-            at = at[ids[at] != qids[i]]
-            s = np.concatenate([best_s, xi[at] @ qi[i]])
-            d = np.concatenate([best_id, ids[at]])
-            keep = np.lexsort((d, -s))[:k]
+            at = at[rows[at] != q_rows[i]]
+            s = xi[at] @ qi[i]
+            s = s.astype(np.int64) if exact else np.array([min(max(int(v), _LONG[0]), _LONG[1]) for v in s], np.int64)
+            s, d = np.concatenate([best_s, s]), np.concatenate([best_id, ids[at]])
+            keep = np.lexsort((d, ~s))[:k]
             best_s, best_id = s[keep], d[keep]
-        out += [(int(qids[i]), int(d), int(s)) for d, s in zip(best_id, best_s, strict=True)]
+        out.append((best_id, best_s))
     return out
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 10, pivots: int = 32, block: int = 4096, query_block: int = 256) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each row of ``vectors`` (``id, v``) that is a query its k best others."""
-    base = written(vectors, "vectors")
-    dims = [r[0] for r in base.select(F.size("v")).distinct().limit(64).collect()]
-    chosen = {d: np.array([r.v for r in base.where(F.size("v") == d).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(pivots).collect()]) for d in dims}
-    n, m = base.count(), base.where(is_query).count()
-    blocks, query_blocks = -(-n // block) or 1, -(-m // query_block) or 1
-    x = packed(base, chosen, block, blocks)
-    q = packed(base.where(is_query), chosen, query_block, query_blocks).toDF("dim", "q_block", "q_ids", "q_vectors", "q_table")
-    x = x.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_blocks - 1).cast("bigint"))))
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+def _searched(met: DataFrame, k: int, thresholds: bool) -> DataFrame:
+    """Pairs of blocks searched: (query row, id, candidate, score), or the query blocks with their k-th scores."""
+    kept = ("dim", "q_block", "q_rows", "q_ids", "q_vectors", "q_tables")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                dim = r["dim"]
-                found = search(np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_vectors"]).reshape(-1, dim), np.frombuffer(r["q_table"]).reshape(-1, len(chosen[dim])), np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"]).reshape(-1, dim), np.frombuffer(r["table"]).reshape(-1, len(chosen[dim])), k)
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
-
-    met = q.join(x, ["dim", "q_block", "block"]).mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                dim = one.column("dim")[0].as_py()
+                flat = {c: one.column(c)[0].values.to_numpy() for c in ("q_rows", "q_ids", "least", "rows", "ids")}
+                x = {c: _matrix(one.column(c)[0], dim) for c in ("q_vectors", "vectors")}
+                t = {c: one.column(f"{c}tables")[0].values.to_numpy().reshape(len(flat[f"{c}rows"]), -1) for c in ("q_", "")}
+                found = search(flat["q_rows"], x["q_vectors"], t["q_"], flat["least"], flat["rows"], flat["ids"], x["vectors"], t[""], k)
+                if thresholds:
+                    least = pa.array([[float(s[-1]) if len(s) == k else -np.inf for _, s in found]], pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([*(one.column(c) for c in kept), least], [*kept, "least"])
+                else:
+                    n = [len(s) for _, s in found]
+                    columns = [np.repeat(flat["q_rows"], n), np.repeat(flat["q_ids"], n), np.concatenate([d for d, _ in found]), np.concatenate([s for _, s in found])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["q_row", "query_id", "vec_id", "score"])
+
+    if thresholds:
+        return met.mapInArrow(run, "dim int, q_block bigint, q_rows array<bigint>, q_ids array<bigint>, q_vectors array<double>, q_tables array<double>, least array<double>")
+    return met.mapInArrow(run, "q_row bigint, query_id bigint, vec_id bigint, score bigint")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 32, block: int = 4096, query_block: int = 1024) -> DataFrame:
+    """``query_id, rank, vec_id, score``: for each row of ``vectors`` (``id, v``) that is a query its k best others."""
+    base = written(vectors.select("id", "v", F.size("v").alias("dim"), is_query.alias("asks"), F.monotonically_increasing_id().alias("row")), "vectors")
+    n, m = base.agg(F.count("*"), F.count_if("asks")).first()
+    blocks, query_blocks = -(-n // block) or 1, -(-m // query_block) or 1
+    order = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id", F.lit(5)), "row"))
+    chosen = base.withColumn("at", order).where(F.col("at") <= pivots).groupBy("dim").agg(F.flatten(F.collect_list("v")).alias("pivots"))
+    chosen = written(chosen, "pivots")
+    x = written(packed(base, chosen, blocks), "blocks")
+    q = packed(base.where("asks"), chosen, query_blocks).toDF("dim", "q_block", "q_rows", "q_ids", "q_vectors", "q_tables")
+    none = F.transform("q_rows", lambda _: F.lit(float("-inf")))
+    first = q.withColumn("least", none).withColumn("block", F.col("q_block") % blocks)
+    # a dimension may have no vectors in the block that comes first: such queries start without thresholds
+    q = written(_searched(first.join(x, ["dim", "block"]), k, True).unionByName(first.join(x.select("dim", "block"), ["dim", "block"], "left_anti").drop("block")), "queries")
+    every = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    found = _searched(every.join(x, ["dim", "block"]), k, False)
+    rank = F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

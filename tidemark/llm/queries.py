@@ -73,16 +73,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP2_SQL = """
 with v as (
-    select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+    select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
     from embeddings
     where embedding is not null and len(embedding) > 0
       and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-    select q.vec_id as query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::bigint as score
-    from v q join v x on q.vec_id <> x.vec_id and len(q.v) = len(x.v)
+    select q.n, q.vec_id as query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::bigint as score
+    from v q join v x on q.n <> x.n and len(q.v) = len(x.v)
     where q.vec_id % 100 = 0
 )
-select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+select query_id, row_number() over (partition by n order by score desc, vec_id)::int as rank, vec_id, score
 from s qualify rank <= 10
 """
 
@@ -122,7 +122,7 @@ qualify row_number() over (partition by doc_id, item_id order by similarity desc
 OP3_SQL = """
 with p as (
     select page_id, url, page_id % 365 + 19000 as fetch_day,
-      regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\\.$', '') as host,
+      regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/?#:@]*)', 1)), '\\.$', '') as host,
       regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) as path,
       regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/+([^/?#]+)', 1) as step
     from pages

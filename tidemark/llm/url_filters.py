@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import small, written
 
 FOREVER = 1 << 40
-_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)"
 _PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
 
 def host_of(url: str) -> Column:
-    """Lower-case host without user, port or final dot; empty where there is none."""
+    """Lower-case host without user, port or final dot, an IPv6 address in its brackets; empty where there is none."""
     return F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.$", "")
 
 
@@ -33,7 +33,8 @@ def keys_of(url: str) -> Column:
     host = host_of(url)
     labels = F.split(host, r"\.")
     steps = F.filter(F.split(F.regexp_extract(url, _PATH, 1), "/"), lambda s: s != "")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    domains = F.when(host.startswith("["), F.array(F.concat(F.lit("d:"), host))).otherwise(suffixes)
     prefixes = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host != "", F.array_distinct(F.concat(domains, prefixes))).otherwise(F.array().cast("array<string>"))
 
