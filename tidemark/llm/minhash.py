@@ -9,14 +9,19 @@
    Confirmed pairs are links; components come from min-label spreading.
 4. Pairs the stars can't show are few and found exactly. Let x and y be mates of a center c in different components.
    Shingles they share are shared with c too, at most min(|x & c|, |y & c|), or lie outside c. So a link needs enough
-   outside shingles in common, which a join on (center, shingle) counts, or sets so small that the first term reaches
-   the threshold alone, which a join on (center, set size) lists. Shingles that meet one component only don't count,
-   and members that can't reach the threshold with those left are put aside first. What passes is confirmed on full
-   sets. So no link between bucket mates of different components is lost, whatever the size of a bucket.
+   outside shingles in common, or sets so small that the first term reaches the threshold alone, which a join on
+   (center, set size) lists. Shingles that meet one component only don't count, and members that can't reach the
+   threshold with those left are put aside first. Of the others' outside shingles, ordered from the rarest beside
+   their center, only so many are joined that two sets with enough in common must share one of them (prefix filter).
+   What passes is confirmed on full sets. So no link between bucket mates of different components is lost, whatever
+   the size of a bucket.
+
+Full sets meet a center at a time, in salted blocks of ``BLOCK`` mates: a center's text is sent once for each block.
 
 Cases: null and empty texts have no shingles and link with nothing; a text with fewer words than a shingle is one
-shingle; rows that repeat a doc_id each get a result, and all are kept if one stands for its group; a null doc_id
-has a null component; an empty table gives an empty result; other columns are ignored.
+shingle; rows that repeat a doc_id each get the result of their own text, and all are kept if one stands for its group;
+a null doc_id has a null component and is kept by ``deduplicated``; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, mix, shingles, slices, small, words_of, written
+from tidemark.llm.common import mix, removed, shingles, slices, small, words_of, written
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Mates that meet a center's text in one block, about.
+BLOCK = 256
 
 
 def densified(values: np.ndarray, bins: int) -> np.ndarray:
@@ -61,7 +68,7 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n, key, bands``: set size, set digest and bucket keys."""
+    """``doc_id, text_hash, n, key, bands`` of ``doc_id, text, text_hash``: set size, set digest and bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -77,29 +84,41 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 else:
                     key.append(None)
                     band.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "n", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "key", "bands"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, key binary, bands array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, key binary, bands array<bigint>")
 
 
 def measured(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Pairs ``a, b`` compared on full sets: ``n_a, n_b, common`` and the shingles ``outside``, in b but not in a."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    """Distinct pairs ``a, b`` compared on full sets: ``n_a, n_b, common`` and the shingles ``outside``, in b but not in a.
+
+    ``texts``: one ``doc, text`` for each member.
+    """
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
+    dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
+    heads = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("doc", "a"), "a").select("a", "salt", F.lit(None).cast("bigint").alias("b"), "text")
+    mates = dealt.join(texts.withColumnRenamed("doc", "b"), "b").select("a", "salt", "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Memo(lambda text: shingles(words_of(text), size), 64)
+        u = np.empty(0, np.uint64)  # the set of the center whose mates follow
         for batch in slices(batches):
-            n_a, n_b, outside = [], [], []
-            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                u, v = sets[x], shingles(words_of(y), size)
+            a, b, n_a, n_b, outside = [], [], [], [], []
+            for x, y, text in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                v = shingles(words_of(text), size)
+                if y is None:
+                    u = v
+                    continue
+                a.append(x)
+                b.append(y)
                 n_a.append(len(u))
                 n_b.append(len(v))
                 outside.append(np.setdiff1d(v, u, assume_unique=True).view(np.int64))
             common = [n - len(o) for n, o in zip(n_b, outside, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(common, pa.int64()), pa.array(outside, pa.list_(pa.int64()))], ["a", "b", "n_a", "n_b", "common", "outside"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (a, b, n_a, n_b, common)), pa.array(outside, pa.list_(pa.int64()))], ["a", "b", "n_a", "n_b", "common", "outside"])
 
-    return both.mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint, outside array<bigint>").dropDuplicates(["a", "b"])
+    # a center comes before its mates, as null sorts first
+    rows = heads.union(mates).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
+    return rows.select("a", "b", "text").mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint, outside array<bigint>")
 
 
 def reaches(common: str, n_a: str, n_b: str, percent: int) -> Column:
@@ -107,9 +126,25 @@ def reaches(common: str, n_a: str, n_b: str, percent: int) -> Column:
     return F.expr(f"{100 + percent} * ({common}) >= {percent} * ({n_a} + {n_b})")
 
 
+def sharing(shares: DataFrame, percent: int) -> DataFrame:
+    """Distinct ``x, y`` beside one center, of different components, that share a shingle of their prefixes.
+
+    ``shares``: ``a, b, n_b, common, label, n_min, shingle``, written. Any partner of b has ``n_min`` shingles or more,
+    so the pair needs at least ``need`` outside shingles in common; b may leave out the last ``need - 1`` of its own.
+    """
+    rarity = shares.groupBy("a", "shingle").agg(F.count("*").alias("f"))
+    by = Window.partitionBy("a", "b")
+    need = F.greatest(F.lit(1), F.expr(f"cast(ceil({percent} * (n_b + greatest(n_min, ceil({percent} * n_b / 100))) / {100 + percent}) as bigint) - common"))
+    ranked = shares.join(rarity, ["a", "shingle"]).withColumns({"at": F.row_number().over(by.orderBy("f", "shingle")), "s": F.count("*").over(by)})
+    prefix = written(ranked.where(F.col("at") <= F.col("s") - need + 1).select("a", "shingle", "b", "n_b", "label"), "prefixes")
+    x, y = prefix.toDF("a", "shingle", "x", "n_x", "label_x"), prefix.toDF("a", "shingle", "y", "n_y", "label_y")
+    met = x.join(y, ["a", "shingle"]).where("x < y and label_x <> label_y").where(f"{percent} * greatest(n_x, n_y) <= 100 * least(n_x, n_y)")
+    return met.select("x", "y").distinct()
+
+
 def beyond_stars(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of mates of one center, in different components, that may reach the threshold (see 4 above)."""
-    rows = star.join(labels.withColumnRenamed("doc_id", "b"), "b", "left").withColumn("label", F.coalesce("component_id", "b"))
+    rows = star.join(labels.withColumnRenamed("doc", "b"), "b", "left").withColumn("label", F.coalesce("component", "b"))
     groups = rows.groupBy("a").agg(F.min("n_b").alias("n_min"), F.max("n_b").alias("n_max"), F.min("label").alias("l_min"), F.max("label").alias("l_max")).where("l_min <> l_max")
     rows = written(rows.join(small(written(groups.select("a", "n_min", "n_max"), "groups")), "a").select("a", "b", "n_a", "n_b", "common", "outside", "label", "n_min", "n_max"), "mixed")
 
@@ -120,10 +155,7 @@ def beyond_stars(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         left = shares.groupBy("a", "b").agg(F.any_value("n_b").alias("n_b"), F.any_value("common").alias("common"), F.any_value("n_min").alias("n_min"), F.count("*").alias("s"))
         alive = left.where(reaches("common + s", "n_b", f"greatest(n_min, ceil({percent} * n_b / 100))", percent)).select("a", "b")
         shares = written(shares.join(alive, ["a", "b"], "left_semi"), "shares")
-    x = shares.select("a", "shingle", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("common").alias("common_x"), F.col("label").alias("label_x"))
-    y = shares.select("a", "shingle", F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("common").alias("common_y"), F.col("label").alias("label_y"))
-    met = x.join(y, ["a", "shingle"]).where("x < y and label_x <> label_y").groupBy("a", "x", "y", "n_x", "n_y", "common_x", "common_y").agg(F.count("*").alias("k"))
-    by_shingles = met.where(reaches("least(common_x, common_y) + k", "n_x", "n_y", percent)).select("x", "y")
+    by_shingles = sharing(shares, percent)
 
     lo, hi = F.expr(f"greatest(n_min, ceil({percent} * n_b / 100))"), F.expr(f"least(n_max, floor({100 + percent} * common / {percent}) - n_b)")
     apart = rows.where(~reaches("common", "n_a", "n_b", percent)).select("a", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("common").alias("common_x"), F.col("label").alias("label_x"), lo.alias("lo"), hi.alias("hi"))
@@ -134,39 +166,44 @@ def beyond_stars(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``doc_id, component_id``: the smallest id reachable over undirected links ``a, b``, for ids that have a link.
+    """``doc, component``: the smallest number reachable over undirected links ``a, b``, for those that have a link.
 
-    Every round each id takes the smallest label among itself and its neighbours, then the label of its label; the
-    rounds end when no label changes. Labels are written to the shared folder each round.
+    Every round each takes the smallest label among itself and its neighbours, then the label of its label; the rounds
+    end when no label changes. Labels are written to the shared folder each round, and the round before goes.
     """
-    both = links.union(links.select("b", "a")).toDF("doc_id", "other").distinct()
+    both = links.union(links.select("b", "a")).toDF("doc", "other").distinct()
     edges = written(both, "links")
-    labels = written(edges.groupBy("doc_id").agg(F.least("doc_id", F.min("other")).alias("component_id")), "labels")
+    labels = written(edges.groupBy("doc").agg(F.least("doc", F.min("other")).alias("component"), F.col("doc").alias("was")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("doc_id", "other"), "other").groupBy("doc_id").agg(F.min("component_id").alias("near"))
-        hop = labels.join(near, "doc_id").select("doc_id", F.least("component_id", "near").alias("hop"), F.col("component_id").alias("was"))
-        jump = labels.select(F.col("doc_id").alias("hop"), F.col("component_id").alias("far"))
-        new = written(hop.join(jump, "hop", "left").select("doc_id", F.least("hop", F.coalesce("far", "hop")).alias("component_id"), "was"), "labels")
-        labels = new.select("doc_id", "component_id")
-        if new.where("component_id <> was").isEmpty():
-            return labels
+        now = labels.select("doc", "component")
+        near = edges.join(now.withColumnRenamed("doc", "other"), "other").groupBy("doc").agg(F.min("component").alias("near"))
+        hop = now.join(near, "doc").select("doc", F.least("component", "near").alias("hop"), F.col("component").alias("was"))
+        jump = now.select(F.col("doc").alias("hop"), F.col("component").alias("far"))
+        new = written(hop.join(jump, "hop", "left").select("doc", F.least("hop", F.coalesce("far", "hop")).alias("component"), "was"), "labels")
+        removed(labels)
+        labels = new
+        if new.where("component <> was").isEmpty():
+            return new.select("doc", "component")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 36, rows: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``)."""
-    source = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    """``doc_id, n_shingles, component_id, kept, text_hash`` of every row of ``docs`` (``doc_id, text``)."""
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     table = written(signatures(source, size, bands, rows), "signatures")
     filled = table.where("n > 0")
-    reps = written(filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "bands"), "doc_id").alias("x")).select("key", "rep", "x.*"), "classes")
+    # a class has a number, and one of its texts stands for it: the one of the smallest doc_id
+    first = F.struct("doc_id", "text_hash")
+    classes = filled.groupBy("key").agg(F.min(first).alias("r"), F.min_by(F.struct("n", "bands"), first).alias("x"))
+    reps = written(classes.select("key", F.monotonically_increasing_id().alias("doc"), F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("rep_hash"), "x.*"), "classes")
 
-    buckets = reps.select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("bucket"))
+    buckets = reps.select("doc", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     mates = written(buckets.join(small(written(shared, "shared")), "bucket"), "mates")
-    central = mates.groupBy("doc_id").agg(F.sum("members").alias("shares"))
-    centers = mates.select("bucket", "doc_id").join(central, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("shares", -F.col("doc_id"))).alias("center"))
-    pairs = mates.join(centers, "bucket").where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    wanted = small(written(central.select("doc_id"), "wanted"))
-    texts = source.join(wanted, "doc_id", "left_semi")
+    central = mates.groupBy("doc").agg(F.sum("members").alias("shares"))
+    centers = mates.select("bucket", "doc").join(central, "doc").groupBy("bucket").agg(F.max_by("doc", F.struct("shares", -F.col("doc"))).alias("center"))
+    pairs = mates.join(centers, "bucket").where("doc <> center").select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct()
+    wanted = small(written(reps.join(central.select("doc"), "doc", "left_semi").select("doc", F.col("rep").alias("doc_id"), F.col("rep_hash").alias("text_hash")), "wanted"))
+    texts = source.join(wanted, (source.doc_id.eqNullSafe(wanted.doc_id)) & (source.text_hash == wanted.text_hash)).select("doc", "text").dropDuplicates(["doc"])
     star = written(measured(written(pairs, "pairs"), texts, size), "star")
     links = star.where(reaches("common", "n_a", "n_b", percent)).select("a", "b")
     labels = components(links)
@@ -176,13 +213,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         if not more.isEmpty():
             labels = components(links.union(more))
 
-    classed = filled.select("doc_id", "n", "key").join(reps.select("key", "rep"), "key")
-    found = classed.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component_id", "rep").alias("component_id"))
-    every = found.union(table.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"))
+    linked = reps.select("key", "doc", "rep").join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = linked.join(least, "component").select("key", "component_id")
+    found = filled.select("doc_id", "text_hash", "n", "key").join(named, "key").select("doc_id", "text_hash", "n", "component_id")
+    every = found.unionByName(table.where("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id")))
+    shown = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    return every.select("doc_id", F.col("n").alias("n_shingles"), shown.alias("component_id"), (shown == F.col("doc_id")).alias("kept"), "text_hash")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their group."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(written(gone, "gone")), F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(small(written(gone, "gone")), (F.col("doc_id").cast("bigint") == F.col("_gone")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
