@@ -13,8 +13,9 @@ DataFrame functions only. Texts are lower-cased words; shingles have ``size`` wo
    distance, so that no pair is lost by chance.
 4. The exact similarity, sum of minima by sum of maxima of shingle counts, decides.
 
-Cases: null and empty texts and items match nothing; repeated rows give repeated results once for each (doc_id, item_id);
-an empty benchmark gives an empty result; whole texts are searched; other columns are ignored.
+Cases: null and empty texts and items match nothing; an empty benchmark gives an empty result; whole texts are searched;
+repeated rows give one result for each (doc_id, item_id), the best of rows that repeat a doc_id with other texts;
+``decontaminated`` judges each row by its own text, with or without a doc_id; other columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, small, written
+from tidemark.llm.common import BROADCAST_ROWS, SPACES, small, written
 
 BITS = 64
 
@@ -55,10 +56,16 @@ def blocks(fingerprint: str, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
 
 
+def numbered(array: str) -> Column:
+    """The shingles of an array made distinct: those after the first of a kind get their number (no word holds a line feed)."""
+    seen = lambda s, i: F.size(F.filter(F.slice(array, F.lit(1), i), lambda v: v == s))
+    told = F.transform(array, lambda s, i: F.when(i > 0, F.concat(s, F.when(seen(s, i) > 0, F.concat(F.lit("\n"), seen(s, i).cast("string"))).otherwise(""))).otherwise(s))
+    return F.when(F.size(F.array_distinct(array)) == F.size(array), F.col(array)).otherwise(told)
+
+
 def similarity(x: str, y: str) -> Column:
-    """Sum of minima by sum of maxima of the counts of shingles in two arrays."""
-    count = lambda a, s: F.size(F.filter(a, lambda v: v == s))
-    common = F.aggregate(F.array_distinct(x), F.lit(0), lambda acc, s: acc + F.least(count(F.col(x), s), count(F.col(y), s)))
+    """Sum of minima by sum of maxima of the counts of shingles in two arrays of numbered shingles."""
+    common = F.size(F.array_intersect(x, y))
     return common / (F.size(x) + F.size(y) - common)
 
 
@@ -80,37 +87,57 @@ def seeds(items: DataFrame, size: int, percent: int) -> DataFrame:
     return chosen.withColumn("at", (F.array_position(F.split("seed", " "), F.col("word")) - 1).cast("int"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, radius: int = 18) -> DataFrame:
-    """``doc_id, item_id, start_word, n_words, hamming, similarity``: for each document and item its best window."""
+def seed_hits(source: DataFrame, seed: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The places of ``source`` (``doc_id, text_hash, w``) where a seed stands, with the seed's columns and ``begin``.
+
+    Words meet the seeds that are to be found by them in broadcast joins, so that no text is shuffled; beyond ``rows``
+    seeds there are several, each of a part of the seeds.
+    """
+    parts = -(-seed.count() // rows) or 1
+    word = source.select("doc_id", "text_hash", "w", F.posexplode("w").alias("p", "word"))
+    begin = F.col("p") - F.col("at")
+    out = None
+    for i in range(parts):
+        mine = seed if parts == 1 else seed.where(F.pmod(F.xxhash64("seed"), F.lit(parts)) == i)
+        met = word.join(F.broadcast(mine), "word").where((begin >= 0) & (begin + F.col("k") <= F.size("w"))).where(F.array_join(F.slice("w", begin + 1, F.col("k")), " ") == F.col("seed"))
+        out = met if out is None else out.unionByName(met)
+    return out.withColumn("begin", begin)
+
+
+def matches(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, radius: int = 18) -> DataFrame:
+    """``doc_id, text_hash, item_id, start_word, n_words, hamming, similarity`` of all windows that match an item."""
     bench = written(benchmark_items(items, size), "items")
     seed = written(seeds(bench, size, percent), "seeds")
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words("text").alias("w"))
-    word = source.select("doc_id", "w", F.posexplode("w").alias("p", "word"))
-    begin = F.col("p") - F.col("at")
-    hit = word.join(small(seed), "word").where((begin >= 0) & (begin + F.col("k") <= F.size("w"))).where(F.array_join(F.slice("w", begin + 1, F.col("k")), " ") == F.col("seed"))
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words("text").alias("w"))
+    hit = seed_hits(source, seed)
 
     length = F.least("n_words", F.size("w"))
     start = F.explode(F.sequence(-F.col("slack"), F.col("slack"))).alias("shift")
-    laid = hit.select("doc_id", "w", "n_words", "item_id", (begin - F.col("offset")).alias("begin"), start)
+    laid = hit.select("doc_id", "text_hash", "w", "n_words", "item_id", (F.col("begin") - F.col("offset")).alias("begin"), start)
     inside = F.greatest(F.lit(0), F.least(F.col("begin") + F.col("shift"), F.size("w") - length))
-    windows = laid.select("doc_id", "n_words", "item_id", inside.alias("start_word"), F.slice("w", inside + 1, length).alias("x"))
-    windows = windows.groupBy("doc_id", "n_words", "start_word").agg(F.first("x").alias("x"), F.collect_set("item_id").alias("seeded"))
-    windows = windows.withColumn("shingles", shingled("x", F.least(F.lit(size), F.col("n_words")))).drop("x").withColumn("print", simhash("shingles"))
-    windows = written(windows, "windows")
+    windows = laid.select("doc_id", "text_hash", "n_words", "item_id", inside.alias("start_word"), F.slice("w", inside + 1, length).alias("x"))
+    windows = windows.groupBy("doc_id", "text_hash", "n_words", "start_word").agg(F.first("x").alias("x"), F.collect_set("item_id").alias("seeded"))
+    windows = windows.withColumn("shingles", shingled("x", F.least(F.lit(size), F.col("n_words")))).drop("x")
+    windows = written(windows.withColumns({"print": simhash("shingles"), "shingles": numbered("shingles"), "window": F.monotonically_increasing_id()}), "windows")
 
-    marked = bench.select("item_id", "n_words", "item_shingles", simhash("item_shingles").alias("item_print"))
-    left = windows.select("doc_id", "start_word", "n_words", "print", F.explode(blocks("print", radius)).alias("b")).select("doc_id", "start_word", "n_words", "print", "b.no", "b.bits")
+    marked = written(bench.select("item_id", "n_words", numbered("item_shingles").alias("item_shingles"), simhash("item_shingles").alias("item_print")), "prints")
+    left = windows.select("window", "n_words", "print", F.explode(blocks("print", radius)).alias("b")).select("window", "n_words", "print", "b.no", "b.bits")
     right = marked.select("item_id", "n_words", "item_print", F.explode(blocks("item_print", radius)).alias("b")).select("item_id", "n_words", "item_print", "b.no", "b.bits")
     hamming = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = left.join(right, ["n_words", "no", "bits"]).where(hamming <= radius).select("doc_id", "start_word", "n_words", "item_id")
-    near = near.union(windows.select("doc_id", "start_word", "n_words", F.explode("seeded"))).distinct()
-    full = near.join(windows.select("doc_id", "start_word", "n_words", "shingles", "print"), ["doc_id", "start_word", "n_words"]).join(small(marked.drop("n_words")), "item_id").withColumn("hamming", hamming)
+    near = left.join(right, ["n_words", "no", "bits"]).where(hamming <= radius).select("window", "item_id")
+    near = near.union(windows.select("window", F.explode("seeded"))).distinct()
+    full = near.join(windows.drop("seeded", "n_words"), "window").join(small(marked), "item_id").withColumn("hamming", hamming)
     exact = full.withColumn("similarity", similarity("shingles", "item_shingles")).where(F.col("similarity") * 100 >= percent)
+    return exact.select("doc_id", "text_hash", "item_id", "start_word", "n_words", "hamming", "similarity")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """``doc_id, item_id, start_word, n_words, hamming, similarity``: for each document and item its best window."""
     best = F.max_by(F.struct("start_word", "n_words", "hamming", "similarity"), F.struct(F.col("similarity"), -F.col("start_word"))).alias("best")
-    return exact.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    return matches(docs, items, **options).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
-    gone = contaminated(docs, items, **options).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(written(gone, "gone")), F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    gone = matches(docs, items, **options).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(small(written(gone, "gone")), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
