@@ -11,7 +11,8 @@ Word counts, N and V are exact and made by Spark; the most frequent words are br
 joined by shuffles.
 
 Cases: a null or empty text has the end only; with no training rows all counts are 0 and the first weights stand;
-rows that repeat a doc_id share the sums over their rare words; whole texts are scored.
+each row is scored by its own number, so rows that repeat a doc_id or have none get what their texts give; an empty
+table gives an empty result; other columns are ignored; whole texts are scored.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -287,10 +290,6 @@ class Fitted:
     discount: float
     rest: float  # log10 of the probability that a token is spelled by subword arcs
 
-    def word_arc(self, c: int) -> float:
-        """Probability of a word's own arc."""
-        return max(c - self.discount, 0.0) / (self.total + 1)
-
 
 def fit(counts: DataFrame, model_file: str, rounds: int = 3, most_frequent: int = FREQUENT) -> Fitted:
     """``counts``: a written table of training word counts."""
@@ -319,39 +318,45 @@ def scored(docs: DataFrame, counts: DataFrame, model: Fitted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         lattice, get, end = lattice_of(m), m.frequent.get, END.encode()
-        base = Memo(lambda c: math.log10((c + 0.1) / denominator))
-
-        def whole(word: bytes) -> float:
-            """log10 of a frequent word's marginal probability; the end has its own arc only."""
-            return math.log10(m.word_arc(m.frequent[word]) + (0.0 if word == end else 10 ** max(-300.0, m.rest + lattice.log10.now[word])))
-
-        score = Memo(whole)
+        row = TaskContext.get().partitionId() << 40
         with without_gc():
             for batch in slices(batches):
-                out: list[tuple] = []
                 texts = [[*words_of(t), end] for t in batch.column(1).to_pylist()]
-                log10 = lattice.learn(set().union(*texts))
-                for doc_id, words in zip(batch.column(0).to_pylist(), texts, strict=True):
-                    c = list(map(get, words))
-                    if None in c:
-                        rare = Counter([w for w, x in zip(words, c, strict=True) if x is None])
-                        words = [w for w, x in zip(words, c, strict=True) if x is not None]
-                        c = [x for x in c if x is not None]
-                    else:
-                        rare = {}
-                    known, n = len(c), len(c) + sum(rare.values())
-                    more = [{"word": w.decode("utf-8", "replace"), "n": k, "l": -1.0 if w == end else log10[w]} for w, k in rare.items()]
-                    out.append((doc_id, n, known, math.fsum(map(base.__getitem__, c)), math.fsum(map(score.__getitem__, words)), more))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64()), ("l", pa.float64())])))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "n_tokens", "known", "base", "score", "rare"])
-
-    first = written(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, known bigint, base double, score double, rare array<struct<word: string, n: bigint, l: double>>"), "scored")
-    rare = first.select("doc_id", F.explode("rare").alias("r")).select("doc_id", "r.word", "r.n", "r.l").join(counts, "word", "left")
+                n = np.fromiter(map(len, texts), np.int64, len(texts))
+                kinds = set().union(*texts)
+                log10 = lattice.learn(kinds)
+                kinds = list(kinds)
+                c = np.array([get(w, -1) for w in kinds], np.float64)
+                spelled = np.array([-np.inf if w == end else log10[w] for w in kinds])  # the end has its own arc only
+                known = c >= 0
+                # log10 of a frequent word's base and marginal probabilities; the others' are summed up after the join
+                base = np.where(known, np.log10((np.maximum(c, 0) + 0.1) / denominator), 0.0)
+                sub = np.where(np.isfinite(spelled), 10 ** np.maximum(-300.0, m.rest + spelled), 0.0)
+                score = np.where(known, np.log10(np.maximum(np.maximum(c - m.discount, 0) / (m.total + 1) + sub, 5e-324)), 0.0)
+                index = dict(zip(kinds, range(len(kinds)), strict=True))
+                where = np.fromiter(map(index.__getitem__, chain.from_iterable(texts)), np.int64, n.sum())
+                starts = np.cumsum(n) - n
+                sums = [np.add.reduceat(x[where], starts) for x in (known.astype(np.int64), base, score)]
+                rare = ~known[where]
+                met, times = np.unique(np.repeat(np.arange(len(texts)), n)[rare] * len(kinds) + where[rare], return_counts=True)
+                kind = met % len(kinds)
+                words = pa.array([kinds[i].decode("utf-8", "replace") for i in kind.tolist()], pa.string())
+                each = pa.StructArray.from_arrays([words, pa.array(times, pa.int64()), pa.array(np.maximum(spelled[kind], -1e6))], ["word", "n", "l"])
+                cuts = np.searchsorted(met, np.arange(len(texts) + 1) * len(kinds))
+                more = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), each)
+                columns = [pa.array(np.arange(row, row + len(texts))), batch.column(0), pa.array(n), *map(pa.array, sums), more]
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "known", "base", "score", "rare"])
+
+    first = written(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, score double, rare array<struct<word: string, n: bigint, l: double>>"), "scored")
+    rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n", "r.l").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
     spelling = F.col("l") + spelled
     arc = F.when(c > 0, F.log10((c - discount) / (total + 1) + F.pow(F.lit(10.0), F.greatest(spelling, F.lit(-300.0))))).otherwise(spelling)
-    parts = rare.groupBy("doc_id").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((c + 0.1) / denominator)).alias("rest"), F.sum(F.col("n") * arc).alias("sub"))
-    joined = first.drop("rare").join(parts, "doc_id", "left")
+    # the end is rare only where nothing was learned
+    arc = F.when((F.col("word") == END) & (c == 0), F.lit(-1.0)).otherwise(arc)
+    parts = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((c + 0.1) / denominator)).alias("rest"), F.sum(F.col("n") * arc).alias("sub"))
+    joined = first.drop("rare").join(parts, "row", "left")
     return joined.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("sub", F.lit(0.0))).alias("score"))
 
 
