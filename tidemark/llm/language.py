@@ -2,11 +2,14 @@
 
 A text's features are its byte n-grams (2 to 4) inside words, each with an embedding; their mean goes through a linear
 softmax. As both steps are linear, a trained model is one table of logits per bucket. The training sample is bounded
-(``per_language`` rows of each of the ``languages`` most frequent languages); a fifth of its texts, with the
-parts cut from them, is held back to set the softmax temperature and the confidence below which a text is rejected.
-
-Cases: a text that is null, empty or without a letter gets ``und`` with score 0 and is rejected; the rows of other
-texts get the likeliest learned language. With no labelled rows every text is ``und``. Whole texts are used.
+(``per_language`` rows of each language, fewer where the languages are so many that there would be more than ``most``);
+a fifth of its texts, with the parts cut from them, is held back to set the softmax temperature and the confidence
+below which a text is rejected.
+
+Cases: a text that is null, empty or without a letter (a character of Unicode category L) gets ``und`` with score 0 and
+is rejected; the rows of other texts get the likeliest learned language. With no labelled rows every text is ``und``.
+Whole texts are used; repeated rows get repeated results, and of rows that repeat a doc_id one is learned for each
+language; an empty table gives an empty result; other columns are ignored, but for ``accepted``, which keeps them.
 """
 
 from __future__ import annotations
@@ -17,15 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_hash, crc_mod, ngram_buckets, slices
+from tidemark.llm.common import crc_mod, ngram_buckets, slices
 
 BITS = 16
 ORDERS = (2, 3, 4)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII = re.compile("[A-Za-z]")
 
 
 @dataclass
@@ -43,13 +46,17 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated confidence, and whether the prediction is accepted."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, False
         p = self.probabilities(text)
         best = int(p.argmax())
         return self.languages[best], float(p[best]), bool(p[best] >= self.least)
 
 
+def has_letter(text: str) -> bool:
+    return bool(_ASCII.search(text)) or any(map(str.isalpha, text))
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max())
     return e / e.sum()
@@ -62,7 +69,7 @@ def buckets(text: str) -> np.ndarray:
 
 def train(rows: list[tuple[str, str]], dims: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7, reject: float = 0.0005) -> LanguageModel:
     """Fit on (text, language) pairs. ``reject``: the share of right held-back predictions that the threshold gives up."""
-    rows = sorted({(t, lang) for t, lang in rows if t and _LETTER.search(t)})
+    rows = sorted({(t, lang) for t, lang in rows if t and has_letter(t)})
     languages = sorted({lang for _, lang in rows})
     k = len(languages)
     if not k:
@@ -112,15 +119,17 @@ def train(rows: list[tuple[str, str]], dims: int = 16, epochs: int = 6, rate: fl
     return LanguageModel(languages, table.astype(np.float32), b.astype(np.float64), float(temperature), least)
 
 
-def fit(docs: DataFrame, per_language: int = 400, languages: int = 64) -> LanguageModel:
-    """Train on a bounded sample of ``docs`` (``doc_id, text, lang``): null languages and texts are left out."""
-    labelled = docs.where("lang is not null and text is not null")
-    names = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    rows: list[tuple[str, str]] = []
-    for name in names:
-        ids = by_hash(labelled.where(F.col("lang") == name), per_language, "doc_id")
-        rows += [(r.text, name) for r in labelled.where(F.col("lang") == name).join(F.broadcast(ids), "doc_id", "left_semi").select("text").collect()]
-    return train(rows)
+def fit(docs: DataFrame, per_language: int = 400, most: int = 100_000) -> LanguageModel:
+    """Train on a bounded sample of ``docs`` (``doc_id, text, lang``): null languages and texts are left out.
+
+    One pass over ids and languages ranks the rows of each language by their hash, a second one fetches the texts.
+    """
+    labelled = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
+    known = labelled.agg(F.count_distinct("lang")).first()[0]
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(73)), "doc_id"))
+    ids = labelled.select("doc_id", "lang").withColumn("_r", order).where(F.col("_r") <= max(1, min(per_language, most // max(1, known)))).select("doc_id", "lang").distinct()
+    rows = labelled.join(F.broadcast(ids.limit(max(most, known))), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return train([(r.text, r.lang) for r in rows.select("text", "lang").collect()])
 
 
 def predicted(docs: DataFrame, model: LanguageModel) -> DataFrame:
