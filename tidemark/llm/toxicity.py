@@ -1,12 +1,16 @@
 """10. Toxicity: multiple-instance learning, sentence scores combined by noisy-or, trained from document labels.
 
-A document is a bag of sentences (cut after ``. ! ?`` and line feeds). A sentence's score is a logistic function of
-hashed byte n-grams (4 to 6, inside words, each once); the document's is 1 - prod(1 - sentence score). Only n-grams
-that prefer toxic documents in the bounded labelled sample (``per_class`` rows of each class) carry a weight.
-Sentences that score half or more are located.
+A document is a bag of sentences (cut after ``. ! ?`` and line feeds). A sentence's evidence is a sum of weights of
+hashed byte n-grams (4 to 6, inside words, each once), none negative. Its score is the rise of a logistic function over
+its value without evidence, so a sentence that holds none of the n-grams scores 0 and length alone convicts nobody.
+Only n-grams that prefer toxic documents in the bounded labelled sample (``per_class`` rows of each class) carry a
+weight. Weights are fitted to document labels by leaky noisy-or, 1 - (1 - leak) prod(1 - sentence score), where the
+leak takes what no sentence explains. Sentences that score half or more offend, and are located; a document's score is
+1 - prod(1 - sentence score) over the offending ones, or else its highest sentence score.
 
 Cases: a null or empty text has no sentence and scores 0; without labelled rows of both classes every score is 0;
-repeated rows get repeated results; conflicting labels of a document count as toxic.
+repeated rows get repeated results; conflicting labels of a document count as toxic; of rows that repeat a doc_id one is
+learned; an empty table gives an empty result; other columns are ignored, but for ``clean``, which keeps them.
 """
 
 from __future__ import annotations
@@ -16,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_hash, crc_mod, ngram_buckets, slices
+from tidemark.llm.common import crc_mod, ngram_buckets, slices
 
 BITS = 18
 ORDERS = (4, 5, 6)
@@ -37,15 +41,16 @@ class ToxicityModel:
         w = self.weights[h]
         at = np.flatnonzero(w)
         of, kind = np.unique(np.stack([sid(at), h[at].astype(np.int64)]), axis=1)  # an n-gram counts once in a sentence
-        z = self.bias + np.bincount(of, weights=self.weights[kind], minlength=len(starts)) if len(starts) else np.zeros(0)
-        return starts, ends, 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        z = np.bincount(of, weights=self.weights[kind], minlength=len(starts)) if len(starts) else np.zeros(0)
+        return starts, ends, risen(z, self.bias)
 
     def score(self, text: str | None) -> tuple[float, int]:
         """The document's score and the number of offending sentences."""
         p = self.sentences(text)[2]
-        if not len(p):
-            return 0.0, 0
-        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), int((p >= 0.5).sum())
+        hit = p[p >= 0.5]
+        if len(hit):
+            return float(-np.expm1(np.log1p(-np.minimum(hit, 1 - 1e-12)).sum())), len(hit)
+        return float(p.max(initial=0.0)), 0
 
     def offending(self, text: str | None) -> list[str]:
         starts, ends, p = self.sentences(text)
@@ -53,6 +58,11 @@ class ToxicityModel:
         return [data[a:b].decode("utf-8", "replace").strip() for a, b, x in zip(starts, ends, p, strict=True) if x >= 0.5]
 
 
+def risen(evidence: np.ndarray, bias: float) -> np.ndarray:
+    """(s(bias + evidence) - s(bias)) / (1 - s(bias)) of the logistic function s: 0 without evidence, up to 1."""
+    return np.maximum(-np.expm1(np.logaddexp(0, bias) - np.logaddexp(0, bias + evidence)), 0.0)
+
+
 def features(text: str | None):
     """A function from feature numbers to sentence numbers; buckets; byte starts and ends of the sentences."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
@@ -69,8 +79,8 @@ def features(text: str | None):
     return (lambda at: np.searchsorted(stops, places[at], side="right")), np.concatenate([x[1] for x in found]), starts, ends
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.2, decay: float = 1e-4) -> ToxicityModel:
-    """Fit on (text, 0 or 1) pairs by gradient steps (Adam) on the noisy-or likelihood."""
+def train(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.2, decay: float = 3e-5) -> ToxicityModel:
+    """Fit on (text, 0 or 1) pairs by gradient steps (Adam) on the leaky noisy-or likelihood."""
     weights = np.zeros(1 << BITS, np.float32)
     rows = sorted(set(rows))
     n = np.array([sum(y == c for _, y in rows) for c in (0, 1)])
@@ -97,29 +107,34 @@ def train(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.2, dec
     at, col, bag_of = np.concatenate(at), np.concatenate(col), np.concatenate(bag_of)
     y = np.array([b[3] for b in bags], float)
     share = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
-    theta = np.concatenate([np.clip(odds[used], 0, 4) * 0.5, [-6.0]])
+    theta = np.concatenate([np.clip(odds[used], 0, 4) * 0.5, [-6.0, -4.0]])  # weights, bias, leak
     m, v = np.zeros_like(theta), np.zeros_like(theta)
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
     for t in range(1, rounds + 1):
-        z = theta[-1] + np.bincount(at, weights=theta[:-1][col], minlength=base)
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        clean = np.bincount(bag_of, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(bags))  # log prod(1 - p)
+        bias, leak = theta[-2:]
+        z = np.bincount(at, weights=theta[:-2][col], minlength=base)
+        p = sigmoid(bias + z)
+        # log of (1 - leak) prod(1 - sentence score)
+        clean = np.bincount(bag_of, weights=np.logaddexp(0, bias) - np.logaddexp(0, bias + z), minlength=len(bags)) - np.logaddexp(0, leak)
         doc = np.maximum(-np.expm1(clean), 1e-12)
-        dz = p * np.where(y == 1, -(1 - doc) / doc, 1.0)[bag_of] * share[bag_of]
-        g = np.concatenate([np.bincount(col, weights=dz[at], minlength=len(used)) + decay * theta[:-1], [dz.sum()]])
+        pull = np.where(y == 1, -(1 - doc) / doc, 1.0) * share
+        dz = p * pull[bag_of]
+        rise = ((p - sigmoid(bias)) * pull[bag_of]).sum()
+        g = np.concatenate([np.bincount(col, weights=dz[at], minlength=len(used)) + decay * theta[:-2], [rise, (sigmoid(leak) * pull).sum()]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - rate * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    weights[used] = theta[:-1]
-    return ToxicityModel(weights, float(theta[-1]))
+        theta[:-2] = np.maximum(theta[:-2], 0)
+    weights[used] = theta[:-2]
+    return ToxicityModel(weights, float(theta[-2]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> ToxicityModel:
     """Train on a bounded sample of the labelled rows of ``docs``; rows with null labels are left out."""
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows: list[tuple[str, int]] = []
-    for y in (0, 1):
-        ids = by_hash(marks.where(F.col("toxic") == y), per_class, "doc_id")
-        rows += [(r.text, y) for r in docs.where("text is not null").join(F.broadcast(ids), "doc_id", "left_semi").select("text").collect()]
-    return train(rows)
+    order = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(73)), "doc_id"))
+    ids = marks.withColumn("_r", order).where(F.col("_r") <= per_class).select("doc_id", "toxic").limit(2 * per_class)
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return train([(r.text, r.toxic) for r in rows.select("text", "toxic").collect()])
 
 
 def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
