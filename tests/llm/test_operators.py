@@ -58,21 +58,55 @@ def test_agendas_need_no_correction():
     assert codec.corrected == 0
 
 
+def test_models_that_chunks_do_not_fit_are_refused(monkeypatch):
+    sentencepiece_codec.checked(queries.vocabulary())
+    monkeypatch.setattr(sentencepiece_codec, "_checked", set())
+    monkeypatch.setattr(sentencepiece_codec.Codec, "chunks_of", lambda self, text: text.split())  # as if white space were squeezed
+    with pytest.raises(ValueError, match="encodes"):
+        sentencepiece_codec.checked(queries.vocabulary())
+
+
 # 2
+def top_k_by_force(rows, k):
+    """(query id, results) of each query row."""
+    ok = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v and None not in v and all(math.isfinite(x) for x in v)]
+    out = []
+    for at, (i, v) in enumerate(ok):
+        if i % 100 == 0:
+            dot = lambda w: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w, strict=True))))  # noqa: E731, B023
+            best = sorted((-dot(w), j) for n, (j, w) in enumerate(ok) if n != at and len(w) == len(v))[:k]
+            out.append((i, [(j, -s) for s, j in best]))
+    return sorted(out)
+
+
+def found_top_k(df, **options):
+    got = defaultdict(list)
+    for r in pivot_search.top_k(pivot_search.scaled(df), F.col("id") % 100 == 0, k=10, **options).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    return got
+
+
 def test_top_k_equals_brute_force(spark):
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(20)]
-    rows += [(1000, None), (1001, [1.0, None] + [0.0] * 6), (1002, [float("nan")] * 8), (1003, []), (1100, [1.0, 2.0]), (1104, [3.0, 1.0]), (1200, [1e12] * 8)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    got = defaultdict(list)
-    for r in pivot_search.top_k(pivot_search.scaled(df), F.col("id") % 100 == 0, k=10, block=64, query_block=3).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    ok = {i: [math.floor(1024 * x) for x in v] for i, v in rows if v and None not in v and all(math.isfinite(x) for x in v)}
-    for q, v in ok.items():
-        if q % 100 == 0 and q != 1200:
-            want = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok.items() if i != q and len(w) == len(v) and i != 1200))[:10]
-            assert [(i, s) for i, s in got[q] if i != 1200][:9] == [(i, -s) for s, i in want][:9]
-    assert got[1100] == [(1104, 1024 * 1024 * 5)]
+    rows += [(1000, None), (1001, [1.0, None] + [0.0] * 6), (1002, [float("nan")] * 8), (1003, []), (None, [1.0] * 8), (1100, [1.0, 2.0]), (1104, [3.0, 1.0]), (1200, [1e12] * 8)]
+    rows += [(2000 + d, [float(d % 7)] * (10 + d)) for d in range(70)] + [(2100, [float(x) for x in range(70)]), (2101, [2.0] * 70)]
+    df = spark.createDataFrame([(*r, "clash", 0) for r in rows], "vec_id bigint, embedding array<double>, row string, block int")
+    for options in ({"block": 64, "query_block": 3}, {}):
+        got = found_top_k(df, **options)
+        want = top_k_by_force(rows, 10)
+        assert {q: [(d, s) for _, d, s in sorted(x)] for q, x in got.items()} == {q: x for q, x in want if x}
+    assert found_top_k(df.limit(0)) == {}
+
+
+def test_top_k_of_repeated_ids(spark):
+    rng = random.Random(6)
+    rows = [(100, [1.0, 1.0])] * 3 + [(i, [rng.random(), rng.random()]) for i in range(1, 12)] + [(200, [1.0, 0.5])] + [(7, [5.0, 5.0])] * 2
+    got = found_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), block=4, query_block=2)
+    want = defaultdict(list)
+    for q, x in top_k_by_force(rows, 10):
+        want[q] += [(at + 1, d, s) for at, (d, s) in enumerate(x)]
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
 
 
 # 3
@@ -81,9 +115,19 @@ def test_url_filters_are_as_of(spark):
     rows = [(1, "http://A.example.com:80/y?q", 9), (2, "http://a.example.com/y", 10), (3, "http://u@a.example.com./x/z", 12), (4, "http://a.example.com/xz", 19), (5, "http://example.com", 20), (6, None, 15), (7, "nothing", 15), (8, "http://notexample.com/", 15), (2, "http://a.example.com/y", 10)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, fetch_day bigint").withColumn("key", F.lit("clash"))
     out = [(r.page_id, r.verdict, r.rule) for r in url_filters.filtered(pages, events).orderBy("page_id").collect()]
+    none = url_filters.filtered(pages, events.limit(0)).collect()
+    assert len(none) == len(rows) and {r.verdict for r in none} == {"allowed"}
+    assert url_filters.filtered(pages.limit(0), events).count() == 0 and url_filters.url_report(pages.limit(0)).count() == 0
     assert out == [(1, "allowed", None), (2, "blocked", "d:example.com"), (2, "blocked", "d:example.com"), (3, "allowed", "p:a.example.com/x"), (4, "blocked", "d:example.com"), (5, "allowed", None), (6, "allowed", None), (7, "allowed", None), (8, "allowed", None)]
 
 
+def test_hosts(spark):
+    urls = ["http://[::1]/a", "http://u@[::FFFF:1.2.3.4]:80/", "http://user@evil@Example.com:8/x@y", "https://a.b./", "ftp://", "http://x?@y", None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert [r[0] for r in df.select(url_filters.host_of("url")).collect()] == ["[::1]", "[::ffff:1.2.3.4]", "example.com", "a.b", "", "x", None]
+    assert df.select(url_filters.keys_of("url")).collect()[1][0] == ["d:[::ffff:1.2.3.4]"]
+
+
 # 4
 def components_by_force(rows, size, percent):
     sets = {}
@@ -164,11 +208,18 @@ def test_chat_reads_back_any_text(spark):
     assert not texts.where("formatted like '%</s>%' or formatted like '%[INST]%'").count()
 
 
-def test_chat_takes_texts_beyond_json_limits(spark, monkeypatch):
-    monkeypatch.setattr(chat, "LONGEST", 10)
-    rows = [(1, 0, "user", "short"), (1, 1, "assistant", "longer than that </s>"), (2, 0, "user", "a"), (2, 1, "assistant", "b")]
-    out = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.chat_report(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
-    assert out == {1: (2, 21), 2: (2, 1)}
+def test_chat_of_odd_rows(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string, key string, m string, record string"
+    rows = [(1, 0, "user", None), (1, 0, "user", None), (2, None, None, "x"), (None, 1, "assistant", "y"), (3, 0, "assistant", "")]
+    df = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], schema)
+    out = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.chat_report(df).collect()}
+    assert out == {1: (2, 0), 2: (1, 0), None: (1, 1), 3: (1, 0)}
+    assert chat.chat_report(df.limit(0)).count() == 0
+
+
+def test_chat_cuts_turns_once(spark):
+    df = spark.createDataFrame([(1, "a", [None])], "conv_id bigint, formatted string, loss_mask array<struct<start: bigint, length: bigint>>")
+    assert chat.read_back(df, "conv_id")._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
 
 
 def test_chat_loses_no_conversation(spark, monkeypatch):
@@ -182,7 +233,8 @@ def test_chat_loses_no_conversation(spark, monkeypatch):
     out = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.chat_report(df).collect()}
     assert out == {1: (50, 25 * len(rows[0][3])), 2: (2, 21_000_000), 3: (2, 1)}
     monkeypatch.setattr(chat, "LAYOUTS", ())  # no record has a layout
-    assert {r.conv_id for r in chat.chat_report(df.where("conv_id = 3")).collect()} == {3}
+    with pytest.raises(Exception, match="conversation 3"):
+        chat.chat_report(df.where("conv_id = 3")).collect()
 
 
 def test_chat_shapes_without_texts(spark):
