@@ -1,11 +1,18 @@
 """Records, reconciliation, serving, parity, generations, assurance and streams."""
 
+import dataclasses
+import json
+import math
+import random
+import struct
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.definitions import definitions_frame, payment_features
+from tidemark.definitions import definition_set, definition_set_digest, definitions_frame, payment_features
 from tidemark.functions.values import canonical_decimal, rows_digest
-from tidemark.operators import assurance, features, online, parity
+from tidemark.operators import assurance, features, incremental, online, parity, quality
 from tidemark.plans import pipelines
 from tidemark.schemas import REVISIONS
 from tidemark.sources import generations
@@ -27,10 +34,21 @@ def records(spark, values):
 
 
 def test_canonical_decimals(spark):
-    xs = [0.0, -0.0, 1.0, 0.1, 1 / 3600, 1e-5, 100.0, -2.5, float("nan"), float("inf")]
-    got = [r.d for r in spark.createDataFrame([(x,) for x in xs], "x double").select(canonical_decimal(F.col("x")).alias("d")).collect()]
-    assert got == ["0", "0", "1", "0.1", repr(1 / 3600).replace("2.777777777777778e-04", "0.0002777777777777778"), "0.00001", "100", "-2.5", None, None] or float(got[4]) == 1 / 3600
-    assert got[:4] == ["0", "0", "1", "0.1"] and got[5:] == ["0.00001", "100", "-2.5", None, None]
+    rng = random.Random(3)
+    xs = [0.0, -0.0, 1.0, 0.1, 1 / 3600, 1e-5, 100.0, -2.5, 1e8, 2.5e9, 1e15, 1e22, 1.5e300, -1e-31, 5e-324, 12345678901234567.0, -2.331857357446618e17]
+    xs += [x for x in (struct.unpack("d", rng.randbytes(8))[0] for _ in range(3000)) if math.isfinite(x)] + [rng.random() * 10 ** rng.randrange(-6, 18) for _ in range(3000)]
+    got = [r.d for r in spark.createDataFrame([(x,) for x in [*xs, float("nan"), float("inf"), None]], "x double").select(canonical_decimal(F.col("x")).alias("d")).collect()]
+
+    def plain(x):
+        text = format(Decimal(repr(x)), "f")
+        return "0" if x == 0 else text.rstrip("0").rstrip(".") if "." in text else text
+
+    assert got == [*map(plain, xs), None, None, None]
+
+
+def test_digests_of_large_and_tiny_numbers_differ(spark):
+    digests = [rows_digest(spark.createDataFrame([(x,)], "x double")).first().rows_digest for x in (1e8, 2.5e9, 1e-31, 1e-32, 0.0)]
+    assert len(set(digests)) == 5
 
 
 def test_digest_needs_no_order_but_sees_repeats(spark):
@@ -62,6 +80,19 @@ def test_reconciliation_and_resume(spark, records, tmp_path):
     assert stored.count() == 15 and online.reconciliation(records, stored).first().passed
 
 
+def test_reconciliation_counts_repeated_rows_once(spark, records):
+    out = online.reconciliation(records, records.unionByName(records.where("customer_id = 'c-1'"))).first()
+    assert (out.planned_count, out.stored_count, out.missing, out.extra, out.differing, out.corrupt, out.passed) == (15, 20, 0, 5, 0, 0, False)
+
+
+def test_pinning_follows_a_long_history(spark):
+    moves = [("a", i + 1, f"g{i}", 10 * i) for i in range(200)] + [("b", 1, "h", 500), ("b", 2, "i", 500)]
+    history = spark.createDataFrame(moves, "feature_set string, pointer_version bigint, to_generation string, activated_at bigint")
+    asked = spark.createDataFrame([(i, "a", 7 * i) for i in range(300)] + [(900, "b", 499), (901, "b", 500), (902, "b", 9000), (903, "c", 5)], "request_id int, feature_set string, request_time bigint")
+    got = {r.request_id: r.generation_id for r in online.pinned_at(asked, history, width=64).collect()}
+    assert got == {i: f"g{min(199, 7 * i // 10)}" for i in range(300)} | {900: None, 901: "i", 902: "i", 903: None}
+
+
 def test_serving_precedence(spark, records):
     d = DEFS[0]
     base = ("payments", "g1", "c-1", d.name, d.digest)
@@ -98,6 +129,47 @@ def test_generations_are_written_once(spark, values, tmp_path):
         generations.read_checked(spark, root, "g2")
 
 
+def test_builds_refuse_unsound_envelopes(spark, values, tmp_path):
+    for spine, match in (([("c-1",), ("c-1",)], "1 repeated"), ([("",)], "1 empty"), ([(None,)], "1 empty")):
+        with pytest.raises(ValueError, match=match):
+            pipelines.full_rebuild(values[1], spark.createDataFrame(spine, "customer_id string"), DEFS, 200000, 200005, "g1", str(tmp_path))
+    with pytest.raises(ValueError, match="negative"):
+        pipelines.full_rebuild(values[1], values[2], DEFS, -1, 200005, "g1", str(tmp_path))
+    with pytest.raises(ValueError, match="unknown computation"):
+        pipelines.full_rebuild(values[1], values[2], [dataclasses.replace(DEFS[0], computation="no")], 200000, 200005, "g1", str(tmp_path))
+    with pytest.raises(ValueError, match="gives integer"):
+        pipelines.full_rebuild(values[1], values[2], [dataclasses.replace(DEFS[0], value_type="float")], 200000, 200005, "g1", str(tmp_path))
+
+
+def test_refresh_of_a_stored_generation(spark, values, tmp_path):
+    root = str(tmp_path)
+    pipelines.full_rebuild(values[1], values[2], DEFS, 200000, 180000, "g0", root)
+    # the threshold is out of the way, as most pairs change
+    assert pipelines.stored_refresh(root, "g0", values[1], values[2], DEFS, 200000, 180000, 200005, "g1", 1.0) == "written"
+    assert parity.value_parity(values[0], generations.read_checked(spark, root, "g1")).count() == 0
+    with pytest.raises(ValueError, match="knowledge_cutoff"):
+        pipelines.stored_refresh(root, "g0", values[1], values[2], DEFS, 200000, 179999, 200005, "g2")
+    values[0].limit(1).write.mode("append").parquet(f"{root}/g0/rows")
+    with pytest.raises(ValueError, match="manifest: row_count, rows_digest"):
+        pipelines.stored_refresh(root, "g0", values[1], values[2], DEFS, 200000, 180000, 200005, "g3")
+
+
+def test_scope_reasons(spark, values):
+    pairs = incremental.affected_pairs(values[1], DEFS, 200000, 180000, 200020)
+    reasons = lambda fraction: sorted(r.reason for r in incremental.scope_reasons(values[1], incremental.scope_summary(values[1], pairs, DEFS, 200020, fraction), 180000, 200020).collect())
+    changed = ["revision-change:p-1", "revision-change:p-3", "revision-change:upper"]
+    assert reasons(0.75) == changed and reasons(0.1) == ["affected-scope-threshold", *changed]
+
+
+def test_definition_sets(spark, tmp_path):
+    assert definition_set_digest(DEFS) == definition_set_digest(DEFS[::-1]) != definition_set_digest(DEFS[1:])
+    with pytest.raises(ValueError, match="repeat"):
+        definition_set_digest([DEFS[0], DEFS[0]])
+    rows = definition_set(spark, DEFS)
+    assert [r.identity for r in rows.orderBy("place").collect()] == sorted(d.identity for d in DEFS)
+    assert [generations.write_once(rows, str(tmp_path), "set", kind="definition-set") for _ in range(2)] == ["written", "replayed"]
+
+
 def test_build_as_a_job(spark, values, tmp_path):
     from tidemark.plans import job
 
@@ -126,8 +198,12 @@ def test_trials(spark):
 
 def test_pages_and_samples(spark, values):
     ids = values[0].withColumn("customer_id", F.when(F.col("customer_id") == "c-1", 1).when(F.col("customer_id") == "c-2", 2).otherwise(30).cast("bigint"))
-    pages = online.page_numbers(ids, 4, buckets=5).orderBy("customer_id", "feature_name").collect()
+    pages = online.page_numbers(ids, 4).orderBy("customer_id", "feature_name").collect()
     assert [r.page for r in pages] == [i // 4 for i in range(15)]
+    # string keys, most of them equal
+    hot = spark.range(3000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.col("id").cast("string")).alias("customer_id"), F.col("id").cast("string").alias("feature_name"))
+    numbered = online.page_numbers(hot.repartition(7), 100).orderBy("customer_id", "feature_name").collect()
+    assert [r.page for r in numbered] == [i // 100 for i in range(3000)]
     first = online.keyset_page(ids, 4).collect()
     after = online.keyset_page(ids, 4, (first[3].customer_id, first[3].feature_name)).collect()
     assert len(first) == 5 and after[0] == first[4]
@@ -159,3 +235,29 @@ def test_streamed_upserts(spark, tmp_path):
     ingest.upsert(stream, ["k"], "digest", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     read = lambda n: sorted((r.k, r.digest) for r in spark.read.parquet(f"{tmp_path}/out/{n}").collect())
     assert read("stored") == [(1, "a"), (2, "b"), (3, "d")] and read("conflicts") == [(2, "c"), (4, "e"), (4, "f")]
+
+
+def test_strict_labels(spark):
+    good = {"label_id": "a", "customer_id": "c", "label_time": 5, "prediction_knowledge_time": None, "value": 1}
+    texts = {
+        "{}": "MISSING_FIELD", "x": "MALFORMED", "[1]": "MALFORMED", json.dumps(good | {"label_id": "b", "more": 1}): "UNKNOWN_FIELD", json.dumps(good | {"label_id": 5}): "WRONG_TYPE", json.dumps(good | {"label_id": "d", "value": "1"}): "WRONG_TYPE",
+        json.dumps(good | {"label_id": "e", "label_time": 5.5}): "WRONG_TYPE", json.dumps(good)[:-1] + ', "value": 2}': "MALFORMED", json.dumps(good): "", json.dumps(good | {"label_id": ""}): "EMPTY_LABEL_ID", json.dumps(good | {"label_id": "f", "prediction_knowledge_time": 6}): "CUTOFF_AFTER_LABEL",
+    }
+    raw = spark.createDataFrame([(t,) for t in [*texts, json.dumps(good | {"label_id": "g"}), json.dumps(good | {"label_id": "g", "value": 0})]], "raw string")
+    got = {r.raw: ",".join(r.violations) for r in quality.decoded_labels(raw).collect()}
+    assert {t: got[t] for t in texts} == texts
+    assert [v for t, v in got.items() if '"g"' in t] == ["DUPLICATE_LABEL"] * 2
+    assert quality.decoded_labels(raw.where(F.col("raw") == json.dumps(good))).first().prediction_knowledge_time == 5
+
+
+def test_continuous_refresh_keeps_what_it_refuses(spark, tmp_path):
+    spine = spark.createDataFrame([("c-1",), ("c-2",)], "customer_id string")
+    batches = [[r for r in LIFE if r[4] <= 180000], [*[r for r in LIFE if r[4] > 180000], ("p-2", "p-2-r9", "c-1", 140000, 140005, "upsert", 1, "failed", 0.1), ("new", "new-r1", "c-9", 5, 1, "upsert", 1, "failed", 0.1)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, REVISIONS).coalesce(1).write.parquet(f"{tmp_path}/in/b={i}")
+    stream = spark.readStream.schema(REVISIONS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    ingest.continuous_generation(stream, spine, DEFS, 200000, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert {r.revision_id: r.outcome for r in spark.read.parquet(f"{tmp_path}/out/quarantine").collect()} == {"p-2-r9": "conflict", "new-r1": "invalid"}
+    last = spark.read.parquet(f"{tmp_path}/out/values").where("batch = 1").drop("batch", "generation_id")
+    want = features.build_generation(spark.createDataFrame(LIFE, REVISIONS), spine, DEFS, 200000, 200010, "x").drop("generation_id")
+    assert parity.value_parity(want, last).count() == 0

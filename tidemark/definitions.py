@@ -112,6 +112,21 @@ def definitions_frame(spark: SparkSession, definitions: Sequence[FeatureDefiniti
     return spark.createDataFrame(rows, "feature_name string, version int, value_type string, ttl_seconds bigint, computation string, window_seconds bigint, description string, empty_default double, definition_digest string, identity string")
 
 
+def definition_set_digest(definitions: Sequence[FeatureDefinition]) -> str:
+    """SHA-256 over the digests of a build's definitions, ordered by identity; repeated identities raise."""
+    check_definitions(definitions)
+    return hashlib.sha256("\n".join(f"{d.identity}={d.digest}" for d in sorted(definitions, key=lambda d: d.identity)).encode()).hexdigest()
+
+
+def definition_set(spark: SparkSession, definitions: Sequence[FeatureDefinition]) -> DataFrame:
+    """The set as a table for ``sources.generations.write_once``: ``definitions_frame`` with its place and the set's digest."""
+    whole = definition_set_digest(definitions)
+    order = {d.identity: i for i, d in enumerate(sorted(definitions, key=lambda d: d.identity))}
+    places = spark.createDataFrame(list(order.items()), "identity string, place int")
+    return definitions_frame(spark, definitions).join(F.broadcast(places), "identity").withColumn("definition_set_digest", F.lit(whole))
+
+
+# Names, windows, lifetimes and defaults of the five features.
 def payment_features() -> list[FeatureDefinition]:
     """The five features of the payment-risk example."""
     return [

@@ -18,10 +18,35 @@ def finite(x: Column) -> Column:
 
 
 def canonical_decimal(x: Column) -> Column:
-    """A number as plain decimal text without trailing zeros; ``-0`` is ``0``; null if not finite or not below 1e8."""
-    text = F.when(finite(x), x.cast("string")).cast("decimal(38,30)").cast("string")
-    trimmed = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(trimmed == "-0", "0").otherwise(trimmed)
+    """A number as plain decimal text: the shortest digits that read back as the number, without exponent or trailing
+    zeros; ``-0`` is ``0``; null if not finite. Digits are moved as text, so the text is exact at any size.
+    """
+    text = F.when(finite(x), x.cast("string"))
+    part = lambda pattern: F.regexp_extract(text, pattern, 1)
+    whole, fraction = part(r"^-?(\d+)"), part(r"\.(\d+)")
+    # large numbers are whole, and taken with all their digits
+    large = (F.abs(x) >= 1e16) & (F.abs(x) < 9.2e18)
+    given = F.when(large, F.abs(x).cast("bigint").cast("string")).otherwise(F.concat(whole, fraction))
+    power = F.when(large, 0).otherwise(F.coalesce(part(r"E(-?\d+)$").try_cast("int"), F.lit(0)) - F.length(fraction))
+    # of digits that read back as the number the fewest count; the platform may show some more
+    shown = F.struct(given.alias("digits"), power.alias("power"))
+    for k in range(1, 5):
+        rounded = F.floor((F.ltrim(given, F.lit("0")).try_cast("decimal(20,0)") + 10**k // 2) / 10**k).cast("string")
+        same = F.concat(rounded, F.lit("E"), (power + k).cast("string")).try_cast("double") == F.abs(x.cast("double"))
+        shown = F.when(F.coalesce(same, F.lit(False)), F.struct(rounded.alias("digits"), (power + k).alias("power"))).otherwise(shown)
+
+    def plain(s: Column) -> Column:
+        digits = F.rtrim(F.ltrim(s["digits"], F.lit("0")), F.lit("0"))
+        at = s["power"] + F.length(s["digits"]) - F.length(F.rtrim(s["digits"], F.lit("0")))  # of the last digit
+        n = F.length(digits)
+        spread = F.when(at >= 0, F.concat(digits, F.repeat(F.lit("0"), at)))
+        spread = spread.when(n + at > 0, F.concat(F.substring(digits, F.lit(1), n + at), F.lit("."), F.substring(digits, n + at + 1, n)))
+        spread = spread.otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -(n + at)), digits))
+        return F.when(digits == "", "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), spread))
+
+    # most numbers come without an exponent
+    usual = F.when(x == 0, "0").otherwise(F.regexp_replace(text, r"\.?0+$", ""))
+    return F.when(~text.contains("E"), usual).when(text.isNotNull(), F.get(F.transform(F.array(shown), plain), F.lit(0)))
 
 
 def canonical_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import ceil_div, finite, partition_key, reasons, row_digest
@@ -120,27 +120,26 @@ def trial_summary(trials: DataFrame) -> DataFrame:
     """Per (case_id, operation): counts, minimum, median, maximum, interquartile range and variation of warm trials.
 
     ``valid`` needs a cold and five warm trials, all correct and positive. Quartiles are medians of the halves
-    without the middle. A group is one benchmark case, small by nature.
+    without the middle. Equal durations are counted before anything is ranked, so no group is gathered.
     """
+    keys = ["case_id", "operation"]
     warm = F.when(F.col("warm"), F.col("duration_ns"))
-    sorted_warm = F.array_sort(F.collect_list(warm))
     sound = F.col("correctness_passed") & (F.col("duration_ns") > 0) & (F.col("trial") >= 0)
-    g = trials.groupBy("case_id", "operation").agg(
-        sorted_warm.alias("_w"), F.count_if(~F.col("warm")).alias("cold_count"), F.count(warm).alias("warm_count"), F.count_if(~F.coalesce(sound, F.lit(False))).alias("_bad"),
+    g = trials.groupBy(*keys).agg(
+        F.count_if(~F.col("warm")).alias("cold_count"), F.count(warm).alias("warm_count"), F.count_if(~F.coalesce(sound, F.lit(False))).alias("_bad"), F.min(warm).alias("minimum_ns"), F.max(warm).alias("maximum_ns"),
         F.avg(warm).alias("_mean"), F.stddev_pop(warm).alias("_dev"), F.count_distinct("input_digest").alias("input_digests"), F.count_distinct("output_digest").alias("output_digests"),
     )
-
-    def median(a):
-        n = F.size(a)
-        at = lambda i: F.get(a, i.cast("int"))
-        return F.when(n % 2 == 1, at(F.floor(n / 2)).cast("double")).otherwise((at(F.floor(n / 2) - 1) + at(F.floor(n / 2))) / 2)
-
-    half = F.floor(F.size("_w") / 2).cast("int")
-    low, high = F.slice("_w", F.lit(1), half), F.slice("_w", F.size("_w") - half + 1, half)
-    spread = F.when(half > 0, median(high) - median(low))
-    return g.select(
-        "case_id", "operation", "warm_count", "cold_count", F.array_min("_w").alias("minimum_ns"), F.floor(median(F.col("_w"))).cast("bigint").alias("median_ns"), F.array_max("_w").alias("maximum_ns"),
-        F.floor(spread).cast("bigint").alias("warm_interquartile_range_ns"), F.when(F.col("_mean") == 0, 0.0).otherwise(F.col("_dev") / F.col("_mean")).alias("coefficient_of_variation"),
+    counted = trials.where("warm and duration_ns is not null").groupBy(*keys, "duration_ns").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("duration_ns"))
+    ranked = counted.withColumns({"_upto": upto, "_n": F.sum("_c").over(Window.partitionBy(*keys))})
+    half = F.floor(F.col("_n") / 2)
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("duration_ns")))
+    # the median of ``size`` values from rank ``first`` on
+    median = lambda first, size: (at(first + F.floor((size - 1) / 2)) + at(first + F.floor(size / 2))) / 2
+    middle = ranked.groupBy(*keys).agg(median(F.lit(0), F.col("_n")).alias("_median"), F.when(F.max(half) > 0, median(F.col("_n") - half, half) - median(F.lit(0), half)).alias("_spread"))
+    return g.join(middle, keys, "left").select(
+        *keys, "warm_count", "cold_count", "minimum_ns", F.floor("_median").cast("bigint").alias("median_ns"), "maximum_ns",
+        F.floor("_spread").cast("bigint").alias("warm_interquartile_range_ns"), F.when(F.col("_mean") == 0, 0.0).otherwise(F.col("_dev") / F.col("_mean")).alias("coefficient_of_variation"),
         "input_digests", "output_digests", ((F.col("warm_count") >= 5) & (F.col("cold_count") >= 1) & (F.col("_bad") == 0)).alias("valid"),
     )
 
@@ -185,9 +184,10 @@ def write_unit_projection(records: DataFrame, owner_bytes: int) -> DataFrame:
     return out.select("record_count", "item_bytes", "maximum_item_bytes", (F.col("_writes") + checks).alias("write_units"), checks.cast("bigint").alias("condition_units"))
 
 
-def partition_skew(df: DataFrame) -> DataFrame:
-    """One row: rows, partitions that hold some, most rows of one, and its share."""
-    per = df.groupBy(F.spark_partition_id().alias("_p")).count()
+def partition_skew(df: DataFrame, partition: Column | None = None) -> DataFrame:
+    """One row: rows, partitions that hold some, most rows of one, and its share. ``partition``: where a row goes, by
+    default the partition it stands in."""
+    per = df.groupBy((F.spark_partition_id() if partition is None else partition).alias("_p")).count()
     return per.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count("*").alias("partitions"), F.coalesce(F.max("count"), F.lit(0)).alias("most_rows"), (F.max("count") / F.sum("count")).alias("maximum_fraction"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import decoded_value, digest_of, encoded_value, partition_key, row_digest, rows_digest, sort_key, value_is_sound
+from tidemark.sources.shared import stored
 
 RECORD_BODY = ("feature_set", "generation_id", "customer_id", "feature_name", "definition_digest", "value_kind", "value_integer", "value_decimal", "event_cutoff", "knowledge_cutoff", "materialized_at", "expires_at", "source_digest", "offline_rows_digest", "operation_id", "partition_key", "sort_key")
 
@@ -20,6 +21,12 @@ def record_digest(records: DataFrame) -> DataFrame:
     return flat.withColumn("record_digest", row_digest(flat, RECORD_BODY)).drop("value_kind", "value_integer", "value_decimal")
 
 
+def _with_actual(records: DataFrame) -> DataFrame:
+    """Stored records with ``_actual``, the digest that their fields have."""
+    flat = _flat(records)
+    return flat.withColumn("_actual", row_digest(flat, RECORD_BODY)).drop("value_kind", "value_integer", "value_decimal")
+
+
 def value_problems(values: DataFrame, definitions: DataFrame) -> DataFrame:
     """One row of counts that must be 0: repeated keys, several generations, unknown or mismatched definitions."""
     by_key = values.groupBy("customer_id", "feature_name").agg(F.count("*").alias("n"), F.min("generation_id").alias("lo"), F.max("generation_id").alias("hi"), F.min("definition_digest").alias("definition_digest"), F.max("definition_digest").alias("_other"))
@@ -54,9 +61,9 @@ def plan_summary(records: DataFrame) -> DataFrame:
     return records.groupBy("feature_set", "generation_id", "operation_id").agg(count.alias("expected_count"), digest.alias("records_digest"))
 
 
-def missing_records(planned: DataFrame, stored: DataFrame) -> DataFrame:
+def missing_records(planned: DataFrame, held: DataFrame) -> DataFrame:
     """Planned records that aren't stored yet: what an interrupted write still owes."""
-    return planned.join(stored.select("partition_key", "sort_key"), ["partition_key", "sort_key"], "left_anti")
+    return planned.join(held.select("partition_key", "sort_key"), ["partition_key", "sort_key"], "left_anti")
 
 
 def upsert_outcomes(existing: DataFrame, incoming: DataFrame, keys: list[str], digest: str) -> DataFrame:
@@ -73,15 +80,20 @@ def upsert_outcomes(existing: DataFrame, incoming: DataFrame, keys: list[str], d
     return both.select(*keys, digest, outcome.alias("outcome"))
 
 
-def reconciliation(planned: DataFrame, stored: DataFrame) -> DataFrame:
-    """One row: counts of missing, extra, differing and corrupt records, both digests, and ``passed``."""
-    body = record_digest(stored.drop("record_digest")).select("partition_key", "sort_key", F.col("record_digest").alias("actual"))
-    told = stored.select("partition_key", "sort_key", F.col("record_digest").alias("told")).join(body, ["partition_key", "sort_key"])
-    both = planned.select("partition_key", "sort_key", F.col("record_digest").alias("wanted")).join(told, ["partition_key", "sort_key"], "full_outer")
+def reconciliation(planned: DataFrame, held: DataFrame) -> DataFrame:
+    """One row: counts of missing, extra, differing and corrupt records, both digests, and ``passed``.
+
+    Stored rows are grouped by key before the join: of rows that repeat a key all but one are extra.
+    """
+    keys = ["partition_key", "sort_key"]
+    told = _with_actual(held).groupBy(*keys).agg(F.count("*").alias("n"), F.min("record_digest").alias("low"), F.max("record_digest").alias("high"), F.count_if(~F.col("record_digest").eqNullSafe(F.col("_actual"))).alias("bad"))
+    both = planned.select(*keys, F.col("record_digest").alias("wanted")).join(told, keys, "full_outer")
+    n = F.coalesce("n", F.lit(0))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
     out = both.agg(
-        F.count("wanted").alias("planned_count"), F.count("told").alias("stored_count"),
-        F.count_if(F.col("told").isNull()).alias("missing"), F.count_if(F.col("wanted").isNull()).alias("extra"),
-        F.count_if(F.col("wanted") != F.col("told")).alias("differing"), F.count_if(F.col("told") != F.col("actual")).alias("corrupt"),
+        F.count("wanted").alias("planned_count"), zero(n).alias("stored_count"),
+        F.count_if(F.col("n").isNull()).alias("missing"), zero(F.when(F.col("wanted").isNull(), n).otherwise(F.greatest(n - 1, F.lit(0)))).alias("extra"),
+        F.count_if((F.col("wanted") != F.col("low")) | (F.col("wanted") != F.col("high"))).alias("differing"), zero("bad").alias("corrupt"),
     )
     return out.withColumn("passed", (F.col("missing") + F.col("extra") + F.col("differing") + F.col("corrupt")) == 0)
 
@@ -91,12 +103,29 @@ def active_generations(history: DataFrame) -> DataFrame:
     return history.groupBy("feature_set").agg(F.max_by("to_generation", F.struct("pointer_version", "activated_at", "to_generation")).alias("generation_id"), F.max("pointer_version").alias("pointer_version"))
 
 
-def pinned_at(requests: DataFrame, history: DataFrame) -> DataFrame:
-    """Requests with the generation that was active at ``request_time``: an as-of join on the pointer's history."""
-    by = Window.partitionBy("feature_set").orderBy("pointer_version", "activated_at", "to_generation")
-    spans = history.select("feature_set", F.col("to_generation").alias("generation_id"), "pointer_version", F.col("activated_at").alias("_from"), F.lead("activated_at").over(by).alias("_to"))
-    inside = (F.col("request_time") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("request_time") < F.col("_to")))
-    return requests.join(spans.withColumnRenamed("feature_set", "_set"), (F.col("feature_set") == F.col("_set")) & inside, "left").drop("_set", "_from", "_to")
+def pinned_at(requests: DataFrame, history: DataFrame, width: int = 86_400) -> DataFrame:
+    """Requests with the generation that was active at ``request_time``: an as-of join on the pointer's history.
+
+    Requests and moves are sorted together inside slices of ``width`` seconds of a feature set; what a slice starts with
+    comes from the last moves of the slices before it, a row for each slice. So one set's history isn't one task's.
+    """
+    at = F.struct("activated_at", "pointer_version", "to_generation")
+    moves = history.where("activated_at is not null").select("feature_set", F.floor(F.col("activated_at") / width).alias("_slice"), F.col("activated_at").alias("_at"), F.struct("to_generation", "pointer_version").alias("_move"), at.alias("_order"))
+    asked = requests.withColumn("_slice", F.floor(F.col("request_time") / width))
+    last = moves.groupBy("feature_set", "_slice").agg(F.max_by("_move", "_order").alias("_last"))
+    slices = asked.select("feature_set", "_slice").distinct().join(last, ["feature_set", "_slice"], "full_outer")
+    before = Window.partitionBy("feature_set").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.select("feature_set", "_slice", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    row = F.struct(*requests.columns)
+    none = F.lit(None).cast(moves.schema["_order"].dataType)
+    both = moves.select("feature_set", "_slice", "_at", "_move", "_order", F.lit(None).cast(asked.select(row).schema[0].dataType).alias("_request")).unionByName(
+        asked.select("feature_set", "_slice", F.col("request_time").alias("_at"), F.lit(None).cast(moves.schema["_move"].dataType).alias("_move"), none.alias("_order"), row.alias("_request"))
+    )
+    # a move counts for requests of its own second, so moves come first, in their order
+    inside = Window.partitionBy("feature_set", "_slice").orderBy("_at", F.col("_request").isNotNull(), "_order").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_seen", F.last("_move", ignorenulls=True).over(inside)).where("_request is not null")
+    out = seen.join(carried, ["feature_set", "_slice"], "left").withColumn("_active", F.coalesce("_seen", "_carried"))
+    return out.select("_request.*", F.col("_active.to_generation").alias("generation_id"), F.col("_active.pointer_version").alias("pointer_version"))
 
 
 def serving_outcomes(requests: DataFrame, generations: DataFrame, records: DataFrame) -> DataFrame:
@@ -105,10 +134,9 @@ def serving_outcomes(requests: DataFrame, generations: DataFrame, records: DataF
 
     The first rule that applies decides: generation unavailable, absent, definition mismatch, corrupt, expired, stale.
     """
-    held = generations.where(F.col("state").isin("ACTIVE", "RETIRED")).select("feature_set", "generation_id", F.lit(True).alias("_held"))
-    sound = record_digest(records.drop("record_digest")).select("generation_id", "customer_id", "feature_name", F.col("record_digest").alias("_actual"))
-    stored = records.select("generation_id", "customer_id", "feature_name", F.col("definition_digest").alias("_definition"), "value", "knowledge_cutoff", "expires_at", "record_digest").join(sound, ["generation_id", "customer_id", "feature_name"])
-    joined = requests.join(held, ["feature_set", "generation_id"], "left").join(stored, ["generation_id", "customer_id", "feature_name"], "left")
+    served = generations.where(F.col("state").isin("ACTIVE", "RETIRED")).select("feature_set", "generation_id", F.lit(True).alias("_held"))
+    found = _with_actual(records).select("generation_id", "customer_id", "feature_name", F.col("definition_digest").alias("_definition"), "value", "knowledge_cutoff", "expires_at", "record_digest", "_actual")
+    joined = requests.join(served, ["feature_set", "generation_id"], "left").join(found, ["generation_id", "customer_id", "feature_name"], "left")
     status = (
         F.when(F.col("_held").isNull(), "GENERATION_UNAVAILABLE")
         .when(F.col("record_digest").isNull(), "ABSENT")
@@ -130,18 +158,18 @@ def keyset_page(records: DataFrame, size: int, after: tuple | None = None) -> Da
     return rows.orderBy("customer_id", "feature_name").limit(size + 1)
 
 
-def page_numbers(records: DataFrame, size: int, buckets: int = 256) -> DataFrame:
-    """All records with the ``page`` they stand on in key order, without a global sort on one task.
+def page_numbers(records: DataFrame, size: int) -> DataFrame:
+    """All records with the ``page`` they stand on in key order, for keys of any type and distribution.
 
-    Customers are ranked inside range buckets; a small table of bucket sizes shifts the ranks.
+    Records are dealt by ranges of the whole key, sorted inside them and stored; the rank inside a range is the row's
+    number there, and a table of range sizes shifts it. No sort runs on one task, whatever the keys.
     """
-    low, high = records.agg(F.min("customer_id"), F.max("customer_id")).first()
-    width = max(1, -(-(int(high or 0) - int(low or 0) + 1) // buckets))
-    placed = records.withColumn("_b", F.floor((F.col("customer_id") - F.lit(int(low or 0))) / width))
+    number = F.monotonically_increasing_id()  # the partition's number above 33 bits of the row's
+    ranged = records.repartitionByRange("customer_id", "feature_name").sortWithinPartitions("customer_id", "feature_name")
+    placed = stored(ranged.withColumns({"_b": F.shiftright(number, 33), "_r": number.bitwiseAND(F.lit((1 << 33) - 1))}), "ranges")
     sizes = placed.groupBy("_b").agg(F.count("*").alias("_n"))
     shift = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("customer_id", "feature_name"))
-    return placed.withColumn("_r", rank).join(F.broadcast(shift), "_b").withColumn("page", F.floor((F.col("_before") + F.col("_r") - 1) / size).cast("bigint")).drop("_b", "_r", "_before")
+    return placed.join(F.broadcast(shift), "_b").withColumn("page", F.floor((F.col("_before") + F.col("_r")) / size).cast("bigint")).drop("_b", "_r", "_before")
 
 
 def eligibility(request_time: Column, maximum_age: Column | None = None) -> Column:

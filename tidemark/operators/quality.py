@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.definitions import FeatureDefinition, definitions_frame
 from tidemark.functions.values import finite, reasons, row_digest
-from tidemark.schemas import LABELS, OPERATIONS, REVISION_FIELDS, REVISIONS, STATUSES
+from tidemark.schemas import LABEL_FIELDS, LABELS, OPERATIONS, REVISION_FIELDS, REVISIONS, STATUSES
 
 
 def upgraded(legacy: DataFrame) -> DataFrame:
@@ -21,18 +21,35 @@ def upgraded(legacy: DataFrame) -> DataFrame:
     return legacy.withColumns({"revision_id": revision, "operation": operation}).select(*REVISION_FIELDS)
 
 
+#: What a JSON value of a column's type looks like as a variant.
+_KINDS = {"string": "STRING|VOID", "bigint": "BIGINT|VOID", "double": r"BIGINT|DOUBLE|DECIMAL\(.*\)|VOID"}
+
+
+def _strict(raw: DataFrame, column: str, schema: str, fields: Sequence[str]) -> DataFrame:
+    """JSON texts as rows of ``schema`` with ``_first``: what keeps a text from being exactly that.
+
+    An object that repeats a field is malformed, as are texts that aren't objects.
+    """
+    kinds = dict(f.split() for f in schema.split(", "))
+    table = raw.select(column, F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("_r"), F.map_keys(F.from_json(column, "map<string,string>")).alias("_keys"), F.try_parse_json(column).alias("_v"))
+    known = F.array(*[F.lit(n) for n in fields])
+    wrong = F.lit(False)
+    for n in fields:
+        kind = F.schema_of_variant(F.variant_get("_v", f"$.{n}", "variant"))
+        wrong = wrong | F.coalesce(~kind.rlike(f"^({_KINDS[kinds[n]]})$"), F.lit(False))
+    first = reasons(
+        (F.col("_keys").isNull() | F.col("_v").isNull(), "MALFORMED"),
+        (F.size(F.array_except("_keys", known)) > 0, "UNKNOWN_FIELD"),
+        (F.size(F.array_except(known, F.col("_keys"))) > 0, "MISSING_FIELD"),
+        (wrong, "WRONG_TYPE"),
+    )
+    return table.select(column, "_r.*", first.alias("_first"))
+
+
 def decoded_revisions(raw: DataFrame, column: str = "raw") -> DataFrame:
     """JSON texts as revisions with a ``violations`` array; fields beyond the schema, or of other types, are violations."""
-    r = F.from_json(column, REVISIONS, {"mode": "PERMISSIVE"})
-    keys = F.map_keys(F.from_json(column, "map<string,string>"))
-    known = F.array(*[F.lit(n) for n in REVISION_FIELDS])
-    table = raw.select(column, r.alias("_r"), keys.alias("_keys")).select(column, "_keys", "_r.*")
-    malformed = F.col("_keys").isNull()
-    unknown = F.size(F.array_except("_keys", known)) > 0
-    missing = F.size(F.array_except(known, F.col("_keys"))) > 0
-    mistyped = F.exists(F.array(*[F.struct(F.get_json_object(column, f"$.{n}").isNotNull().alias("given"), F.col(n).isNull().alias("lost")) for n in REVISION_FIELDS]), lambda x: x["given"] & x["lost"])
-    first = reasons((malformed, "MALFORMED"), (unknown, "UNKNOWN_FIELD"), (missing, "MISSING_FIELD"), (mistyped, "WRONG_TYPE"))
-    return table.withColumn("_first", first).withColumn("violations", F.when(F.size("_first") > 0, F.col("_first")).otherwise(_revision_rules())).drop("_keys", "_first")
+    table = _strict(raw, column, REVISIONS, REVISION_FIELDS)
+    return table.withColumn("violations", F.when(F.size("_first") > 0, F.col("_first")).otherwise(_revision_rules())).drop("_first")
 
 
 def _revision_rules():
@@ -60,14 +77,19 @@ def revision_violations(revisions: DataFrame) -> DataFrame:
 
 
 def decoded_labels(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """JSON texts as labels; the prediction cutoff defaults to the label's time; with ``violations``."""
-    table = raw.select(F.from_json(column, LABELS).alias("r")).select("r.*")
-    return label_violations(table.withColumn("prediction_knowledge_time", F.coalesce("prediction_knowledge_time", "label_time")))
+    """JSON texts as labels with ``violations``: fields and types are exact, and no label_id stands twice.
+
+    A prediction cutoff of null defaults to the label's time.
+    """
+    table = _strict(raw, column, LABELS, LABEL_FIELDS).withColumn("prediction_knowledge_time", F.coalesce("prediction_knowledge_time", "label_time"))
+    twice = (F.size("_first") == 0) & (F.count(F.when(F.size("_first") == 0, 1)).over(Window.partitionBy("label_id")) > 1)
+    rules = F.concat(_label_rules(), reasons((twice, "DUPLICATE_LABEL")))
+    return table.withColumn("violations", F.when(F.size("_first") > 0, F.col("_first")).otherwise(rules)).drop("_first")
 
 
-def label_violations(labels: DataFrame) -> DataFrame:
+def _label_rules():
     blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
-    codes = reasons(
+    return reasons(
         (blank("label_id"), "EMPTY_LABEL_ID"),
         (blank("customer_id"), "EMPTY_CUSTOMER_ID"),
         (F.coalesce(F.col("label_time") < 0, F.lit(True)), "BAD_LABEL_TIME"),
@@ -75,7 +97,11 @@ def label_violations(labels: DataFrame) -> DataFrame:
         (F.col("prediction_knowledge_time") > F.col("label_time"), "CUTOFF_AFTER_LABEL"),
         (F.col("value").isNull(), "NO_VALUE"),
     )
-    return labels.withColumn("violations", codes)
+
+
+def label_violations(labels: DataFrame) -> DataFrame:
+    """``labels`` with a ``violations`` array of codes, empty where a row is sound."""
+    return labels.withColumn("violations", _label_rules())
 
 
 def duplicate_labels(labels: DataFrame) -> DataFrame:
@@ -135,5 +161,12 @@ def spine_violations(spine: DataFrame) -> DataFrame:
     return spine.groupBy("customer_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(empty, F.col("n"))), F.lit(0)).alias("empty_ids"), F.count_if(F.col("n") > 1).alias("repeated_ids"))
 
 
+def assert_spine(spine: DataFrame) -> None:
+    """Raise if a build's customers aren't unique and named."""
+    found = spine_violations(spine).first()
+    if found.empty_ids or found.repeated_ids:
+        raise ValueError(f"a build's customers must be unique and not empty: {found.empty_ids} empty, {found.repeated_ids} repeated")
+
+
 def check_definition_rows(spark, definitions: Sequence[FeatureDefinition]) -> DataFrame:
     return definition_conflicts(definitions_frame(spark, definitions))

@@ -44,16 +44,22 @@ def valid_at(frontier: Column) -> Column:
     return (F.col("known_from") <= frontier) & (frontier < F.col("known_to"))
 
 
-def state_diff(revisions: DataFrame, base: int, target: int) -> DataFrame:
+def moved_events(revisions: DataFrame, base: int, target: int) -> DataFrame:
+    """``event_id`` of the events with a revision that became known between two frontiers; no others can differ."""
+    return revisions.where((F.col("knowledge_time") > base) & (F.col("knowledge_time") <= target)).select("event_id").distinct()
+
+
+def state_diff(revisions: DataFrame, base: int, target: int, moved: DataFrame | None = None) -> DataFrame:
     """``event_id, prior, current`` of events whose authoritative state differs at two frontiers.
 
-    A retracted event has no state. Only revisions that count at one of the frontiers but not at both are grouped,
-    on the partitioning that the intervals already have.
+    A retracted event has no state. Only the history of moved events is sorted and grouped. ``moved``:
+    ``moved_events`` as a stored table, whose known size lets Spark broadcast it instead of shuffling the history.
     """
     row = F.struct("revision_id", "customer_id", "event_time", "knowledge_time", "operation", "amount_cents", "status", "merchant_risk")
     at_base, at_target = valid_at(F.lit(base)), valid_at(F.lit(target))
-    moved = validity_intervals(known(revisions, target)).where(at_base != at_target)
-    both = moved.groupBy("event_id").agg(F.max(F.when(at_base, row)).alias("_p"), F.max(F.when(at_target, row)).alias("_c"))
+    part = known(revisions, target).join(moved_events(revisions, base, target) if moved is None else moved, "event_id", "left_semi")
+    changed = validity_intervals(part).where(at_base != at_target)
+    both = changed.groupBy("event_id").agg(F.max(F.when(at_base, row)).alias("_p"), F.max(F.when(at_target, row)).alias("_c"))
     stands = lambda c: F.when(F.col(f"{c}.operation") == "upsert", F.col(c))
     return both.select("event_id", stands("_p").alias("prior"), stands("_c").alias("current")).where(~F.col("prior.revision_id").eqNullSafe(F.col("current.revision_id")))
 

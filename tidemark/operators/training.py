@@ -13,6 +13,10 @@ from tidemark.operators.features import aggregates, with_default
 from tidemark.operators.temporal import valid_at, validity_intervals
 
 
+#: Buckets into which the widest window is cut for joins.
+SLICES = 6
+
+
 def label_cutoffs(labels: DataFrame, dataset_as_of: int) -> DataFrame:
     """Labels with requested and effective cutoffs: the effective one is the smaller of request and dataset time."""
     requested = F.coalesce("prediction_knowledge_time", "label_time")
@@ -23,16 +27,18 @@ def label_cutoffs(labels: DataFrame, dataset_as_of: int) -> DataFrame:
 def windowed_join(cut: DataFrame, events: DataFrame, definitions: Sequence[FeatureDefinition], extra: Column) -> DataFrame:
     """Labels with the events of their customer inside the widest window, where ``extra`` holds too.
 
-    Time is cut into buckets as wide as the window, so a label meets the events of two buckets of its customer and
-    never the customer's whole history; customers with many events spread over many buckets.
+    Time is cut into ``SLICES`` buckets a window, so a label meets the events of a few buckets of its customer and
+    never the customer's whole history; a customer with many events spreads over many keys, and beyond that Spark's
+    adaptive execution splits a skewed join, which has no order to keep.
     """
     widest = widest_window(definitions)
     right = events.withColumnRenamed("customer_id", "_customer")
     same = F.col("customer_id") == F.col("_customer")
     window = F.col("event_time") <= F.col("label_time")
     if widest is not None:
-        bucket = lambda c: F.floor(F.col(c) / widest)
-        cut = cut.withColumn("_at", F.explode(F.array(bucket("label_time"), bucket("label_time") - 1)))
+        width = -(-widest // SLICES)
+        bucket = lambda c: F.floor(F.col(c) / width)
+        cut = cut.withColumn("_at", F.explode(F.sequence(F.floor((F.col("label_time") - widest + 1) / width), bucket("label_time"))))
         right = right.withColumn("_bucket", bucket("event_time"))
         same = same & (F.col("_at") == F.col("_bucket"))
         window = window & (F.col("event_time") > F.col("label_time") - widest)

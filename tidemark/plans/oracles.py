@@ -43,7 +43,11 @@ _CONTRA = """, contra as (
 
 
 def _decimal(x: str) -> str:
-    return f"(case when {x} is null or not isfinite({x}) then null else (select case when d = '-0' then '0' else d end from (select rtrim(rtrim(cast(cast(cast({x} as varchar) as decimal(38,30)) as varchar), '0'), '.') as d)) end)"
+    """The number's text with its exponent carried out: digits, then where the point falls."""
+    return f"""(select case when {x} is null or not isfinite({x}) then null when ds = '' then '0' else (case when {x} < 0 then '-' else '' end) ||
+      case when p <= 0 then '0.' || repeat('0', -p) || ds when p >= length(ds) then rpad(ds, p::int, '0') else ds[1:p] || '.' || ds[p + 1:] end end
+      from (select rtrim(ltrim(digits, '0'), '0') as ds, whole + e - (length(digits) - length(ltrim(digits, '0'))) as p from
+        (select replace(m, '.', '') as digits, length(split_part(m, '.', 1)) as whole, coalesce(try_cast(split_part(v, 'e', 2) as int), 0) as e from (select v, split_part(v, 'e', 1) as m from (select ltrim(cast({x} as varchar), '-') as v)))))"""
 
 
 def _hash(**fields: str) -> str:
@@ -232,7 +236,7 @@ SQL = {
     "label_snapshot": f"{_WITH} select count(*) as labels, min(label_time) as minimum_label_time, max(label_time) as maximum_label_time, min(prediction_knowledge_time) as minimum_cutoff, max(prediction_knowledge_time) as maximum_cutoff, (select rows_digest from (select {_digest('h')} from (select {_hash(label_id='label_id::varchar', customer_id='customer_id::varchar', label_time='label_time::varchar', prediction_knowledge_time='prediction_knowledge_time::varchar', value='value::varchar')} as h from lab))) as rows_digest from lab",
     "definition_conflicts": f"with{_EVENTS}, cl as (select event_type || ':v1' as identity, sha256(case when event_id % 500 = 1 then event_type || '!' when event_type in ('click', 'view') then 'same' else event_type end) as x from e) select 'IDENTITY_REUSED' as conflict, identity as key, count(distinct x) as variants from cl group by identity having count(distinct x) > 1 union all select 'DIGEST_SHARED', x, count(distinct identity) from cl group by x having count(distinct identity) > 1",
     "revision_rows_digest": f"{_WITH} select {_digest('h')} from (select {_REV_HASH} as h from rev)",
-    "canonical_numbers": f"with{_EVENTS} select event_id, {_decimal('(value * k / 7)')} as canonical, isfinite(value * k / 7) as finite from e",
+    "canonical_numbers": f"with{_EVENTS} select event_id, {_decimal('(value * k / 7)')} as canonical, {_decimal('(value * k / 7 * 1e12::double)')} as large, {_decimal('(value * k / 7 / -1e35::double)')} as tiny, isfinite(value * k / 7) as finite from e",
     "upsert_classification": f"{_GEN12}, a as ({_KEYED} gen1 where customer_id % 4 <> 0), b as ({_KEYED} gen2) select b.partition_key, b.sort_key, b.digest, case when a.digest is null then 'written' when a.digest = b.digest then 'replayed' else 'conflict' end as outcome from b left join a on a.partition_key = b.partition_key and a.sort_key = b.sort_key",
     "missing_records": f"{_RECS} select customer_id, feature_name, record_digest from rec where customer_id % 10 = 3",
     "latest_per_key": f"with{_EVENTS} select customer_id, feature_name, event_time, knowledge_time, event_id, value from (select user_id as customer_id, event_type as feature_name, t as event_time, t + event_id % 50 as knowledge_time, event_id, value, row_number() over (partition by user_id, event_type order by t desc, t + event_id % 50 desc, event_id desc) as rn from e) where rn = 1",
@@ -263,7 +267,16 @@ SQL = {
       select count(*) as record_count, sum(n)::bigint as item_bytes, max(n) as maximum_item_bytes, sum(2 * ((n + 1023) // 1024))::bigint + count(*) * 2 as write_units, count(*) * 2 as condition_units from sized""",
     "partition_key_skew": f"{_WITH} select 'ENTITY#' || customer_id || '#GEN#g2' as partition_key, 5::bigint as records from spine",
     "hot_customers": f"{_WITH} select customer_id as key, count(*) as rows, count(*) / (select count(*) from rev) as fraction from rev group by 1 order by rows desc, key limit 10",
-    "partition_skew": f"{_WITH} select count(*) as rows, true as sound from rev",
+    "partition_skew": f"{_WITH}, p as (select count(*) as n from rev group by customer_id % 16) select sum(n)::bigint as rows, count(*) as partitions, max(n) as most_rows, max(n) / sum(n) as maximum_fraction from p",
+    "strict_label_decode": f"""{_WITH}, every as (select * from lab union all select * from lab where label_id % 103 = 5)
+      select case label_id % 101 when 1 then 'MALFORMED' when 2 then 'UNKNOWN_FIELD' when 3 then 'MISSING_FIELD' when 4 then 'WRONG_TYPE' when 5 then 'WRONG_TYPE' when 6 then 'MALFORMED' else case when label_id % 103 = 5 then 'DUPLICATE_LABEL' else '' end end as violations, count(*) as rows from every group by 1""",
+    "scope_reasons": f"{_SCOPED} select 'revision-change:' || event_id as reason from chg union all select 'affected-scope-threshold' from ({_MODE} from seen_customers) where mode = 'full'",
+    "predecessor_checks": f"{_WITH} select count_if(customer_id % 10 = 3) as missing, 5 * count_if(customer_id % 10 = 6) as extra, count_if(customer_id % 10 = 4) as repeated, 5 * count_if(customer_id % 10 = 5) as wrong_frontier from spine",
+    "spine_checks": f"with{_EVENTS}, n as (select case when event_id % 500 = 0 then '' else user_id::varchar end as c, count(*) as n from e group by 1) select sum(n)::bigint as rows, coalesce(sum(case when c = '' then n end), 0)::bigint as empty_ids, count_if(n > 1) as repeated_ids from n",
+    "stream_upserts": f"{_GEN12}, a as ({_KEYED} gen1 where customer_id % 4 <> 0), b as ({_KEYED} gen2), j as (select a.digest as old, b.digest as new from b left join a on a.partition_key = b.partition_key and a.sort_key = b.sort_key) select 'stored' as sink, (select count(*) from a) + count_if(old is null) as rows from j union all select 'conflicts', count_if(old <> new) from j",
+    "resumed_write": f"{_GEN2} select count(*) as planned_count, count(*) as stored_count, 0::bigint as missing, 0::bigint as extra, 0::bigint as differing, 0::bigint as corrupt, true as passed from gen2",
+    "candidate_receipts": f"""{_GEN2}, c as (select 'g' || customer_id % 6 as generation_id, count(*) as n from gen2 group by 1)
+      select generation_id, n as actual_count, n as expected_count, generation_id <> 'g3' as artifact_links_valid, generation_id <> 'g2' as candidate_matches_manifest, generation_id not in ('g1', 'g2', 'g3') as matched, case when generation_id in ('g1', 'g2', 'g3') then 'FAILED' else 'READY' end as next_status from c""",
     "injected_corrections": f"{_WITH} select * from rev union all select event_id, revision_id || '-c', customer_id, event_time, knowledge_time + 7200, operation, amount_cents + 100, status, merchant_risk from rev where operation = 'upsert' and ('0x' || substr(md5(event_id::varchar), 1, 7))::bigint % 100 < 25",
     "json_revision_scan": f"{_WITH} select * replace (event_id::varchar as event_id, customer_id::varchar as customer_id) from rev",
     "generation_scan": f"{_WITH}{_state(FIRST, 'st1')}{_gen('st1', FIRST, 'gen1', 'g1')} select customer_id, feature_name, value_long, value_double, generation_id from gen1",

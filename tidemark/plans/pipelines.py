@@ -7,21 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.definitions import FeatureDefinition, definitions_frame
+from tidemark.definitions import FeatureDefinition, definition_set_digest, definitions_frame
 from tidemark.functions.values import rows_digest
 from tidemark.operators.assurance import publish_verdict
 from tidemark.operators.features import build_generation, long_form, with_default
+from tidemark.operators.incremental import refreshed_generation
 from tidemark.operators.online import online_records
 from tidemark.operators.parity import parity_summary
-from tidemark.operators.quality import assert_clean
-from tidemark.sources.generations import write_once
+from tidemark.operators.quality import assert_clean, assert_spine
+from tidemark.sources.generations import manifest_of, write_once
 
 
 def full_rebuild(revisions: DataFrame, spine: DataFrame, definitions: Sequence[FeatureDefinition], event_cutoff: int, knowledge_cutoff: int, generation_id: str, root: str) -> str:
-    """Check, build and store a generation: ``written`` or ``replayed``."""
+    """Check, build and store a generation: ``written`` or ``replayed``. Unsound revisions, customers, cutoffs or definitions raise."""
+    if event_cutoff < 0 or knowledge_cutoff < 0:
+        raise ValueError("cutoffs must not be negative")
     assert_clean(revisions)
+    assert_spine(spine)
     values = build_generation(revisions, spine, definitions, event_cutoff, knowledge_cutoff, generation_id)
-    return write_once(values, root, generation_id, definition_set=",".join(sorted(d.digest for d in definitions)))
+    return write_once(values, root, generation_id, definition_set=definition_set_digest(definitions), event_cutoff=str(event_cutoff), knowledge_cutoff=str(knowledge_cutoff))
+
+
+def stored_refresh(root: str, predecessor_id: str, revisions: DataFrame, spine: DataFrame, definitions: Sequence[FeatureDefinition], event_cutoff: int, base: int, target: int, generation_id: str, maximum_fraction: float = 0.75) -> str:
+    """Refresh a stored generation to a new frontier and store the result: ``written`` or ``replayed``.
+
+    The predecessor's rows must be those of its manifest, at the base frontier.
+    """
+    assert_spine(spine)
+    spark = revisions.sparkSession
+    manifest = manifest_of(spark, root, predecessor_id)
+    values, _ = refreshed_generation(spark.read.parquet(f"{root}/{predecessor_id}/rows"), revisions, spine, definitions, event_cutoff, base, target, generation_id, maximum_fraction, manifest)
+    return write_once(values, root, generation_id, definition_set=definition_set_digest(definitions), event_cutoff=str(event_cutoff), knowledge_cutoff=str(target))
 
 
 def expected_values(revisions: DataFrame, spine: DataFrame, definitions: Sequence[FeatureDefinition], event_cutoff: int, knowledge_cutoff: int, generation_id: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.definitions import definitions_frame, payment_features
-from tidemark.functions.values import canonical_decimal, finite, rows_digest
+from tidemark.functions.values import canonical_decimal, digest_of, finite, row_digest, rows_digest
 from tidemark.operators import assurance, features, incremental, online, parity, quality, temporal, training
 from tidemark.plans import pipelines
 from tidemark.schemas import REVISION_FIELDS, REVISIONS
@@ -118,6 +118,19 @@ def legacy_upgrade(spark, d):
     return quality.upgraded(old)
 
 
+@query
+def strict_label_decode(spark, d):
+    """Labels as JSON texts, some of them malformed or repeated, decoded again: rows by violation."""
+    n = F.col("label_id")
+    labels = derived.labels(spark, d)
+    labels = labels.unionByName(labels.where("label_id % 103 = 5"))
+    text = F.to_json(F.struct(n.cast("string").alias("label_id"), F.col("customer_id").cast("string").alias("customer_id"), "label_time", "prediction_knowledge_time", F.col("value").cast("bigint").alias("value")))
+    raw = F.when(n % 101 == 1, F.concat(F.lit("x"), text)).when(n % 101 == 2, F.replace(text, F.lit('{"label_id"'), F.lit('{"more":1,"label_id"'))).when(n % 101 == 3, F.regexp_replace(text, ',"value":[0-9]+', ""))
+    raw = raw.when(n % 101 == 4, F.regexp_replace(text, '"value":([0-9]+)', '"value":"$1"')).when(n % 101 == 5, F.regexp_replace(text, '"label_id":"([0-9]+)"', '"label_id":$1')).when(n % 101 == 6, F.replace(text, F.lit('{"label_id"'), F.lit('{"value":1,"label_id"')))
+    out = quality.decoded_labels(labels.select(raw.otherwise(text).alias("raw")))
+    return out.groupBy(F.array_join("violations", ",").alias("violations")).agg(F.count("*").alias("rows"))
+
+
 @query
 def label_checks(spark, d):
     labels = derived.labels(spark, d).withColumn("prediction_knowledge_time", F.when(F.col("label_id") % 50 == 0, F.col("label_time") + 1).otherwise(F.col("prediction_knowledge_time")))
@@ -203,7 +216,34 @@ def affected_mode(spark, d):
 
 
 def _refreshed(spark, d):
-    return incremental.refreshed_generation(_generation(spark, d, FIRST, "g1"), _rev(spark, d), derived.spine(spark, d), FEATURES, CUTOFF, FIRST, SECOND, "g2")
+    """A refresh of a stored generation."""
+    root = shared_folder(spark, "generations")
+    generations.write_once(_generation(spark, d, FIRST, "g1"), root, "g1", event_cutoff=str(CUTOFF), knowledge_cutoff=str(FIRST))
+    before = spark.read.parquet(f"{root}/g1/rows")
+    return incremental.refreshed_generation(before, _rev(spark, d), derived.spine(spark, d), FEATURES, CUTOFF, FIRST, SECOND, "g2", manifest=generations.manifest_of(spark, root, "g1"))
+
+
+@query
+def scope_reasons(spark, d):
+    """Why pairs are in the scope of a refresh."""
+    return incremental.scope_reasons(_rev(spark, d), incremental.scope_summary(_rev(spark, d), _pairs(spark, d), FEATURES, SECOND), FIRST, SECOND)
+
+
+@query
+def predecessor_checks(spark, d):
+    """A generation with lost, doubled, moved and foreign rows against its customers and definitions."""
+    c, name = F.col("customer_id") % 10, F.col("feature_name")
+    g = _generation(spark, d, FIRST, "g1").where(~((c == 3) & (name == NAMES[0])))
+    g = g.withColumn("event_time", F.col("event_time") + F.when(c == 5, 1).otherwise(0))
+    odd = g.where((c == 4) & (name == NAMES[1])).unionByName(g.where(c == 6).withColumn("customer_id", -F.col("customer_id") - 1))
+    return incremental.predecessor_problems(g.unionByName(odd), derived.spine(spark, d), FEATURES, CUTOFF, FIRST)
+
+
+@query
+def spine_checks(spark, d):
+    """The customers of single events as a build's customers: repeated, some empty."""
+    who = F.when(F.col("event_id") % 500 == 0, "").otherwise(F.col("user_id").cast("string"))
+    return quality.spine_violations(derived.events(spark, d).select(who.alias("customer_id")))
 
 
 @query
@@ -249,8 +289,9 @@ def revision_rows_digest(spark, d):
 
 @query
 def canonical_numbers(spark, d):
+    """Numbers of ordinary, very large and very small size as plain decimals."""
     x = F.col("value") * F.col("k") / 7
-    return derived.events(spark, d).select("event_id", canonical_decimal(x).alias("canonical"), finite(x).alias("finite"))
+    return derived.events(spark, d).select("event_id", canonical_decimal(x).alias("canonical"), canonical_decimal(x * 1e12).alias("large"), canonical_decimal(x / -1e35).alias("tiny"), finite(x).alias("finite"))
 
 
 @query
@@ -484,8 +525,8 @@ def hot_customers(spark, d):
 
 @query
 def partition_skew(spark, d):
-    """Rows of partitions; how many there are depends on the cluster, so only the number of rows is compared."""
-    return assurance.partition_skew(_rev(spark, d).repartition("customer_id")).select("rows", (F.col("maximum_fraction") <= 1).alias("sound"))
+    """Rows of partitions, if customers were dealt to sixteen of them by number."""
+    return assurance.partition_skew(_rev(spark, d), F.pmod("customer_id", F.lit(16)))
 
 
 @query
@@ -546,8 +587,8 @@ def _slices(spark, d, path):
         if i == 3:
             first = r.where("revision_id like '%-r1'")
             part = part.unionByName(first.where("event_id % 50 = 0")).unionByName(first.where("event_id % 60 = 1").withColumn("amount_cents", F.col("amount_cents") + 7))
-        part.coalesce(1).write.parquet(f"{path}/slice={i}")
-    return spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+        part.repartition(4).write.parquet(f"{path}/slice={i}")
+    return spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", "true").parquet(path)
 
 
 @query
@@ -590,6 +631,44 @@ def stream_incremental_generation(spark, d):
     return out.join(F.broadcast(out.agg(F.max("batch").alias("batch"))), "batch").drop("batch", "generation_id")
 
 
+def _told(spark, d, frontier):
+    r = _records(spark, d, frontier, "g")
+    return r.select("partition_key", "sort_key", "customer_id", F.sha2(F.concat_ws("|", "value.kind", F.col("value.integer").cast("string"), "value.decimal"), 256).alias("digest"))
+
+
+@query
+def stream_upserts(spark, d):
+    """Records of two frontiers as a stream of idempotent writes: rows stored, and rows that contradict them."""
+    base = shared_folder(spark, "stream-upserts")
+    for i, part in enumerate((_told(spark, d, FIRST).where("customer_id % 4 <> 0"), _told(spark, d, SECOND))):
+        part.repartition(2).write.parquet(f"{base}/in/slice={i}")
+    stream = spark.readStream.schema(_told(spark, d, FIRST).schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+    ingest.upsert(stream, ["partition_key", "sort_key"], "digest", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out/stored").select(F.lit("stored").alias("sink")).union(spark.read.parquet(f"{base}/out/conflicts").select(F.lit("conflicts"))).groupBy("sink").agg(F.count("*").alias("rows"))
+
+
+@query
+def resumed_write(spark, d):
+    """A write of records that was interrupted, resumed and reconciled."""
+    base, planned = shared_folder(spark, "resumed"), _records(spark, d)
+    planned.where("customer_id % 3 = 0").write.parquet(f"{base}/stored/batch=0")
+    ingest.resume(planned, base, 1)
+    return online.reconciliation(planned, spark.read.parquet(f"{base}/stored").drop("batch"))
+
+
+@query
+def candidate_receipts(spark, d):
+    """Six candidates by customer number: one has a changed value, one another count in its manifest, one a lost source."""
+    n = F.col("customer_id") % 6
+    rows = _generation(spark, d, SECOND, "g2").select(F.concat(F.lit("g"), n.cast("string")).alias("generation_id"), "customer_id", "feature_name", "value_long", "value_double")
+    candidate = rows.withColumn("value_long", F.when((n == 1) & (F.col("feature_name") == NAMES[0]), F.col("value_long") + 1).otherwise(F.col("value_long")))
+    made = candidate.select("generation_id", row_digest(candidate.drop("generation_id")).alias("row_hash")).groupBy("generation_id").agg(*digest_of())
+    source = F.sha2(F.col("generation_id"), 256)
+    manifests = made.select("generation_id", (F.col("row_count") + F.when(F.col("generation_id") == "g2", 1).otherwise(0)).alias("candidate_count"), F.col("rows_digest").alias("candidate_digest"), source.alias("source_digest"))
+    artifacts = made.select(F.when(F.col("generation_id") == "g3", "labels").otherwise("source").alias("kind"), source.alias("rows_digest"))
+    return generations.candidate_receipt(manifests, candidate, rows, artifacts, {"source_digest": "source"}).drop("actual_digest", "expected_digest", "receipt_digest")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: a point-in-time training set of all purchases."""
     return pit_training_dataset(spark, sf_dir)

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.values import rows_digest
+from tidemark.functions.values import digest_of, row_digest, rows_digest
 
 
 class Conflict(RuntimeError):
@@ -50,11 +50,17 @@ def write_once(rows: DataFrame, root: str, table_id: str, kind: str = "generatio
     return "written"
 
 
-def read_checked(spark: SparkSession, root: str, table_id: str) -> DataFrame:
-    """The rows of a complete table whose count and digest are those of its manifest."""
+def manifest_of(spark: SparkSession, root: str, table_id: str) -> dict:
+    """The manifest of a complete table; raises where there is none."""
     manifest = _manifest(spark, root, table_id)
     if manifest is None:
         raise Damaged(f"{table_id} has no manifest")
+    return manifest
+
+
+def read_checked(spark: SparkSession, root: str, table_id: str) -> DataFrame:
+    """The rows of a complete table whose count and digest are those of its manifest."""
+    manifest = manifest_of(spark, root, table_id)
     rows = spark.read.parquet(f"{root}/{table_id}/rows")
     found = rows_digest(rows, manifest["columns"].split(",")).first()
     if (found.row_count, found.rows_digest) != (manifest["row_count"], manifest["rows_digest"]):
@@ -88,3 +94,30 @@ def label_snapshot(labels: DataFrame) -> DataFrame:
 def missing_links(manifests: DataFrame, artifacts: DataFrame, link: str) -> DataFrame:
     """Manifests whose digest in column ``link`` names no artifact (``rows_digest``)."""
     return manifests.join(artifacts.select(F.col("rows_digest").alias(link)), link, "left_anti")
+
+
+def candidate_receipt(manifests: DataFrame, candidate: DataFrame, expected: DataFrame, artifacts: DataFrame, links: dict[str, str]) -> DataFrame:
+    """One row for each manifest (``generation_id, candidate_count, candidate_digest`` and digest columns): a receipt.
+
+    ``candidate`` and ``expected`` rows carry ``generation_id``. ``links``: column of a manifest to the kind of artifact
+    (``kind, rows_digest``) that it must name. A candidate matches if its rows are the expected ones and those its
+    manifest counted, and all links hold; it is then READY, else FAILED.
+    """
+
+    def told(rows: DataFrame, name: str) -> DataFrame:
+        columns = [c for c in rows.columns if c != "generation_id"]
+        count, whole = digest_of("_hash")
+        return rows.select("generation_id", row_digest(rows, columns).alias("_hash")).groupBy("generation_id").agg(count.alias(f"{name}_count"), whole.alias(f"{name}_digest"))
+
+    out = manifests.join(told(candidate, "actual"), "generation_id", "left").join(told(expected, "expected"), "generation_id", "left")
+    valid = F.lit(True)
+    for i, (column, kind) in enumerate(links.items()):
+        held = artifacts.where(F.col("kind") == kind).select(F.col("rows_digest").alias(column), F.lit(True).alias(f"_held{i}")).distinct()
+        out = out.join(held, column, "left")
+        valid = valid & F.coalesce(f"_held{i}", F.lit(False))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    counted = (zero("actual_count") == F.col("candidate_count")) & F.col("actual_digest").eqNullSafe(F.col("candidate_digest"))
+    same = (zero("actual_count") == zero("expected_count")) & F.col("actual_digest").eqNullSafe(F.col("expected_digest"))
+    out = out.select("generation_id", zero("actual_count").alias("actual_count"), zero("expected_count").alias("expected_count"), "actual_digest", "expected_digest", valid.alias("artifact_links_valid"), counted.alias("candidate_matches_manifest"), (valid & counted & same).alias("matched"))
+    out = out.withColumn("next_status", F.when(F.col("matched"), "READY").otherwise("FAILED"))
+    return out.withColumn("receipt_digest", row_digest(out))

@@ -112,6 +112,8 @@ def arrival_lag(stream: DataFrame, width: str = "1 day", delay: str = "30 days")
 def continuous_generation(stream: DataFrame, spine: DataFrame, definitions: Sequence[FeatureDefinition], event_cutoff: int, target: str, checkpoint: str) -> StreamingQuery:
     """After every batch a generation at the new knowledge frontier, refreshed from the one before.
 
+    Conflicting and invalid revisions go to ``target/quarantine``, as in ``ingest``.
+
     A batch that reaches behind the last frontier changes what was known there, so it gets a full build.
     """
     schema = stream.schema
@@ -121,6 +123,7 @@ def continuous_generation(stream: DataFrame, spine: DataFrame, definitions: Sequ
         before = read_before(spark, f"{target}/accepted", schema, batch_id)
         rows = classified(batch, before).persist()
         rows.where("outcome = 'appended'").drop("outcome").write.mode("overwrite").parquet(f"{target}/accepted/batch={batch_id}")
+        rows.where("outcome in ('conflict', 'invalid')").write.mode("overwrite").parquet(f"{target}/quarantine/batch={batch_id}")
         low, high = rows.where("outcome = 'appended'").agg(F.min("knowledge_time"), F.max("knowledge_time")).first()
         rows.unpersist()
         if high is None:
