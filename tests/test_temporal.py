@@ -193,3 +193,19 @@ def test_no_cartesian_product(spark, golden):
     for df in (training.point_in_time_dataset(labels, golden, SHORT, 10_000), features.build_generation(golden, labels.select("customer_id"), SHORT, 200, 205, "g")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_training_set_of_one_hot_customer(spark):
+    rng = random.Random(23)
+    rows = [(f"e{i}", f"e{i}-r", "hot" if i % 20 else f"c{i}", t := rng.randrange(0, 3000), t + rng.randrange(0, 300), "upsert", i, "succeeded", 0.5) for i in range(1500)]
+    labels = [(f"l{i}", "hot" if i % 9 else "c40", t := rng.randrange(-50, 3200), t - rng.randrange(0, 50), 1) for i in range(120)]
+    out = {r.label_id: r for r in training.point_in_time_dataset(spark.createDataFrame(labels, LABELS), spark.createDataFrame(rows, REVISIONS), SHORT, 10_000).collect()}
+    for label, customer, at, known, _ in labels:
+        seen = [r for r in rows if r[2] == customer and at - 100 < r[3] <= at and r[4] <= known]
+        assert (out[label].count_100s, out[label].spend_100s) == (len(seen), sum(r[6] for r in seen))
+
+
+def test_refresh_looks_at_moved_events_only(spark, life):
+    moved = temporal.moved_events(life[0], 180000, 200020)
+    assert {r.event_id for r in moved.collect()} == {"p-1", "p-3", "upper"}
+    assert temporal.state_diff(life[0], 180000, 200020, moved.where("event_id = 'upper'")).count() == 1

@@ -99,13 +99,15 @@ def refreshed_generation(predecessor: DataFrame, revisions: DataFrame, spine: Da
     if any(problems.values()):
         raise ValueError(f"the predecessor can't be refreshed: {problems}")
     moved = stored(moved_events(revisions, base, target), "moved")
-    scope = affected_pairs(revisions, definitions, event_cutoff, base, target, moved)
-    pairs = stored(scope.join(spine.select("customer_id").distinct(), "customer_id", "left_semi"), "pairs")
-    summary = stored(scope_summary(revisions, pairs, definitions, target, maximum_fraction), "scope")
-    touched = stored(pairs.select("customer_id").distinct(), "touched")
+    touching = affected_pairs(revisions, definitions, event_cutoff, base, target, moved)
+    pairs = stored(touching.join(spine.select("customer_id").distinct(), "customer_id", "left_semi"), "pairs")
+    told = scope_summary(revisions, pairs, definitions, target, maximum_fraction)
+    scope = told.first()
+    summary = revisions.sparkSession.createDataFrame([scope], told.schema)  # one row
+    touched = pairs.select("customer_id").distinct()
     work = summary.join(touched.agg(F.count("*").alias("affected_customers"))).join(predecessor.agg(F.count("*").alias("predecessor_rows")))
     work = work.select("*", (F.col("affected_customers") * len(definitions)).alias("recomputed_rows"), (F.col("predecessor_rows") - F.col("affected_pairs")).alias("preserved_rows"))
-    if summary.first().mode == "full":
+    if scope.mode == "full":
         return build_generation(revisions, spine, definitions, event_cutoff, target, generation_id), work
     part = revisions.join(touched, "customer_id", "left_semi")
     recomputed = build_generation(part, spine.join(touched, "customer_id", "left_semi"), definitions, event_cutoff, target, generation_id)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -31,19 +31,28 @@ def read_before(spark: SparkSession, path: str, schema: StructType, batch_id: in
         return spark.createDataFrame([], schema)
 
 
+def _keys() -> Column:
+    """What two revisions may share: an event or a revision id."""
+    return F.explode(F.array(F.concat(F.lit("event:"), F.col("event_id").cast("string")), F.concat(F.lit("revision:"), F.col("revision_id").cast("string")))).alias("_key")
+
+
+def touched(batch: DataFrame, existing: DataFrame) -> DataFrame:
+    """The existing rows that share a revision or an event with the batch, from one scan."""
+    shared = batch.select(_keys()).distinct()
+    return existing.select("*", _keys()).join(shared, "_key", "left_semi").drop("_key").distinct()
+
+
 def classified(batch: DataFrame, existing: DataFrame) -> DataFrame:
     """``batch`` rows with an ``outcome``: appended, replayed, conflict or invalid.
 
     A conflict reuses a revision id with other contents, gives an event two revisions at one knowledge time, or
-    another customer. Rows of one batch that contradict each other are conflicts all. Only existing rows that share
-    a revision or an event with the batch are looked at.
+    another customer. Rows of one batch that contradict each other are conflicts all. ``existing`` need only hold the
+    rows that are ``touched``; it is read several times.
     """
     columns = batch.columns
     checked = revision_violations(batch)
     hashed = checked.withColumn("_hash", row_digest(batch)).dropDuplicates(["_hash"])
-    ids = hashed.select("event_id").distinct()
-    revs = hashed.select("revision_id").distinct()
-    old = existing.join(ids, "event_id", "left_semi").select(*columns).union(existing.join(revs, "revision_id", "left_semi").select(*columns)).distinct()
+    old = touched(hashed, existing.select(*columns))
     old = old.withColumn("_hash", row_digest(old))
     sound = hashed.where("size(violations) = 0")
     every = sound.select(*columns, "_hash", F.lit(1).alias("_new")).union(old.select(*columns, "_hash", F.lit(0)))
@@ -56,16 +65,27 @@ def classified(batch: DataFrame, existing: DataFrame) -> DataFrame:
     return good.unionByName(hashed.where("size(violations) > 0").select(*columns, F.lit("invalid").alias("outcome")))
 
 
+def _accept(batch: DataFrame, before: DataFrame, target: str, batch_id: int) -> DataFrame:
+    """Write a batch's new revisions to ``target/accepted``, all others but replays to ``target/quarantine``; the new ones.
+
+    What was accepted before is scanned once: the few rows that the batch touches are kept meanwhile.
+    """
+    met = touched(batch, before).persist()
+    rows = classified(batch, met).persist()
+    path = f"{target}/accepted/batch={batch_id}"
+    rows.where("outcome = 'appended'").drop("outcome").write.mode("overwrite").parquet(path)
+    rows.where("outcome in ('conflict', 'invalid')").write.mode("overwrite").parquet(f"{target}/quarantine/batch={batch_id}")
+    rows.unpersist()
+    met.unpersist()
+    return batch.sparkSession.read.schema(batch.schema).parquet(path)
+
+
 def ingest(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Append new revisions to ``target/accepted`` and all others but replays to ``target/quarantine``."""
     schema = stream.schema
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = classified(batch, read_before(spark, f"{target}/accepted", schema, batch_id)).persist()
-        rows.where("outcome = 'appended'").drop("outcome").write.mode("overwrite").parquet(f"{target}/accepted/batch={batch_id}")
-        rows.where("outcome in ('conflict', 'invalid')").write.mode("overwrite").parquet(f"{target}/quarantine/batch={batch_id}")
-        rows.unpersist()
+        _accept(batch, read_before(batch.sparkSession, f"{target}/accepted", schema, batch_id), target, batch_id)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -121,11 +141,7 @@ def continuous_generation(stream: DataFrame, spine: DataFrame, definitions: Sequ
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = read_before(spark, f"{target}/accepted", schema, batch_id)
-        rows = classified(batch, before).persist()
-        rows.where("outcome = 'appended'").drop("outcome").write.mode("overwrite").parquet(f"{target}/accepted/batch={batch_id}")
-        rows.where("outcome in ('conflict', 'invalid')").write.mode("overwrite").parquet(f"{target}/quarantine/batch={batch_id}")
-        low, high = rows.where("outcome = 'appended'").agg(F.min("knowledge_time"), F.max("knowledge_time")).first()
-        rows.unpersist()
+        low, high = _accept(batch, before, target, batch_id).agg(F.min("knowledge_time"), F.max("knowledge_time")).first()
         if high is None:
             return
         known = spark.read.parquet(f"{target}/accepted").where(F.col("batch") <= batch_id).select(*schema.names)
