@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -180,6 +182,35 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns == ["doc_id", "text", "extra"]
 
 
+def test_near_duplicates_are_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long.replace("w30", "x")
+    rows = [(1, long), (2, near), (2, "something else that links with nothing"), (None, near), (None, None), (3, long), (3, long)]
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id bigint, text string, n string, key int")
+    out = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, size=4).collect()), key=str)
+    assert out == sorted([(1, 57, 1, True), (2, 57, 1, False), (2, 3, 2, True), (None, 57, None, None), (None, 0, None, None), (3, 57, 1, False), (3, 57, 1, False)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in minhash.deduplicated(df, size=4).collect()), key=str)
+    assert kept == sorted([(1, long), (2, rows[2][1]), (None, near), (None, None)], key=str)
+
+
+def test_mates_of_a_pool_of_paragraphs_meet_in_bounded_pairs(spark):
+    rng = random.Random(14)
+    # 600 mates of one center, each with 8 of 40 paragraphs of 20 shingles beside it, and some near copies of mates
+    chosen = [sorted(rng.sample(range(40), 8)) for _ in range(600)]
+    chosen += [sorted({*c[:7], rng.randrange(40)}) for c in chosen[:50]]
+    star = [(0, i + 1, 100, 100 + 20 * len(c), 100, [20 * p + k for p in c for k in range(20)]) for i, c in enumerate(chosen)]
+    df = spark.createDataFrame(star, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint, outside array<bigint>")
+    labels = spark.createDataFrame([], "doc bigint, component bigint")
+    got = {(r.a, r.b) for r in minhash.beyond_stars(df, labels, 80).collect()}
+    want = set()
+    for i, x in enumerate(chosen):
+        for j, y in enumerate(chosen[:i]):
+            both, n = 100 + 20 * len({*x} & {*y}), 200 + 20 * len(x) + 20 * len(y)
+            if 180 * both >= 80 * n:
+                want.add((j + 1, i + 1))
+    assert len(want) >= 50 and want <= got and len(got) < len(chosen) ** 2 / 2 / 3
+
+
 def test_densified_bins_agree_as_sets_do():
     import numpy as np
 
@@ -274,6 +305,45 @@ def test_contamination_beyond_radius_and_in_shorter_texts(spark):
     assert out == {1: 0.8, 2: round(38 / 44, 3)}
 
 
+def test_contamination_equals_sql_on_edited_items(spark):
+    import duckdb
+
+    rng = random.Random(15)
+    items = [(i, words(rng, rng.choice((3, 8, 15, 30, 59, 104)), 90)) for i in range(12)] + [(20, "a b a b a b a b a b a b"), (21, None)]
+    docs = []
+    for i in range(150):
+        w = (rng.choice(items)[1] or "").split()
+        for _ in range(rng.randrange(0, 1 + len(w) // 9)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(3)] = [f"n{rng.randrange(9)}"] * rng.randrange(2)
+        docs.append((i, " ".join([*words(rng, rng.choice((0, 0, 4, 40))).split(), *w, *words(rng, rng.choice((0, 0, 4, 40))).split()])))
+    docs += [(200, " ".join(items[5][1].split()[:48] + items[5][1].split()[60:])), (201, None), (202, "b a " * 30)]
+    got = {(r.doc_id, r.item_id, r.start_word, r.n_words, round(r.similarity, 9)) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.execute("create table benchmark (item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", docs)
+    con.executemany("insert into benchmark values (?, ?)", items)
+    want = {(*r[:4], round(r[4], 9)) for r in con.execute(queries.OP6_SQL).fetchall()}
+    assert len(want) > 60 and got == want
+
+
+def test_decontamination_judges_rows(spark):
+    item = " ".join(f"v{i}" for i in range(20))
+    rows = [(None, item, "a"), (None, "clean text", "b"), (1, item, "c"), (1, "other", "d"), (2, None, "e")]
+    kept = decontaminate.decontaminated(spark.createDataFrame(rows, "doc_id bigint, text string, begin string"), spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert sorted(r.begin for r in kept.collect()) == ["b", "d", "e"] and kept.columns == ["doc_id", "text", "begin"]
+
+
+def test_seeds_in_parts_find_the_same(spark):
+    rng = random.Random(16)
+    items = spark.createDataFrame([(i, words(rng, 20)) for i in range(20)], "item_id bigint, text string")
+    source = items.selectExpr("item_id doc_id", "item_id text_hash", "split(text, ' ') w")
+    seed = decontaminate.written(decontaminate.seeds(decontaminate.benchmark_items(items, 5), 5, 80), "seeds")
+    found = [decontaminate.seed_hits(source, seed, rows).select("doc_id", "item_id", "begin").exceptAll(decontaminate.seed_hits(source, seed).select("doc_id", "item_id", "begin")).count() for rows in (10, 7)]
+    assert found == [0, 0] and decontaminate.seed_hits(source, seed, 10).count() == decontaminate.seed_hits(source, seed).count() > 0
+
+
 def test_hamming_blocks_cover_all_bits():
     radius = 18
     cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
@@ -307,6 +377,30 @@ def test_lm_base_score_and_lattice(spark):
     assert seen[0] == seen[1]  # what is broadcast and what is joined makes no difference
 
 
+def test_lm_scores_rows_by_brute_force(spark, empty):
+    rng = random.Random(17)
+    rows = [(i, words(rng, 25, 80)) for i in range(60)] + [(70, "rare éa ones"), (70, "rare éa ones"), (70, "others"), (None, "rare w1 éa"), (None, None), (71, "")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, word string, row int")
+    told = []
+    for frequent in (100_000, 4):
+        counts = lattice_lm.written(lattice_lm.word_counts(df, F.coalesce(lattice_lm.crc_mod("doc_id", 10) != 0, F.lit(False))), "counts")
+        model = lattice_lm.fit(counts, queries.vocabulary(), rounds=1, most_frequent=frequent)
+        c = {r.word.encode(): r.c for r in counts.collect()}
+        lattice = lattice_lm.Lattice(model.arcs, model.byte_arcs)
+
+        def log10(w):
+            own = max(c.get(w, 0) - model.discount, 0) / (model.total + 1)  # noqa: B023
+            if w == b"\n":
+                return math.log10(own)
+            return math.log10(own + 10 ** (model.rest + lattice.forward("▁" + w.decode())[-1] / math.log(10)))  # noqa: B023
+
+        want = sorted((str(i), len(words_of(t)) + 1, sum(w in c for w in [*words_of(t), b"\n"]), round(sum(map(log10, [*words_of(t), b"\n"])), 6)) for i, t in rows)
+        got = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.score, 6)) for r in lattice_lm.scored(df, counts, model).collect())
+        assert got == want
+        told.append(got)
+    assert lattice_lm.lm_report(empty, queries.vocabulary()).count() == 0
+
+
 def test_forward_equals_sum_over_segmentations():
     pieces, byte_at, logp = lattice_lm.vocabulary(queries.vocabulary())
     lattice = lattice_lm.Lattice.of(pieces, byte_at, logp)
@@ -368,6 +462,20 @@ def test_notices_within_edits_are_found(spark, odd, empty):
     assert notices.scanned(odd).count() == len(ODD) and notices.scanned(empty).count() == 0
 
 
+def test_base_phrases_by_brute_force(spark):
+    rng = random.Random(18)
+    vocabulary = ["cc", "by", "CC", "BY,", "general", "public", "license", "General-Public", "License.", "all", "rights", "reserved", "x", "é", "ALL", "cc by cc by", "_", "by\ncc"]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 40)))) for i in range(400)] + [(900, None), (901, "cc by"), (902, "cc  -- by"), (903, "all rights reserved all rights reserved"), (904, "ccé by"), (905, "cc by " * 20_000)]
+    out = {r.doc_id: r for r in notices.scanned(spark.createDataFrame([(*r, "s") for r in rows], "doc_id bigint, text string, spans string")).collect()}
+    for i, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        places = [(at, label) for phrase, label in notices.PHRASES.items() for p in [phrase.split()] for at in range(len(w) - len(p) + 1) if w[at : at + len(p)] == p]
+        r, starts = out[i], [at for at, _ in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(starts, default=None), max(starts, default=None)), t
+        assert r.base_labels == ",".join(sorted({x for _, x in places})) and {x for _, x in places} <= set(r.labels.split(","))
+        assert 0 <= r.score <= 1 and (r.score == 1) >= bool(places)
+
+
 # 9
 def test_language_on_held_out_texts(spark, odd, empty):
     rng = random.Random(8)
@@ -383,6 +491,52 @@ def test_language_on_held_out_texts(spark, odd, empty):
     assert language.language_report(empty.withColumn("lang", F.lit(None).cast("string"))).count() == 0
 
 
+def by_hand(data: bytes, n: int, bits: int):
+    """(place, bucket) of each byte n-gram that holds white space at its ends only, one at a time."""
+    for i in range(len(data) - n + 1):
+        g = data[i : i + n]
+        if b" " not in g[1:-1]:
+            h = n
+            for c in g:
+                h = (h * 0x01000193) % (1 << 32) ^ c
+            h = (h * 0x9E3779B1) % (1 << 32)
+            h = ((h ^ h >> 15) * 0x85EBCA77) % (1 << 32)
+            yield i, h >> 32 - bits
+
+
+def test_language_scores_by_brute_force(spark, empty):
+    rng = random.Random(19)
+    make = lambda chars: " ".join("".join(rng.choice(chars) for _ in range(rng.randrange(2, 7))) for _ in range(rng.randrange(3, 30)))
+    model = language.train([(make("abcde "), "x") for _ in range(40)] + [(make("efghé"), "y") for _ in range(40)] + [(make("漢字かな"), "z") for _ in range(40)])
+    texts = [None, "", "12 ½ ² ٣ _!", "a", "é", "漢", "ªb", "A\tB\n\nC", make("abcdefgh"), "abc " * 9000, "x\x00y", "\u02b0"]
+    out = {r.doc_id: r for r in language.predicted(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string"), model).collect()}
+    for i, t in enumerate(texts):
+        if not t or not any(unicodedata.category(c).startswith("L") for c in t):
+            assert (out[i].lang_pred, out[i].score, out[i].accepted) == ("und", 0.0, False), t
+            continue
+        data = b" " + b" ".join(t.lower().encode().split()) + b" "
+        rows = [model.logits[h].astype(float) for n in language.ORDERS for _, h in by_hand(data, n, language.BITS)]
+        z = [(sum(r[k] for r in rows) / len(rows) + model.bias[k]) / model.temperature for k in range(3)]
+        p = [math.exp(x - max(z)) for x in z]
+        best = max(range(3), key=p.__getitem__)
+        assert out[i].lang_pred == model.languages[best] and out[i].score == pytest.approx(p[best] / sum(p), rel=1e-6)
+    assert language.language_report(empty.withColumn("lang", F.lit("a"))).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5 + str(i), f"l{i % 90}") for i in range(900)] + [(1, "same id, other text", "l1")] * 50
+    seen = []
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_language=3)
+    assert len(model.languages) == 90
+    keep = language.train
+    try:
+        language.train = lambda rows: seen.append(len(rows)) or keep(rows)
+        language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_language=3, most=180)
+    finally:
+        language.train = keep
+    assert seen == [180]  # two of each language
+
+
 def test_language_rejects_what_it_has_not_learned():
     rng = random.Random(13)
     kinds = {"aa": "ka lo mi ru".split(), "bb": "sch ung en ber".split(), "cc": "eau oix ent qui".split(), "dd": "ña ción os ay".split()}
@@ -415,6 +569,41 @@ def test_toxicity_on_held_out_texts(spark, odd, empty):
     assert toxicity.clean(empty, model).count() == 0 and toxicity.toxicity_report(empty, labels.limit(0)).count() == 0
 
 
+def test_toxicity_scores_by_brute_force(spark, empty):
+    rng = random.Random(20)
+    plain = lambda n: " ".join(words(rng, 8, 300) + rng.choice((".", "!", "?\n")) for _ in range(n))
+    bad = ["scumbags", "idiotic fools", "dreadfully vile"]
+    model = toxicity.train([(plain(3), 0) for _ in range(120)] + [(f"{plain(2)} you {rng.choice(bad)} there. {plain(1)}", 1) for _ in range(120)])
+    texts = [None, "", " \n", "you scumbags there.", "You SCUMBAGS there! fine.", plain(4), f"{plain(30)} you idiotic fools there.{plain(30)} you dreadfully vile there", "scumbags", "scum bags", "\t\x0b.scumbags\r."]
+    out = {r.doc_id: r for r in toxicity.scored(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, toxic int"), model).collect()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for i, t in enumerate(texts):
+        raw = (t or "").encode().lower()
+        cuts = [0, *(k + 1 for k, c in enumerate(raw) if c in b".!?\n"), len(raw)]
+        hits = [set() for _ in cuts[1:]]
+        data = b" " + bytes(32 if c in b"\t\n\v\f\r" else c for c in raw) + b" "
+        for n in toxicity.ORDERS if raw.strip() else ():
+            for at, h in by_hand(data, n, toxicity.BITS):
+                hits[sum(c <= at for c in cuts[1:-1])].add(h)
+        p = [(sigmoid(model.bias + sum(float(model.weights[h]) for h in x)) - sigmoid(model.bias)) / (1 - sigmoid(model.bias)) for x in hits]
+        over = [x for x in p if x >= 0.5]
+        want = 1 - math.prod(1 - x for x in over) if over else max(p, default=0)
+        assert out[i].score == pytest.approx(want, abs=1e-6) and out[i].n_offending == len(over) and out[i].predicted == (want >= 0.5), t
+    assert out[3].predicted and out[4].predicted and out[6].n_offending == 2
+    assert toxicity.toxicity_report(empty, spark.createDataFrame([], "doc_id bigint, toxic int")).count() == 0
+
+
+def test_length_alone_convicts_nobody():
+    rng = random.Random(21)
+    plain = lambda n: " ".join(words(rng, 8, 300) + "." for _ in range(n))
+    rows = [(plain(3), 0) for _ in range(150)] + [(f"{plain(2)} you {rng.choice(('scumbags', 'idiots'))}.", 1) for _ in range(150)] + [(plain(3), 1) for _ in range(12)]
+    model = toxicity.train(rows)
+    for n in (1, 10, 100, 3000):
+        score, found = model.score(plain(n))
+        assert score < 0.5 and not found
+    assert model.score(plain(3000) + " you idiots.")[0] >= 0.5
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
@@ -432,3 +621,22 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
         assert after.columns == docs.columns
         docs = after
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [*range(30), 40]
+
+
+def test_pipeline_removes_what_it_should(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, label string"
+    clean = [(i, f"{words(rng, 12)}. {words(rng, 12)}.", "en", "s", 1, "x") for i in range(80)]
+    bad = [(100 + i, f"{words(rng, 12)}. you {rng.choice(('scumbags', 'wretched idiots'))}. {words(rng, 9)}.", "en", "s", 1, "x") for i in range(40)]
+    rows = [*clean, *bad, clean[0], clean[0], (5, None, "en", "s", 1, "x"), (None, words(rng, 30), "en", "s", 1, "x"), (300, "12 345 !!", None, None, None, None)]
+    marks = [(r[0], 1, 0) for r in clean[:60]] + [(r[0], 1, 1) for r in bad[:30]] + [(None, 1, 1), (5, None, None)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame(rows, schema).limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for d in "ab":
+        spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/{d}/benchmark.parquet")
+        spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/{d}/labels.parquet")
+    out = sorted(((r.doc_id, r.n_tokens > 1) for r in corpus_pipeline.run(spark, f"{tmp_path}/a").collect()), key=str)
+    assert out == sorted([(0, True)] * 3 + [(i, True) for i in range(1, 80)] + [(None, True)], key=str)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
