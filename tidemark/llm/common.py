@@ -11,7 +11,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes up to which a derived table may be broadcast.
@@ -63,11 +63,6 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if n <= rows and held <= size else df
 
 
-def smaller_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in an Arrow batch than Spark's default, for tables of long texts; for queries, not for operators."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
@@ -177,3 +172,14 @@ def ngram_buckets(data: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.n
     at = np.flatnonzero(~inner)
     return at, h[at]
 
+
+def smallest_hashes(ids: DataFrame, group: str, counts: DataFrame, rows: int) -> DataFrame:
+    """Distinct ``doc_id, group``: in each group the ``rows`` ids with the smallest hashes, a sample that doesn't depend on partitioning.
+
+    ``counts``: ``group, n``, about how many ids each group has. Hashes are uniform, so those under twice the share
+    that is wanted hold the sample: only they, each once, are sorted, and no group's ids meet in one task.
+    """
+    h = F.xxhash64("doc_id", F.lit(73))
+    low = ids.select("doc_id", group).join(counts, group).where(h / 2.0**64 + 0.5 <= (2 * rows + 100) / F.col("n")).select("doc_id", group).distinct()
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(h, "doc_id"))
+    return low.withColumn("_r", rank).where(F.col("_r") <= rows).select("doc_id", group)

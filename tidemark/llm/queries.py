@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, language, lattice_lm, minhash, notices, pivot_search, sentencepiece_codec, toxicity, url_filters
-from tidemark.llm.common import documents, labels, smaller_batches
+from tidemark.llm.common import documents, labels
 
 
 def vocabulary() -> str:
@@ -18,7 +18,6 @@ def vocabulary() -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    smaller_batches(spark)
     return sentencepiece_codec.round_trip(documents(spark, sf_dir), vocabulary())
 
 
@@ -32,8 +31,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    smaller_batches(spark)
-    return minhash.near_duplicates(documents(spark, sf_dir), size=4, percent=80)
+    return minhash.near_duplicates(documents(spark, sf_dir), size=4, percent=80).drop("text_hash")
 
 
 #: A conversation whose texts look like another template's control strings.
@@ -51,7 +49,6 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    smaller_batches(spark)
     return lattice_lm.lm_report(documents(spark, sf_dir), vocabulary())
 
 
@@ -87,6 +84,23 @@ from s qualify rank <= 10
 """
 
 
+#: All pairs that share a shingle, counted; then everything that links reach.
+OP4_SQL = """
+with recursive d as (
+    select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents
+), s as (
+    select doc_id, unnest(list_distinct(case when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end)) as shingle from d where len(w) > 0
+), n as (select doc_id, count(*) as n from s group by 1
+), p as (select x.doc_id as x, y.doc_id as y, count(*) as c from s x join s y on x.shingle = y.shingle and x.doc_id < y.doc_id group by all
+), l as (
+    select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)
+), e as (select x, y from l union select y, x from l
+), r as (select doc_id, doc_id as other from documents union select r.doc_id, e.y from r join e on e.x = r.other
+)
+select doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(other) as component_id, min(other) = doc_id as kept from r left join n using (doc_id) group by doc_id
+"""
+
+
 #: Brute force over all windows that share a shingle: no seeds, fingerprints or blocks.
 OP6_SQL = """
 with items as (
@@ -166,4 +180,4 @@ from r group by conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op3_url_filters": OP3_SQL, "op5_chat": OP5_SQL, "op6_decontaminate": OP6_SQL}
+    return {"op2_topk": OP2_SQL, "op4_minhash": OP4_SQL, "op3_url_filters": OP3_SQL, "op5_chat": OP5_SQL, "op6_decontaminate": OP6_SQL}
