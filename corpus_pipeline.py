@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: each stage works on all rows that the stage before it kept.
 
-Cases: null or empty texts have no language and go in the second stage; an empty table passes through every stage;
-rows that repeat a doc_id are judged alike; extra columns are carried to the last stage, which returns its own columns.
+Cases: null or empty texts have no language and go in the second stage; an empty table passes through every stage; each
+row is judged by its own text, and rows that repeat both doc_id and text stay or go together; extra columns are carried
+to the last stage, which returns its own columns only.
 """
 
 from __future__ import annotations
@@ -11,24 +12,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, language, minhash, queries, sentencepiece_codec, toxicity
-from tidemark.llm.common import documents, labels, shared_dir, smaller_batches
+from tidemark.llm.common import documents, labels, shared_dir
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score half or more go; learned from all labelled rows."""
-    smaller_batches(spark)
     return toxicity.clean(docs, toxicity.fit(docs, labels(spark, sf_dir)))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or whose language is predicted with too little confidence, go."""
-    smaller_batches(spark)
     return language.accepted(docs, language.fit(docs))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (shingles of five words, similarity 0.8) the smallest doc_id stays."""
-    smaller_batches(spark)
     return minhash.deduplicated(docs, size=5, percent=80)
 
 
@@ -38,8 +36,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the kept texts, encoded and decoded."""
-    smaller_batches(spark)
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes`` of the kept texts, encoded and decoded; other columns end here."""
     return sentencepiece_codec.round_trip(docs, queries.vocabulary())
 
 
