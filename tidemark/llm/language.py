@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, ngram_buckets, slices
+from tidemark.llm.common import crc_mod, ngram_buckets, slices, small, smallest_hashes, written
 
 BITS = 16
 ORDERS = (2, 3, 4)
@@ -122,12 +122,12 @@ def train(rows: list[tuple[str, str]], dims: int = 16, epochs: int = 6, rate: fl
 def fit(docs: DataFrame, per_language: int = 400, most: int = 100_000) -> LanguageModel:
     """Train on a bounded sample of ``docs`` (``doc_id, text, lang``): null languages and texts are left out.
 
-    One pass over ids and languages ranks the rows of each language by their hash, a second one fetches the texts.
+    Passes over ids and languages count each language's ids and choose those of the smallest hashes; one fetches texts.
     """
     labelled = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
-    known = labelled.agg(F.count_distinct("lang")).first()[0]
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(73)), "doc_id"))
-    ids = labelled.select("doc_id", "lang").withColumn("_r", order).where(F.col("_r") <= max(1, min(per_language, most // max(1, known)))).select("doc_id", "lang").distinct()
+    counts = written(labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")), "languages")
+    known = max(1, counts.count())
+    ids = smallest_hashes(labelled, "lang", small(counts), max(1, min(per_language, most // known)))
     rows = labelled.join(F.broadcast(ids.limit(max(most, known))), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     return train([(r.text, r.lang) for r in rows.select("text", "lang").collect()])
 
