@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, ngram_buckets, slices
+from tidemark.llm.common import crc_mod, ngram_buckets, slices, smallest_hashes
 
 BITS = 18
 ORDERS = (4, 5, 6)
@@ -87,25 +87,24 @@ def train(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.2, dec
     if not n.all():
         return ToxicityModel(weights, -1000.0)
     seen = np.zeros((2, 1 << BITS), np.int32)
-    bags = []
     for text, y in rows:
-        sid, h, starts, _ = features(text)
-        seen[y, np.unique(h)] += 1
-        bags.append((sid(np.arange(len(h))), h, len(starts), y))
+        seen[y, np.unique(features(text)[1])] += 1
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     used = np.flatnonzero((odds > 1.5) & (seen[1] >= 3))
     column = np.full(1 << BITS, -1, np.int64)
     column[used] = np.arange(len(used))
     at, col, base, bag_of = [], [], 0, []
-    for i, (s, h, size, _) in enumerate(bags):
-        c = column[h]
-        pairs = np.unique(np.stack([s[c >= 0], c[c >= 0]]), axis=1)
+    # read again, as all n-grams of all texts are too many to keep
+    for i, (text, _) in enumerate(rows):
+        sid, h, starts, _ = features(text)
+        place = np.flatnonzero(column[h] >= 0)
+        pairs = np.unique(np.stack([sid(place), column[h[place]]]), axis=1)
         at.append(pairs[0] + base)
         col.append(pairs[1])
-        bag_of.append(np.full(size, i))
-        base += size
+        bag_of.append(np.full(len(starts), i))
+        base += len(starts)
     at, col, bag_of = np.concatenate(at), np.concatenate(col), np.concatenate(bag_of)
-    y = np.array([b[3] for b in bags], float)
+    y = np.array([y for _, y in rows], float)
     share = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
     theta = np.concatenate([np.clip(odds[used], 0, 4) * 0.5, [-6.0, -4.0]])  # weights, bias, leak
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -115,7 +114,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.2, dec
         z = np.bincount(at, weights=theta[:-2][col], minlength=base)
         p = sigmoid(bias + z)
         # log of (1 - leak) prod(1 - sentence score)
-        clean = np.bincount(bag_of, weights=np.logaddexp(0, bias) - np.logaddexp(0, bias + z), minlength=len(bags)) - np.logaddexp(0, leak)
+        clean = np.bincount(bag_of, weights=np.logaddexp(0, bias) - np.logaddexp(0, bias + z), minlength=len(rows)) - np.logaddexp(0, leak)
         doc = np.maximum(-np.expm1(clean), 1e-12)
         pull = np.where(y == 1, -(1 - doc) / doc, 1.0) * share
         dz = p * pull[bag_of]
@@ -131,8 +130,8 @@ def train(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.2, dec
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> ToxicityModel:
     """Train on a bounded sample of the labelled rows of ``docs``; rows with null labels are left out."""
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(73)), "doc_id"))
-    ids = marks.withColumn("_r", order).where(F.col("_r") <= per_class).select("doc_id", "toxic").limit(2 * per_class)
+    counts = marks.groupBy("toxic").agg(F.count("*").alias("n"))
+    ids = smallest_hashes(marks, "toxic", F.broadcast(counts), per_class).limit(2 * per_class)
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return train([(r.text, r.toxic) for r in rows.select("text", "toxic").collect()])
 
