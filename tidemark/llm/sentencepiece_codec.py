@@ -24,7 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import Recent, slices, without_gc
 
@@ -215,19 +215,6 @@ _codecs: dict[str, Codec] = {}
 _checked: set[str] = set()
 
 
-def checked(model_file: str) -> None:
-    """Raise if the codec can't stand for the model; on the driver, once."""
-    if model_file in _checked:
-        return
-    c = codec(model_file)
-    texts = [*PROBES, *(f"a{p.replace(MARK, ' ')}b {p.replace(MARK, ' ')}" for p in c.pieces)]
-    for text, (ids, _), want in zip(texts, c.encode(texts), c.library.encode(texts, num_threads=1), strict=True):
-        if ids != want:
-            raise ValueError(f"{model_file} encodes {text!r} in a way that this codec doesn't")
-    c.forget()
-    _checked.add(model_file)
-
-
 def codec(model_file: str) -> Codec:
     """One codec for each worker and model."""
     if model_file not in _codecs:
@@ -235,9 +222,33 @@ def codec(model_file: str) -> Codec:
     return _codecs[model_file]
 
 
+def check(model_file: str) -> str | None:
+    """A text that the model encodes in a way that the codec doesn't, if one is found."""
+    c = codec(model_file)
+    texts = [*PROBES, *(f"a{p.replace(MARK, ' ')}b {p.replace(MARK, ' ')}" for p in c.pieces)]
+    found = next((t for t, (ids, _), want in zip(texts, c.encode(texts), c.library.encode(texts, num_threads=1), strict=True) if ids != want), None)
+    c.forget()
+    return found
+
+
+def checked(spark: SparkSession, model_file: str) -> None:
+    """Raise if the codec can't stand for the model; once for each model, by one task, so that the driver holds no codec."""
+    if model_file in _checked:
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([check(model_file)], pa.string())], ["text"])
+
+    found = spark.range(1, numPartitions=1).mapInArrow(run, "text string").first().text
+    if found is not None:
+        raise ValueError(f"{model_file} encodes {found!r} in a way that this codec doesn't")
+    _checked.add(model_file)
+
+
 def encoded(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True) -> DataFrame:
     """``id_col, ids array<int>`` of every whole text; null texts give the end id alone, or no id; repeated rows repeat."""
-    checked(model_file)
+    checked(df.sparkSession, model_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
@@ -266,7 +277,7 @@ def decoded(df: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str
 
 def round_trip(df: DataFrame, model_file: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes``: each whole text encoded with an end id, then decoded."""
-    checked(model_file)
+    checked(df.sparkSession, model_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
