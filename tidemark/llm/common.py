@@ -140,6 +140,7 @@ def without_gc() -> Iterator[None]:
     finally:
         gc.enable()
         gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
