@@ -599,7 +599,7 @@ def test_toxicity_scores_by_brute_force(spark, empty):
 def test_length_alone_convicts_nobody():
     rng = random.Random(21)
     plain = lambda n: " ".join(words(rng, 8, 300) + "." for _ in range(n))
-    rows = [(plain(3), 0) for _ in range(150)] + [(f"{plain(2)} you {rng.choice(('scumbags', 'idiots'))}.", 1) for _ in range(150)] + [(plain(3), 1) for _ in range(12)]
+    rows = [(plain(3), 0) for _ in range(150)] + [(f"{plain(2)} you {rng.choice(('scumbags', 'idiots'))}.", 1) for _ in range(150)]
     model = toxicity.train(rows)
     for n in (1, 10, 100, 3000):
         score, found = model.score(plain(n))

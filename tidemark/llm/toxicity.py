@@ -27,6 +27,8 @@ from tidemark.llm.common import crc_mod, ngram_buckets, slices, smallest_hashes
 
 BITS = 18
 ORDERS = (4, 5, 6)
+#: Of a sentence's score without evidence, as a logit: a sentence offends by strong evidence only.
+HIGHEST_BIAS = -5.0
 _SPACE = bytes(32 if c in b"\t\n\v\f\r" else c for c in range(256))
 
 
@@ -123,6 +125,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.2, dec
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - rate * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         theta[:-2] = np.maximum(theta[:-2], 0)
+        theta[-2] = min(theta[-2], HIGHEST_BIAS)
     weights[used] = theta[:-2]
     return ToxicityModel(weights, float(theta[-2]))
 
