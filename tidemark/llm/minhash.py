@@ -136,10 +136,12 @@ def sharing(shares: DataFrame, percent: int) -> DataFrame:
     by = Window.partitionBy("a", "b")
     need = F.greatest(F.lit(1), F.expr(f"cast(ceil({percent} * (n_b + greatest(n_min, ceil({percent} * n_b / 100))) / {100 + percent}) as bigint) - common"))
     ranked = shares.join(rarity, ["a", "shingle"]).withColumns({"at": F.row_number().over(by.orderBy("f", "shingle")), "s": F.count("*").over(by)})
-    prefix = written(ranked.where(F.col("at") <= F.col("s") - need + 1).select("a", "shingle", "b", "n_b", "label"), "prefixes")
-    x, y = prefix.toDF("a", "shingle", "x", "n_x", "label_x"), prefix.toDF("a", "shingle", "y", "n_y", "label_y")
-    met = x.join(y, ["a", "shingle"]).where("x < y and label_x <> label_y").where(f"{percent} * greatest(n_x, n_y) <= 100 * least(n_x, n_y)")
-    return met.select("x", "y").distinct()
+    prefix = written(ranked.where(F.col("at") <= F.col("s") - need + 1).select("a", "shingle", "b", "n_b", "common", "s", "at", "label"), "prefixes")
+    x, y = (prefix.toDF("a", "shingle", *(f"{c}_{v}" for c in ("id", "n", "common", "s", "at", "label"))) for v in ("x", "y"))
+    met = x.join(y, ["a", "shingle"]).where("id_x < id_y and label_x <> label_y")
+    # the first shingle in common leaves so many behind it at most
+    first = met.groupBy("id_x", "id_y", "a").agg(*[F.any_value(c).alias(c) for c in ("n_x", "n_y", "common_x", "common_y")], F.max(F.least(F.expr("s_x - at_x"), F.expr("s_y - at_y"))).alias("behind"))
+    return first.where(reaches("least(common_x, common_y) + 1 + behind", "n_x", "n_y", percent)).select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct()
 
 
 def beyond_stars(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -204,6 +206,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     pairs = mates.join(centers, "bucket").where("doc <> center").select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct()
     wanted = small(written(reps.join(central.select("doc"), "doc", "left_semi").select("doc", F.col("rep").alias("doc_id"), F.col("rep_hash").alias("text_hash")), "wanted"))
     texts = source.join(wanted, (source.doc_id.eqNullSafe(wanted.doc_id)) & (source.text_hash == wanted.text_hash)).select("doc", "text").dropDuplicates(["doc"])
+    texts = written(texts, "texts").hint("merge")  # texts are read up to four times, and never broadcast
     star = written(measured(written(pairs, "pairs"), texts, size), "star")
     links = star.where(reaches("common", "n_a", "n_b", percent)).select("a", "b")
     labels = components(links)
