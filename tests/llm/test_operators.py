@@ -258,7 +258,7 @@ def test_chat_cuts_turns_once(spark):
 
 def test_chat_loses_no_conversation(spark, monkeypatch):
     # more than a variant holds in Spark's testing mode, in texts that are each within the limits; and one text beyond them
-    rows = [(1, t, ("user", "assistant")[t % 2], 'say "no": \\ {a}' + "x" * 3_000_000) for t in range(50)] + [(2, 0, "user", "a"), (2, 1, "assistant", "y" * 21_000_000), (3, 0, "user", "a"), (3, 1, "assistant", "b")]
+    rows = [(1, t, ("user", "assistant")[t % 2], 'say "no": \\ {a}' + "x" * 600_000) for t in range(50)] + [(2, 0, "user", "a"), (2, 1, "assistant", "y" * 21_000_000), (3, 0, "user", "a"), (3, 1, "assistant", "b")]
     df = spark.createDataFrame([(c, t, r, x[:20].rstrip("xy"), len(x)) for c, t, r, x in rows], "conv_id bigint, turn bigint, role string, head string, size int")
     df = df.selectExpr("conv_id", "turn", "role", "rpad(head, size, if(conv_id = 2, 'y', 'x')) text")
     whole = chat.whole_conversations(df)

@@ -10,7 +10,9 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -184,3 +186,40 @@ def smallest_hashes(ids: DataFrame, group: str, counts: DataFrame, rows: int) ->
     low = ids.select("doc_id", group).join(counts, group).where(h / 2.0**64 + 0.5 <= (2 * rows + 100) / F.col("n")).select("doc_id", group).distinct()
     rank = F.row_number().over(Window.partitionBy(group).orderBy(h, "doc_id"))
     return low.withColumn("_r", rank).where(F.col("_r") <= rows).select("doc_id", group)
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted batches with ``_range``, the partition's number, and ``_at``, a row's number from 0 among its key's in the partition."""
+    part, last, held = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        if not (n := batch.num_rows):
+            continue
+        key = batch.column("_key")
+        changed = np.ones(n, bool)
+        changed[1:] = pc.not_equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        changed[0] = key[0].as_py() != last
+        first = np.maximum.accumulate(np.where(changed, np.arange(n), -1))
+        at = np.arange(n) - first
+        at[first < 0] += held - 1  # those continue the key of the batch before
+        last, held = key[n - 1].as_py(), int(at[-1]) + 1
+        columns = [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(at)]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_range", "_at"])
+
+
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df``, stored, with ``rank`` (from 0) of each row among those of its ``_key`` (a string, never null) by ``order``.
+
+    Rows are dealt by ranges of key, order and row, so a key with most rows spreads over many tasks, rows that repeat
+    too. A table of the ranges' last keys, a row for each partition, then shifts the numbers of keys that began before.
+    """
+    by = ["_key", *order, "_row"]
+    dealt = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_row")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+    placed = written(dealt.mapInArrow(_placed, f"{fields}, _range int, _at bigint"), name)
+    ends = placed.groupBy("_range").agg(F.min("_key").alias("_first"), F.max(F.struct("_key", "_at")).alias("_end"))
+    held = F.sum(F.col("_end._at") + 1).over(Window.partitionBy("_end._key").orderBy("_range"))
+    order_of = Window.orderBy("_range")  # a row for each partition
+    begun = F.when(F.lag("_end._key").over(order_of) == F.col("_first"), F.lag("_held").over(order_of)).otherwise(0)
+    shift = ends.withColumn("_held", held).select("_range", "_first", begun.alias("_begun"))
+    rank = F.col("_at") + F.when(F.col("_key") == F.col("_first"), F.col("_begun")).otherwise(0)
+    return placed.join(F.broadcast(shift), "_range").withColumn("rank", rank).drop("_range", "_at", "_first", "_begun")
