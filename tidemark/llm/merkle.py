@@ -50,7 +50,7 @@ def _rolled(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def _leaves_of(node: Column, path: Column, level: int = DIGITS) -> Column:
+def _leaves_of(node: Column, path: Column, level: int) -> Column:
     """Array of (item, hash, path) of a nested struct's leaves; a path has the hashes before and after, lowest level first."""
     if not level:
         return F.array(F.struct(node["item"].alias("item"), node["hash"].alias("hash"), path.alias("path")))
@@ -79,7 +79,7 @@ def _descended(tiers: list[DataFrame], tops: DataFrame) -> DataFrame:
     paths = tops.select("_key", F.lit(0).cast("bigint").alias("_block"), "path", "above")
     for tier in reversed(tiers):
         both = tier.unionByName(paths, allowMissingColumns=True).groupBy("_key", "_block").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("n", "node", "path", "above")])
-        out = both.select("_key", "above", F.explode(_leaves_of(F.col("node"), F.col("path"))).alias("x")).select("_key", "above", "x.*")
+        out = both.select("_key", "above", F.explode(_leaves_of(F.col("node"), F.col("path"), DIGITS)).alias("x")).select("_key", "above", "x.*")
         if tier is not tiers[0]:
             paths = out.select("_key", F.col("item._block").alias("_block"), "path", "above")
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, language, lattice_lm, merkle, minhash, notices, pivot_search, sentencepiece_codec, toxicity, url_filters
+from tidemark.llm import chat, decontaminate, language, lattice_lm, merkle, minhash, notices, pivot_search, sentencepiece_codec, structure, toxicity, url_filters, warc
 from tidemark.llm.common import documents, labels
 
 
@@ -68,6 +68,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(documents(spark, sf_dir))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
