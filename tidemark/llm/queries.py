@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, language, lattice_lm, merkle, minhash, notices, pivot_search, sentencepiece_codec, structure, toxicity, url_filters, warc
 from tidemark.llm.common import documents, labels
+from tidemark.llm.sql import OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def vocabulary() -> str:
@@ -192,4 +193,4 @@ from r group by conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op4_minhash": OP4_SQL, "op3_url_filters": OP3_SQL, "op5_chat": OP5_SQL, "op6_decontaminate": OP6_SQL}
+    return {"op2_topk": OP2_SQL, "op4_minhash": OP4_SQL, "op3_url_filters": OP3_SQL, "op5_chat": OP5_SQL, "op6_decontaminate": OP6_SQL, "op11_merkle": OP11_SQL, "op12_warc": OP12_SQL, "op13_repair": OP13_SQL}
