@@ -230,6 +230,8 @@ SQL = {
     "affected_pairs": f"{_SCOPE} select * from pairs",
     "affected_mode": f"{_SCOPED} {_MODE} from seen_customers",
     "incremental_generation": f"{_GEN2} select * from gen2",
+    "kept_refresh": f"{_GEN2} select * from gen2",
+    "kept_layers": f"{_WITH}{_state(SECOND, 'st')} select * from st",
     "incremental_work_summary": f"{_SCOPED}, w as ({_MODE} from seen_customers), ac as (select count(distinct customer_id) as affected_customers from pairs) select w.*, affected_customers, (select count(*) * 5 from spine) as predecessor_rows, affected_customers * 5 as recomputed_rows, (select count(*) * 5 from spine) - affected_pairs as preserved_rows from w, ac",
     "changed_within_scope": f"{_SCOPE}{_gen('st1', FIRST, 'gen1', 'g')}{_gen('st2', SECOND, 'gen2', 'g')}, ch as (select a.customer_id, a.feature_name from gen1 a join gen2 b on a.customer_id = b.customer_id and a.feature_name = b.feature_name where a.value_long is distinct from b.value_long or a.value_double is distinct from b.value_double) select count_if(p.customer_id is not null and c.customer_id is not null) as common, count(*) as either, count_if(c.customer_id is null) as only_expected, count_if(p.customer_id is null) as only_actual, count_if(p.customer_id is null) = 0 as actual_is_subset from pairs p full join ch c on p.customer_id = c.customer_id and p.feature_name = c.feature_name",
     "snapshot_stats": f"{_WITH} select count(*) as revisions, count(distinct event_id) as events, min(event_time) as minimum_event_time, max(event_time) as maximum_event_time, min(knowledge_time) as minimum_knowledge_time, max(knowledge_time) as maximum_knowledge_time, (select rows_digest from (select {_digest('h')} from (select {_REV_HASH} as h from rev))) as rows_digest from rev",
@@ -283,7 +285,7 @@ SQL = {
     "generation_round_trip": f"{_GEN2} select {_digest('h')}, 'written' as first, 'replayed' as second from (select {_VALUE_HASH} as h from gen2)",
     "dataset_binding": f"{_WITH} select (select count(*) from lab) as row_count, (select rows_digest from (select {_digest('h')} from (select {_REV_HASH} as h from rev))) as source_digest, (select rows_digest from (select {_digest('h')} from (select {_hash(label_id='label_id::varchar', customer_id='customer_id::varchar', label_time='label_time::varchar', prediction_knowledge_time='prediction_knowledge_time::varchar', value='value::varchar')} as h from lab))) as label_digest",
     "missing_links": f"{_WITH} select customer_id, sha256(max(revision_id)) as source_digest from rev group by 1 having customer_id % 6 = 0",
-    "stream_arrival_lag": f"{_WITH}, sl as (select *, min(knowledge_time) over () as low, (max(knowledge_time) over () - min(knowledge_time) over ()) // 4 + 1 as step from rev), fed as (select knowledge_time, event_time from sl union all select knowledge_time, event_time from base where event_id % 50 = 0 union all select knowledge_time, event_time from base where event_id % 60 = 1) select knowledge_time // 86400 * 86400 as window_start, count(*) as revisions, min(knowledge_time - event_time) as minimum_lag, max(knowledge_time - event_time) as maximum_lag, sum(knowledge_time - event_time)::bigint as total_lag from fed group by 1",
+    "stream_arrival_lag": f"{_WITH}, sl as (select *, min(knowledge_time) over () as low, (max(knowledge_time) over () - min(knowledge_time) over ()) // 4 + 1 as step from rev), fed as (select knowledge_time, event_time, customer_id from sl union all select knowledge_time, event_time, customer_id from base where event_id % 50 = 0 union all select knowledge_time, event_time, customer_id from base where event_id % 60 = 1) select knowledge_time // 86400 * 86400 as window_start, 'feed-' || (customer_id % 3) as source, quantile_disc(knowledge_time - event_time, 0.5) as p50_lag, quantile_disc(knowledge_time - event_time, 0.95) as p95_lag, quantile_disc(knowledge_time - event_time, 0.99) as p99_lag, count(*) as revisions, min(knowledge_time - event_time) as minimum_lag, max(knowledge_time - event_time) as maximum_lag, sum(knowledge_time - event_time)::bigint as total_lag from fed group by 1, 2",
     "stream_ingest_revisions": f"{_WITH}, dup as (select count(*) as n from base where event_id % 60 = 1) select 'appended' as outcome, count(*) as rows from rev union all select 'conflict', n from dup",
     "stream_incremental_generation": f"{_GEN_LAST} select * exclude (generation_id) from genl",
     "stream_telemetry": f"with{_EVENTS}, x as (select event_id % 19 = 0 or event_id % 37 = 0 or event_id % 23 = 0 or event_id % 31 = 0 or event_id % 29 = 0 or event_id % 41 = 0 as bad from e) select case when bad then 'quarantine' else 'valid' end as sink, count(*) as events from x group by 1",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.definitions import definitions_frame, payment_features
 from tidemark.functions.values import canonical_decimal, digest_of, finite, row_digest, rows_digest
-from tidemark.operators import assurance, features, incremental, online, parity, quality, temporal, training
+from tidemark.operators import assurance, features, incremental, kept, online, parity, quality, temporal, training
 from tidemark.plans import pipelines
 from tidemark.schemas import REVISION_FIELDS, REVISIONS
 from tidemark.sources import derived, generations, tables, workload
@@ -251,6 +251,28 @@ def incremental_generation(spark, d):
     return _refreshed(spark, d)[0]
 
 
+@query
+def kept_refresh(spark, d):
+    """A refresh from the state of events that was kept at the first frontier."""
+    base = shared_folder(spark, "kept")
+    kept.keep_state(_rev(spark, d), FIRST, f"{base}/state")
+    _generation(spark, d, FIRST, "g1").write.parquet(f"{base}/g1")
+    delta = _rev(spark, d).where((F.col("knowledge_time") > FIRST) & (F.col("knowledge_time") <= SECOND))
+    return kept.refreshed_from_state(spark.read.parquet(f"{base}/g1"), f"{base}/state", delta, derived.spine(spark, d), FEATURES, CUTOFF, SECOND, "g2")
+
+
+@query
+def kept_layers(spark, d):
+    """The kept state after two deltas, one of them behind the frontier, read through its layers."""
+    root = shared_folder(spark, "kept-layers")
+    r = _rev(spark, d)
+    late = (F.col("event_id") % 17 == 0) & (F.col("knowledge_time") <= FIRST)
+    kept.keep_state(r.where(~late), FIRST, root)
+    kept.advance(spark, root, r.where((F.col("knowledge_time") > FIRST) & (F.col("knowledge_time") <= SECOND)), SECOND)
+    kept.advance(spark, root, r.where(late), SECOND + 1)
+    return kept.kept_state(spark, root)
+
+
 @query
 def incremental_work_summary(spark, d):
     return _refreshed(spark, d)[1]
@@ -587,8 +609,8 @@ def _slices(spark, d, path):
         if i == 3:
             first = r.where("revision_id like '%-r1'")
             part = part.unionByName(first.where("event_id % 50 = 0")).unionByName(first.where("event_id % 60 = 1").withColumn("amount_cents", F.col("amount_cents") + 7))
-        part.repartition(4).write.parquet(f"{path}/slice={i}")
-    return spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", "true").parquet(path)
+        part.coalesce(1).write.parquet(f"{path}/slice={i}")  # a file is a batch, in the order of writing
+    return spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
 
 
 @query
@@ -613,7 +635,8 @@ def stream_telemetry(spark, d):
 @query
 def stream_arrival_lag(spark, d):
     base = shared_folder(spark, "stream-lag")
-    lags = ingest.arrival_lag(_slices(spark, d, f"{base}/in"))
+    source = F.concat(F.lit("feed-"), (F.col("customer_id") % 3).cast("string"))
+    lags = ingest.arrival_lag(_slices(spark, d, f"{base}/in").withColumn("source", source), source="source")
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
@@ -641,8 +664,8 @@ def stream_upserts(spark, d):
     """Records of two frontiers as a stream of idempotent writes: rows stored, and rows that contradict them."""
     base = shared_folder(spark, "stream-upserts")
     for i, part in enumerate((_told(spark, d, FIRST).where("customer_id % 4 <> 0"), _told(spark, d, SECOND))):
-        part.repartition(2).write.parquet(f"{base}/in/slice={i}")
-    stream = spark.readStream.schema(_told(spark, d, FIRST).schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        part.coalesce(1).write.parquet(f"{base}/in/slice={i}")
+    stream = spark.readStream.schema(_told(spark, d, FIRST).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
     ingest.upsert(stream, ["partition_key", "sort_key"], "digest", f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out/stored").select(F.lit("stored").alias("sink")).union(spark.read.parquet(f"{base}/out/conflicts").select(F.lit("conflicts"))).groupBy("sink").agg(F.count("*").alias("rows"))
 

@@ -24,3 +24,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    """The store that holds a path, and the path, as Hadoop knows them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, where = _at(spark, path)
+    return store.exists(where)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no folder."""
+    store, where = _at(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(where)) if store.exists(where) else []
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes below a path."""
+    store, where = _at(spark, path)
+    return store.getContentSummary(where).getLength()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder that nothing still to run reads, if it is there."""
+    store, where = _at(spark, path)
+    store.delete(where, True)

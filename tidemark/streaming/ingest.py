@@ -8,27 +8,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.definitions import FeatureDefinition
 from tidemark.functions.values import row_digest
 from tidemark.operators.assurance import telemetry_violations
-from tidemark.operators.features import build_generation
-from tidemark.operators.incremental import refreshed_generation
+from tidemark.operators.kept import features_of, forget, keep_state, kept_state, layers, merge_layers, refreshed_from_state
 from tidemark.operators.online import missing_records, upsert_outcomes
 from tidemark.operators.quality import revision_violations
+from tidemark.sources.shared import exists, listed
+from tidemark.streaming.keyed import KeyIndex
 
 
 def read_before(spark: SparkSession, path: str, schema: StructType, batch_id: int) -> DataFrame:
-    """What earlier batches wrote below ``path``; empty at first."""
-    try:
-        return spark.read.parquet(path).where(F.col("batch") < batch_id).select(*schema.names)
-    except AnalysisException:
+    """What earlier batches wrote below ``path``; empty if there is nothing yet. A table that can't be read is an error."""
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
+    stored = StructType([*schema.fields, StructField("batch", LongType())])
+    return spark.read.schema(stored).parquet(path).where(F.col("batch") < batch_id).select(*schema.names)
+
+
+#: What is kept of an accepted revision, under its event's and its own id.
+ENTRY = ("event_id", "revision_id", "customer_id", "knowledge_time", "_hash")
 
 
 def _keys() -> Column:
@@ -36,72 +40,97 @@ def _keys() -> Column:
     return F.explode(F.array(F.concat(F.lit("event:"), F.col("event_id").cast("string")), F.concat(F.lit("revision:"), F.col("revision_id").cast("string")))).alias("_key")
 
 
-def touched(batch: DataFrame, existing: DataFrame) -> DataFrame:
-    """The existing rows that share a revision or an event with the batch, from one scan."""
-    shared = batch.select(_keys()).distinct()
-    return existing.select("*", _keys()).join(shared, "_key", "left_semi").drop("_key").distinct()
+def entries(revisions: DataFrame) -> DataFrame:
+    """``_key`` and ``ENTRY`` of revisions, two rows for each."""
+    rows = revisions if "_hash" in revisions.columns else revisions.withColumn("_hash", row_digest(revisions))
+    return rows.select(_keys(), *ENTRY)
+
+
+def revision_index(target: str, schema: StructType) -> KeyIndex:
+    """The index of ``target/accepted``."""
+    kinds = {f.name: f.dataType.simpleString() for f in schema.fields} | {"_hash": "string"}
+    return KeyIndex(f"{target}/index", ", ".join(f"{c} {kinds[c]}" for c in ENTRY))
+
+
+def _hashed(batch: DataFrame) -> DataFrame:
+    """A batch's distinct rows with their violations and digests."""
+    return revision_violations(batch).withColumn("_hash", row_digest(batch)).dropDuplicates(["_hash"])
+
+
+def _classified(hashed: DataFrame, met: DataFrame, columns: list[str]) -> DataFrame:
+    """``hashed`` rows with their ``outcome``. ``met``: the entries that share a key with them; both are read several times."""
+    old = met.select(*ENTRY).distinct()
+    sound = hashed.where("size(violations) = 0")
+    every = sound.select(*ENTRY).union(old)
+    # one grouping serves the clocks and the customers of an event
+    clocks = every.groupBy("event_id", "knowledge_time").agg(F.min("revision_id").alias("lr"), F.max("revision_id").alias("hr"), F.min("customer_id").alias("lc"), F.max("customer_id").alias("hc"))
+    row = F.struct("knowledge_time", (F.col("lr") != F.col("hr")).alias("twice"))
+    events = clocks.groupBy("event_id").agg(F.min("lc").alias("lc"), F.max("hc").alias("hc"), F.collect_set(F.when(row["twice"], F.col("knowledge_time"))).alias("_twice"))
+    events = events.select("event_id", "_twice", (F.col("lc") != F.col("hc")).alias("_moved")).where(F.col("_moved") | (F.size("_twice") > 0))
+    reused = every.groupBy("revision_id").agg(F.min("_hash").alias("l"), F.max("_hash").alias("h")).where("l <> h").select("revision_id", F.lit(True).alias("_reused"))
+    known = old.select("_hash", F.lit(True).alias("_old")).distinct()
+    told = sound.join(known, "_hash", "left").join(reused, "revision_id", "left").join(events, "event_id", "left")
+    bad = F.coalesce(F.col("_reused") | F.lit(False), F.lit(False)) | F.coalesce("_moved", F.lit(False)) | F.coalesce(F.array_contains("_twice", F.col("knowledge_time")), F.lit(False))
+    outcome = F.when(F.col("_old"), "replayed").when(bad, "conflict").otherwise("appended")
+    good = told.select(*columns, "_hash", outcome.alias("outcome"))
+    return good.unionByName(hashed.where("size(violations) > 0").select(*columns, "_hash", F.lit("invalid").alias("outcome")))
 
 
 def classified(batch: DataFrame, existing: DataFrame) -> DataFrame:
     """``batch`` rows with an ``outcome``: appended, replayed, conflict or invalid.
 
     A conflict reuses a revision id with other contents, gives an event two revisions at one knowledge time, or
-    another customer. Rows of one batch that contradict each other are conflicts all. ``existing`` need only hold the
-    rows that are ``touched``; it is read several times.
+    another customer. Rows of one batch that contradict each other are conflicts all.
     """
-    columns = batch.columns
-    checked = revision_violations(batch)
-    hashed = checked.withColumn("_hash", row_digest(batch)).dropDuplicates(["_hash"])
-    old = touched(hashed, existing.select(*columns))
-    old = old.withColumn("_hash", row_digest(old))
-    sound = hashed.where("size(violations) = 0")
-    every = sound.select(*columns, "_hash", F.lit(1).alias("_new")).union(old.select(*columns, "_hash", F.lit(0)))
-    variants = every.groupBy("revision_id").agg(F.count_distinct("_hash").alias("_v"))
-    clocks = every.groupBy("event_id", "knowledge_time").agg(F.count_distinct("revision_id").alias("_k"))
-    owners = every.groupBy("event_id").agg(F.count_distinct("customer_id").alias("_o"))
-    told = sound.join(variants, "revision_id").join(clocks, ["event_id", "knowledge_time"]).join(owners, "event_id").join(old.select("_hash", F.lit(True).alias("_old")).distinct(), "_hash", "left")
-    outcome = F.when(F.col("_old"), "replayed").when((F.col("_v") > 1) | (F.col("_k") > 1) | (F.col("_o") > 1), "conflict").otherwise("appended")
-    good = told.select(*columns, outcome.alias("outcome"))
-    return good.unionByName(hashed.where("size(violations) > 0").select(*columns, F.lit("invalid").alias("outcome")))
+    hashed = _hashed(batch)
+    met = entries(existing).join(entries(hashed).select("_key").distinct(), "_key", "left_semi")
+    return _classified(hashed, met, batch.columns).drop("_hash")
 
 
-def _accept(batch: DataFrame, before: DataFrame, target: str, batch_id: int) -> DataFrame:
+def _accept(batch: DataFrame, target: str, batch_id: int) -> DataFrame:
     """Write a batch's new revisions to ``target/accepted``, all others but replays to ``target/quarantine``; the new ones.
 
-    What was accepted before is scanned once: the few rows that the batch touches are kept meanwhile.
+    What was accepted before is looked up in the buckets of the index that the batch's keys fall into.
     """
-    met = touched(batch, before).persist()
-    rows = classified(batch, met).persist()
-    path = f"{target}/accepted/batch={batch_id}"
-    rows.where("outcome = 'appended'").drop("outcome").write.mode("overwrite").parquet(path)
-    rows.where("outcome in ('conflict', 'invalid')").write.mode("overwrite").parquet(f"{target}/quarantine/batch={batch_id}")
-    rows.unpersist()
-    met.unpersist()
+    index, path = revision_index(target, batch.schema), f"{target}/accepted/batch={batch_id}"
+    hashed = _hashed(batch).persist()
+    numbers = index.numbers(entries(hashed))
+    met = index.met(entries(hashed), batch_id, numbers).persist()
+    rows = _classified(hashed, met, batch.columns).persist()
+    fresh = rows.where("outcome = 'appended'")
+    fresh.drop("outcome", "_hash").write.mode("overwrite").parquet(path)
+    rows.where("outcome in ('conflict', 'invalid')").drop("_hash").write.mode("overwrite").parquet(f"{target}/quarantine/batch={batch_id}")
+    index.add(entries(fresh), batch_id, numbers)
+    for kept in (rows, met, hashed):
+        kept.unpersist()
     return batch.sparkSession.read.schema(batch.schema).parquet(path)
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Append new revisions to ``target/accepted`` and all others but replays to ``target/quarantine``."""
-    schema = stream.schema
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        _accept(batch, read_before(batch.sparkSession, f"{target}/accepted", schema, batch_id), target, batch_id)
+        _accept(batch, target, batch_id)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def upsert(stream: DataFrame, keys: list[str], digest: str, target: str, checkpoint: str) -> StreamingQuery:
     """Idempotent writes: new keys go to ``target/stored``, replays nowhere, other contents to ``target/conflicts``."""
-    schema = stream.schema
+    schema, index = stream.schema, KeyIndex(f"{target}/index", f"{digest} string")
+    key = F.to_json(F.struct(*keys)).alias("_key")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        existing = read_before(batch.sparkSession, f"{target}/stored", schema, batch_id)
-        outcomes = upsert_outcomes(existing, batch, keys, digest).persist()
-        rows = batch.dropDuplicates([*keys, digest])
+        rows = batch.dropDuplicates([*keys, digest]).withColumn("_key", key).persist()
+        numbers = index.numbers(rows)
+        met = index.met(rows, batch_id, numbers)
+        outcomes = upsert_outcomes(met, rows, ["_key"], digest).persist()
         for outcome, name in (("written", "stored"), ("conflict", "conflicts")):
-            mine = outcomes.where(F.col("outcome") == outcome).select(*keys, digest)
-            rows.join(mine, [*keys, digest], "left_semi").select(*schema.names).write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")
+            mine = rows.join(outcomes.where(F.col("outcome") == outcome).select("_key", digest), ["_key", digest], "left_semi")
+            mine.select(*schema.names).write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")
+        index.add(outcomes.where("outcome = 'written'"), batch_id, numbers)
         outcomes.unpersist()
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -121,38 +150,51 @@ def telemetry(stream: DataFrame, target: str, checkpoint: str) -> list[Streaming
     return out
 
 
-def arrival_lag(stream: DataFrame, width: str = "1 day", delay: str = "30 days") -> DataFrame:
-    """Counts and lags of arrivals in windows of knowledge time. The watermark bounds the monitor's state only."""
+#: Rank error of the lag percentiles: one in this many of a window's and source's revisions.
+LAG_ACCURACY = 10_000
+
+
+def arrival_lag(stream: DataFrame, width: str = "1 day", delay: str = "30 days", source: str | None = None) -> DataFrame:
+    """Counts, lags and lag percentiles of arrivals in windows of knowledge time, by ``source`` where one is named.
+
+    Percentiles come from mergeable quantile sketches, one for each window and source: the state of a window doesn't grow
+    with its revisions. The value given for p stands within n / ``LAG_ACCURACY`` ranks of p * n (so it is exact below that
+    many revisions). The watermark bounds the monitor's state only.
+    """
     timed = stream.withColumn("_known", F.timestamp_seconds("knowledge_time")).withWatermark("_known", delay)
     lag = F.col("knowledge_time") - F.col("event_time")
-    grouped = timed.groupBy(F.window("_known", width)).agg(F.count("*").alias("revisions"), F.min(lag).alias("minimum_lag"), F.max(lag).alias("maximum_lag"), F.sum(lag).alias("total_lag"))
-    return grouped.select(F.unix_timestamp("window.start").alias("window_start"), "revisions", "minimum_lag", "maximum_lag", "total_lag")
+    keys = [F.window("_known", width).alias("window"), *([F.col(source).alias("source")] if source else [])]
+    marks = F.percentile_approx(lag, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), LAG_ACCURACY)
+    grouped = timed.groupBy(*keys).agg(F.count("*").alias("revisions"), F.min(lag).alias("minimum_lag"), F.max(lag).alias("maximum_lag"), F.sum(lag).alias("total_lag"), marks.alias("_marks"))
+    shown = ["revisions", "minimum_lag", "maximum_lag", "total_lag", *[F.col("_marks")[i].alias(f"p{p}_lag") for i, p in enumerate((50, 95, 99))]]
+    return grouped.select(F.unix_timestamp("window.start").alias("window_start"), *(["source"] if source else []), *shown)
 
 
 def continuous_generation(stream: DataFrame, spine: DataFrame, definitions: Sequence[FeatureDefinition], event_cutoff: int, target: str, checkpoint: str) -> StreamingQuery:
-    """After every batch a generation at the new knowledge frontier, refreshed from the one before.
-
-    Conflicting and invalid revisions go to ``target/quarantine``, as in ``ingest``.
+    """After every batch a generation at the new knowledge frontier, refreshed from the one before and the kept state.
 
-    A batch that reaches behind the last frontier changes what was known there, so it gets a full build.
+    Conflicting and invalid revisions go to ``target/quarantine``, as in ``ingest``. Revisions behind the last frontier
+    count where they are the latest of their event, so they need no build either; the first batch alone gets one.
     """
-    schema = stream.schema
+    state = f"{target}/state"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = read_before(spark, f"{target}/accepted", schema, batch_id)
-        low, high = _accept(batch, before, target, batch_id).agg(F.min("knowledge_time"), F.max("knowledge_time")).first()
+        forget(spark, state)  # what the batch before has merged
+        fresh = _accept(batch, target, batch_id)
+        high = fresh.agg(F.max("knowledge_time")).first()[0]
         if high is None:
             return
-        known = spark.read.parquet(f"{target}/accepted").where(F.col("batch") <= batch_id).select(*schema.names)
-        base = before.agg(F.max("knowledge_time")).first()[0]
         name = f"frontier-{batch_id}"
-        last = None if base is None else spark.read.parquet(f"{target}/values").where(F.col("batch") < batch_id)
-        if last is None or low <= base:
-            out = build_generation(known, spine, definitions, event_cutoff, max(high, base or 0), name)
+        if layers(spark, state, batch_id - 1):
+            last = max(b for n in listed(spark, f"{target}/values") if n.startswith("batch=") and (b := int(n.removeprefix("batch="))) < batch_id)
+            before = spark.read.parquet(f"{target}/values/batch={last}")
+            base = before.agg(F.max("knowledge_time")).first()[0]
+            out = refreshed_from_state(before, state, fresh, spine, definitions, event_cutoff, max(high, base or 0), name, layer=batch_id)
         else:
-            newest = last.agg(F.max("batch")).first()[0]
-            out, _ = refreshed_generation(last.where(F.col("batch") == newest).drop("batch"), known, spine, definitions, event_cutoff, base, high, name)
+            keep_state(fresh, high, state, layer=batch_id)
+            out = features_of(kept_state(spark, state), spine, definitions, event_cutoff, high, name)
         out.write.mode("overwrite").parquet(f"{target}/values/batch={batch_id}")
+        merge_layers(spark, state)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
