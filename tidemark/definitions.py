@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,22 +12,46 @@ from pyspark.sql import functions as F
 DAY = 86_400
 
 
+@dataclass(frozen=True)
+class Part:
+    """A mergeable part of a computation: ``value`` of one event, and whether values are summed or the largest counts."""
+
+    value: Callable[[], Column]
+    merge: Callable[[Column], Column]
+
+    def over_rows(self, which: Column) -> Column:
+        return self.merge(F.when(which, self.value()))
+
+    def merged(self, name: str, which: Column) -> Column:
+        return self.merge(F.when(which, F.col(name)))
+
+
 @dataclass(frozen=True)
 class Computation:
-    """``raw``: an aggregate over the events of a window, null where it has none; ``fixed_default`` beats a definition's."""
+    """``raw``: an aggregate over the events of a window, null where it has none; ``fixed_default`` beats a definition's.
+
+    ``parts`` and ``final`` say the same in parts that can be made for stretches of time and merged: ``final`` gets the
+    merged parts by name and the anchor time. Parts of one name are the same in all computations. ``sql``: the raw
+    aggregate as SQL text with ``{inside}`` and ``{anchor}``.
+    """
 
     value_type: str
     raw: Callable[[Column, Column], Column]  # (event is in the window, anchor time)
     fixed_default: float | None = None
+    parts: Mapping[str, Part] = field(default_factory=dict)
+    final: Callable[[Mapping[str, Column], Column], Column] | None = None
+    sql: str | None = None
 
 
 COMPUTATIONS: dict[str, Computation] = {}
 
 
-def register(name: str, value_type: str, raw: Callable[[Column, Column], Column], fixed_default: float | None = None) -> None:
+def register(name: str, value_type: str, raw: Callable[[Column, Column], Column], fixed_default: float | None = None, parts: Mapping[str, Part] | None = None, final: Callable[[Mapping[str, Column], Column], Column] | None = None, sql: str | None = None) -> None:
     if value_type not in ("integer", "float"):
         raise ValueError(f"{name}: value type {value_type!r} is neither integer nor float")
-    COMPUTATIONS[name] = Computation(value_type, raw, fixed_default)
+    if bool(parts) != (final is not None):
+        raise ValueError(f"{name}: parts and what is made of them go together")
+    COMPUTATIONS[name] = Computation(value_type, raw, fixed_default, parts or {}, final, sql)
 
 
 def _succeeded(inside: Column) -> Column:
@@ -39,11 +63,32 @@ def _ratio(inside: Column, anchor: Column) -> Column:
     return F.when(n > 0, F.count_if(inside & (F.col("status") == "failed")).cast("double") / n)
 
 
-register("transaction_count", "integer", lambda inside, anchor: F.count_if(inside), fixed_default=0)
-register("successful_spend_cents", "integer", lambda inside, anchor: F.sum(F.when(_succeeded(inside), F.col("amount_cents"))))
-register("failed_payment_ratio", "float", _ratio)
-register("hours_since_success", "float", lambda inside, anchor: (anchor - F.max(F.when(_succeeded(inside), F.col("event_time")))).cast("double") / 3600)
-register("max_merchant_risk", "float", lambda inside, anchor: F.max(F.when(inside, F.col("merchant_risk"))))
+_COUNT = Part(lambda: F.lit(1).cast("bigint"), F.sum)
+_FAILED = Part(lambda: F.when(F.col("status") == "failed", 1).otherwise(0).cast("bigint"), F.sum)
+_SPENT = Part(lambda: F.when(F.col("status") == "succeeded", F.col("amount_cents")), F.sum)
+_SUCCESS = Part(lambda: F.when(F.col("status") == "succeeded", F.col("event_time")), F.max)
+_RISK = Part(lambda: F.col("merchant_risk"), F.max)
+
+register(
+    "transaction_count", "integer", lambda inside, anchor: F.count_if(inside), fixed_default=0,
+    parts={"count": _COUNT}, final=lambda x, anchor: F.coalesce(x["count"], F.lit(0)), sql="count_if({inside})",
+)
+register(
+    "successful_spend_cents", "integer", lambda inside, anchor: F.sum(F.when(_succeeded(inside), F.col("amount_cents"))),
+    parts={"spent": _SPENT}, final=lambda x, anchor: x["spent"], sql="sum(case when {inside} and status = 'succeeded' then amount_cents end)",
+)
+register(
+    "failed_payment_ratio", "float", _ratio, parts={"count": _COUNT, "failed": _FAILED}, final=lambda x, anchor: F.when(x["count"] > 0, x["failed"].cast("double") / x["count"]),
+    sql="case when count_if({inside}) > 0 then cast(count_if({inside} and status = 'failed') as double) / count_if({inside}) end",
+)
+register(
+    "hours_since_success", "float", lambda inside, anchor: (anchor - F.max(F.when(_succeeded(inside), F.col("event_time")))).cast("double") / 3600,
+    parts={"success": _SUCCESS}, final=lambda x, anchor: (anchor - x["success"]).cast("double") / 3600, sql="cast({anchor} - max(case when {inside} and status = 'succeeded' then event_time end) as double) / 3600",
+)
+register(
+    "max_merchant_risk", "float", lambda inside, anchor: F.max(F.when(inside, F.col("merchant_risk"))),
+    parts={"risk": _RISK}, final=lambda x, anchor: x["risk"], sql="max(case when {inside} then merchant_risk end)",
+)
 
 
 @dataclass(frozen=True)
@@ -100,6 +145,14 @@ def check_definitions(definitions: Sequence[FeatureDefinition]) -> None:
             raise ValueError(f"{d.identity}: the default of an integer feature must be an integer")
 
 
+def parts_of(definitions: Sequence[FeatureDefinition]) -> dict[str, Part]:
+    """The parts of the definitions' computations by name, each once."""
+    whole = [d.computation for d in definitions if not COMPUTATIONS[d.computation].parts]
+    if whole:
+        raise ValueError(f"these computations don't come in parts: {', '.join(sorted(set(whole)))}")
+    return {name: part for d in definitions for name, part in COMPUTATIONS[d.computation].parts.items()}
+
+
 def widest_window(definitions: Sequence[FeatureDefinition]) -> int | None:
     """Seconds of the widest window; None if one is unbounded."""
     windows = [d.window_seconds for d in definitions]

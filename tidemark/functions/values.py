@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -69,11 +70,21 @@ def digest_of(hashes: str = "row_hash") -> list[Column]:
     The hashes' four 64-bit parts are summed, so the digest needs no order, no list and no second stage: its memory
     is the same for any number of rows. Repeated rows count.
     """
-    lanes = [F.sum(F.conv(F.substring(hashes, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")) for i in range(4)]
+    lanes = [F.sum(x) for x in lanes_of(hashes)]
     shown = [F.coalesce(x.cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).cast("string") for x in lanes]
     return [F.count("*").alias("row_count"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *shown), 256).alias("rows_digest")]
 
 
+def lanes_of(hashes: str) -> list[Column]:
+    """The four numbers of a 64-digit hash whose sums make a digest."""
+    return [F.conv(F.substring(hashes, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
+
+
+def digest_of_sums(count: int, sums: Sequence[int]) -> str:
+    """What ``digest_of`` gives for rows of this count and these sums of lanes."""
+    return hashlib.sha256(":".join(map(str, (count, *sums))).encode()).hexdigest()
+
+
 def rows_digest(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: ``row_count, rows_digest`` of the rows of ``df``, whatever their order or partitioning."""
     return df.select(row_digest(df, columns).alias("row_hash")).agg(*digest_of())

@@ -11,15 +11,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.definitions import FeatureDefinition, check_definitions
 from tidemark.operators.features import aggregates, long_form, with_default
 from tidemark.operators.temporal import latest_known
 from tidemark.schemas import REVISION_FIELDS
-from tidemark.sources.shared import exists, listed, remove, size_of, stored
+from tidemark.sources.shared import exists, listed, mark, remove, size_of, stored
 
 #: Buckets of a state, and the share of the first layer that later ones reach before all are merged.
 BUCKETS, SHARE = 16, 0.5
+#: What a layer keeps of the state before its own.
+_PRIOR = "struct<revision_id: string, operation: string, event_time: bigint, knowledge_time: bigint>"
 
 
 def bucket_of(customer: str = "customer_id") -> Column:
@@ -40,8 +43,17 @@ def layers(spark: SparkSession, root: str, frontier: int | None = None) -> list[
 
 def _write(rows: DataFrame, root: str, name: str) -> None:
     path = f"{root}/{name}"
-    rows.select(*REVISION_FIELDS, bucket_of().alias("_bucket")).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
-    rows.sparkSession.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/_complete")
+    told = rows if "_prior" in rows.columns else rows.withColumn("_prior", F.lit(None).cast(_PRIOR))
+    told.select(*REVISION_FIELDS, "_prior", bucket_of().alias("_bucket")).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+    mark(rows.sparkSession, f"{path}/_complete")
+
+
+def _read(spark: SparkSession, path: str, kinds: StructType | None) -> DataFrame:
+    """A layer. ``kinds``: a schema that has the revisions' fields, where it is known; else Spark looks it up."""
+    if kinds is None:
+        return spark.read.parquet(path)
+    fields = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in REVISION_FIELDS)
+    return spark.read.schema(f"{fields}, _prior {_PRIOR}, _bucket int").parquet(path)
 
 
 def keep_state(revisions: DataFrame, frontier: int, root: str, layer: int | None = None) -> None:
@@ -49,14 +61,14 @@ def keep_state(revisions: DataFrame, frontier: int, root: str, layer: int | None
     _write(latest_known(revisions.select(*REVISION_FIELDS), frontier), root, f"whole={frontier if layer is None else layer}")
 
 
-def kept_state(spark: SparkSession, root: str, frontier: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+def kept_state(spark: SparkSession, root: str, frontier: int | None = None, buckets: Sequence[int] | None = None, kinds: StructType | None = None) -> DataFrame:
     """The latest revision of each event at a kept frontier, from some or all buckets. Later layers hide what they changed."""
     names = layers(spark, root, frontier)
     if not names:
         raise ValueError(f"no state is kept at {root}")
 
     def layer(name: str) -> DataFrame:
-        rows = spark.read.parquet(f"{root}/{name}")
+        rows = _read(spark, f"{root}/{name}", kinds)
         return (rows if buckets is None else rows.where(F.col("_bucket").isin(list(buckets)))).select(*REVISION_FIELDS, F.lit(_number(name)).alias("_layer"))
 
     first, *later = [layer(n) for n in names]
@@ -72,26 +84,34 @@ def kept_state(spark: SparkSession, root: str, frontier: int | None = None, buck
     return first.join(new.select("event_id"), "event_id", "left_anti").unionByName(new).drop("_layer")
 
 
-def advance(spark: SparkSession, root: str, delta: DataFrame, frontier: int) -> DataFrame:
+def buckets_of(revisions: DataFrame) -> list[int]:
+    """The buckets that rows fall into, ``BUCKETS`` at most."""
+    return [r[0] for r in revisions.select(bucket_of().alias("b")).distinct().collect()]
+
+
+def advance(spark: SparkSession, root: str, delta: DataFrame, frontier: int, buckets: Sequence[int] | None = None) -> DataFrame:
     """``event_id, customer_id, prior, current`` of the events that ``delta`` changes, which become a new layer.
 
     ``delta``: revisions that weren't seen yet, late ones too; of those behind an event's state nothing comes. A frontier
-    that is advanced to again gives the same.
+    that is advanced to again gives the same. ``buckets``: those of the delta. Both states are (revision_id, operation,
+    event_time, knowledge_time), null where an event doesn't stand.
     """
     last = [_number(n) for n in layers(spark, root, frontier - 1)][-1:]
     if not last:
         raise ValueError(f"no state is kept at {root} before {frontier}")
-    order = F.struct("knowledge_time", "revision_id")
-    row = F.struct(*[c for c in REVISION_FIELDS if c not in ("event_id", "customer_id")])
-    new = stored(delta.select(*REVISION_FIELDS).groupBy("event_id", "customer_id").agg(F.max_by(row, order).alias("_new")), "delta")
-    buckets = [r[0] for r in new.select(bucket_of().alias("b")).distinct().collect()]
-    old = kept_state(spark, root, last[0], buckets).select("event_id", F.struct(*[F.col(f) for f in new.schema["_new"].dataType.names]).alias("_old"))
-    both = new.join(old, "event_id", "left")
-    newer = F.col("_old").isNull() | (F.struct("_new.knowledge_time", "_new.revision_id") > F.struct("_old.knowledge_time", "_old.revision_id"))
-    moved = stored(both.where(newer), "moved")
-    _write(moved.select("event_id", "customer_id", "_new.*"), root, f"layer={frontier}")
-    stands = lambda c: F.when(F.col(f"{c}.operation") == "upsert", F.col(c))
-    return moved.select("event_id", "customer_id", stands("_old").alias("prior"), stands("_new").alias("current"))
+    fields = [c for c in REVISION_FIELDS if c != "event_id"]
+    known = F.struct("knowledge_time", F.col("revision_id").cast("string"))
+    # stored, so that its size is known: the state is looked up by it where it is small, and not shuffled
+    new = stored(delta.groupBy("event_id").agg(F.max_by(F.struct(*fields), known).alias("_new")), "delta")
+    state = kept_state(spark, root, last[0], buckets_of(delta) if buckets is None else buckets, delta.schema)
+    old = state.select("event_id", F.struct(F.col("revision_id").cast("string").alias("revision_id"), "operation", "event_time", "knowledge_time").alias("_prior"))
+    met = old.join(new.select("event_id"), "event_id", "left_semi")
+    both = new.join(met, "event_id", "left")
+    newer = F.col("_prior").isNull() | (F.struct("_new.knowledge_time", F.col("_new.revision_id").cast("string")) > F.struct("_prior.knowledge_time", "_prior.revision_id"))
+    _write(both.where(newer).select("event_id", "_new.*", "_prior"), root, f"layer={frontier}")
+    layer = _read(spark, f"{root}/layer={frontier}", delta.schema)
+    current = F.struct(F.col("revision_id").cast("string").alias("revision_id"), "operation", "event_time", "knowledge_time")
+    return layer.select("event_id", "customer_id", F.when(F.col("_prior.operation") == "upsert", F.col("_prior")).alias("prior"), F.when(F.col("operation") == "upsert", current).alias("current"))
 
 
 def merge_layers(spark: SparkSession, root: str, share: float = SHARE) -> bool:
@@ -140,10 +160,10 @@ def refreshed_from_state(predecessor: DataFrame, root: str, delta: DataFrame, sp
     """
     spark, layer = predecessor.sparkSession, target if layer is None else layer
     check_definitions(definitions)
-    changed = advance(spark, root, delta, layer)
+    buckets = buckets_of(delta)
+    changed = advance(spark, root, delta, layer, buckets)
     touched = stored(touched_customers(changed, definitions, event_cutoff), "touched")
-    buckets = [r[0] for r in touched.select(bucket_of().alias("b")).distinct().collect()]
-    state = kept_state(spark, root, layer, buckets).join(touched, "customer_id", "left_semi")
+    state = kept_state(spark, root, layer, buckets, delta.schema).join(touched, "customer_id", "left_semi")
     fresh = features_of(state, spine.join(touched, "customer_id", "left_semi"), definitions, event_cutoff, target, generation_id)
     held = predecessor.join(touched, "customer_id", "left_anti").withColumns({"knowledge_time": F.lit(target).cast("bigint"), "generation_id": F.lit(generation_id)})
     return fresh.unionByName(held.select(*fresh.columns))

@@ -133,9 +133,12 @@ def serving_outcomes(requests: DataFrame, generations: DataFrame, records: DataF
     request_time, maximum_freshness_age``) with a typed ``status`` and ``value``.
 
     The first rule that applies decides: generation unavailable, absent, definition mismatch, corrupt, expired, stale.
+    Of stored records that repeat a key the latest materialised answers, so a request has one answer.
     """
     served = generations.where(F.col("state").isin("ACTIVE", "RETIRED")).select("feature_set", "generation_id", F.lit(True).alias("_held"))
-    found = _with_actual(records).select("generation_id", "customer_id", "feature_name", F.col("definition_digest").alias("_definition"), "value", "knowledge_cutoff", "expires_at", "record_digest", "_actual")
+    found = _with_actual(records).select("generation_id", "customer_id", "feature_name", F.col("definition_digest").alias("_definition"), "value", "knowledge_cutoff", "expires_at", "record_digest", "_actual", "materialized_at")
+    keys = ["generation_id", "customer_id", "feature_name"]
+    found = found.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in found.columns if c not in keys]), F.struct("materialized_at", "record_digest")).alias("_r")).select(*keys, "_r.*").drop("materialized_at")
     joined = requests.join(served, ["feature_set", "generation_id"], "left").join(found, ["generation_id", "customer_id", "feature_name"], "left")
     status = (
         F.when(F.col("_held").isNull(), "GENERATION_UNAVAILABLE")

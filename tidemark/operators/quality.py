@@ -82,9 +82,13 @@ def decoded_labels(raw: DataFrame, column: str = "raw") -> DataFrame:
     A prediction cutoff of null defaults to the label's time.
     """
     table = _strict(raw, column, LABELS, LABEL_FIELDS).withColumn("prediction_knowledge_time", F.coalesce("prediction_knowledge_time", "label_time"))
-    twice = (F.size("_first") == 0) & (F.count(F.when(F.size("_first") == 0, 1)).over(Window.partitionBy("label_id")) > 1)
+    # ids of sound rows are grouped; rows that aren't sound have none, and meet nowhere
+    repeated = table.where("size(_first) = 0 and label_id is not null").groupBy("label_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("label_id").alias("_id"), F.lit(True).alias("_twice"))
+    spread = F.coalesce("label_id", F.concat(F.lit("\x00"), F.md5(column)))  # null ids go everywhere, not to one task
+    table = table.withColumn("_id", spread).join(repeated, "_id", "left").drop("_id")
+    twice = (F.size("_first") == 0) & F.coalesce("_twice", F.lit(False))
     rules = F.concat(_label_rules(), reasons((twice, "DUPLICATE_LABEL")))
-    return table.withColumn("violations", F.when(F.size("_first") > 0, F.col("_first")).otherwise(rules)).drop("_first")
+    return table.withColumn("violations", F.when(F.size("_first") > 0, F.col("_first")).otherwise(rules)).select(column, *LABEL_FIELDS, "violations")
 
 
 def _label_rules():

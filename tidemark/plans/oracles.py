@@ -223,6 +223,9 @@ SQL = {
     "expected_projection": f"{_GEN2} select * from gen2",
     "generation_spine_defaults": f"{_WITH}, cust as (select c_custkey as customer_id from customer){_state(SECOND, 'st2')}{_gen('st2', SECOND, 'gen2', 'g2', 'cust')} select customer_id, " + ", ".join(f"max({'value_long' if d.value_type == 'integer' else 'value_double'}) filter (where feature_name = '{d.name}') as {d.name}" for d in FEATURES) + " from gen2 group by 1",
     "pit_training_dataset": f"{_WITH}{_cut(SECOND)}{_dataset('cut', 'r.knowledge_time <= l.effective_cutoff')} select * from data",
+    "pit_training_tiled": f"{_WITH}{_cut(SECOND)}{_dataset('cut', 'r.knowledge_time <= l.effective_cutoff')} select * from data",
+    "rolling_features": f"{_WITH}, cut as (select customer_id || '@' || ({CUTOFF} - 604800 * w) as label_id, customer_id, {CUTOFF} - 604800 * w as label_time, {CUTOFF} - 604800 * w as effective_cutoff from spine, range(12) x(w)){_dataset('cut', 'r.knowledge_time <= l.effective_cutoff')} select customer_id, label_time, {', '.join(NAMES)} from data",
+    "digest_tree": f"{_GEN2} select count(*)::bigint as rows, 1::bigint as damaged from gen2",
     "pit_label_cutoffs": f"{_WITH}{_cut(CUTOFF)} select * from cut",
     "pit_leakage_report": f"{_WITH}{_cut(2_000_000_000)}{_dataset('cut', 'r.knowledge_time <= l.effective_cutoff').replace('data as', 'right_ as')}{_dataset('cut', 'true').replace('ranked', 'ranked2').replace('seen', 'seen2').replace('data as', 'wrong as')} "
     + " union all ".join(f"select '{n}' as feature_name, count(*) as labels, count_if(a.{n} is distinct from b.{n}) as leaked from right_ a join wrong b using (label_id)" for n in NAMES),

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.definitions import definitions_frame, payment_features
 from tidemark.functions.values import canonical_decimal, digest_of, finite, row_digest, rows_digest
-from tidemark.operators import assurance, features, incremental, kept, online, parity, quality, temporal, training
+from tidemark.operators import assurance, features, incremental, kept, online, parity, quality, temporal, tiles, training
 from tidemark.plans import pipelines
 from tidemark.schemas import REVISION_FIELDS, REVISIONS
 from tidemark.sources import derived, generations, tables, workload
-from tidemark.sources.shared import shared_folder
+from tidemark.sources.shared import shared_folder, stored
 from tidemark.streaming import ingest
 
 #: Event cutoff and two knowledge frontiers of the examples.
@@ -186,6 +186,23 @@ def pit_training_dataset(spark, d):
     return training.point_in_time_dataset(derived.labels(spark, d), _rev(spark, d), FEATURES, SECOND)
 
 
+@query
+def pit_training_tiled(spark, d):
+    """The same training set from stored tiles of a day, and raw rows at the windows' edges."""
+    intervals = temporal.validity_intervals(_rev(spark, d))
+    kept_tiles = stored(tiles.build_tiles(intervals, FEATURES), "tiles")
+    return tiles.tiled_dataset(derived.labels(spark, d), _rev(spark, d), FEATURES, SECOND, tiles=kept_tiles)
+
+
+@query
+def rolling_features(spark, d):
+    """Features of every customer at twelve weekly frontiers, known as of then, from tiles."""
+    weeks = spark.range(12).select((F.lit(CUTOFF) - 604_800 * F.col("id")).alias("label_time"))
+    asked = derived.spine(spark, d).crossJoin(F.broadcast(weeks))  # twelve rows
+    asked = asked.select(F.concat_ws("@", F.col("customer_id").cast("string"), F.col("label_time").cast("string")).alias("label_id"), "customer_id", "label_time", F.col("label_time").alias("prediction_knowledge_time"))
+    return tiles.tiled_dataset(asked, _rev(spark, d), FEATURES, SECOND).select("customer_id", "label_time", *NAMES)
+
+
 @query
 def pit_label_cutoffs(spark, d):
     return training.label_cutoffs(derived.labels(spark, d), CUTOFF)
@@ -219,7 +236,7 @@ def _refreshed(spark, d):
     """A refresh of a stored generation."""
     root = shared_folder(spark, "generations")
     generations.write_once(_generation(spark, d, FIRST, "g1"), root, "g1", event_cutoff=str(CUTOFF), knowledge_cutoff=str(FIRST))
-    before = spark.read.parquet(f"{root}/g1/rows")
+    before = generations.stored_rows(spark, root, "g1")
     return incremental.refreshed_generation(before, _rev(spark, d), derived.spine(spark, d), FEATURES, CUTOFF, FIRST, SECOND, "g2", manifest=generations.manifest_of(spark, root, "g1"))
 
 
@@ -583,6 +600,19 @@ def generation_round_trip(spark, d):
     return rows_digest(back).withColumns({"first": F.lit(outcomes[0]), "second": F.lit(outcomes[1])})
 
 
+@query
+def digest_tree(spark, d):
+    """Rows of a stored generation by its digests, and how many buckets differ after one customer's rows were lost."""
+    root = shared_folder(spark, "generations")
+    values = _generation(spark, d, SECOND, "g2")
+    generations.write_once(values, root, "g2")
+    path = f"{root}/g2/rows"
+    lost = stored(spark.read.parquet(path).where("customer_id <> 7"), "lost")
+    lost.write.mode("overwrite").partitionBy("_bucket").parquet(path)
+    wrong = generations.damaged_buckets(spark, root, "g2")
+    return spark.read.parquet(f"{root}/g2/digests").agg(F.sum("row_count").alias("rows"), F.count_if(F.col("bucket").isin(wrong)).alias("damaged"))
+
+
 @query
 def dataset_binding(spark, d):
     """A training set's manifest: its rows' digest bound to those of its sources."""

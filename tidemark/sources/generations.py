@@ -6,11 +6,14 @@ writers and readers and so work on any store Spark can reach.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.values import digest_of, row_digest, rows_digest
+from tidemark.functions.values import digest_of, digest_of_sums, lanes_of, row_digest, rows_digest
+from tidemark.sources.shared import exists, listed
 
 
 class Conflict(RuntimeError):
@@ -22,15 +25,39 @@ class Damaged(RuntimeError):
 
 
 def _manifest(spark: SparkSession, root: str, table_id: str) -> dict | None:
-    try:
-        rows = spark.read.parquet(f"{root}/{table_id}/manifest").limit(2).collect()
-    except AnalysisException:
-        return None
-    return rows[0].asDict() if rows else None
+    path = f"{root}/{table_id}/manifest"
+    return spark.read.parquet(path).first().asDict() if exists(spark, f"{path}/_SUCCESS") else None
+
+
+#: Buckets of a table's digest tree.
+BUCKETS = 16
+
+
+def _bucketed(rows: DataFrame, columns: list[str], cluster_by: str | None) -> DataFrame:
+    """``rows`` with ``_hash`` and ``_bucket``: by the clustering column where there is one, else by the row itself."""
+    hashed = rows.withColumn("_hash", row_digest(rows, columns))
+    key = F.col(cluster_by).cast("string") if cluster_by in rows.columns else F.col("_hash")
+    return hashed.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+
+
+def _observed(rows: DataFrame) -> tuple[Observation, DataFrame]:
+    """``rows`` that tell count and lane sums of every bucket as they are written."""
+    seen, lanes = Observation(), [f"_lane{i}" for i in range(4)]
+    told = rows.withColumns(dict(zip(lanes, lanes_of("_hash"), strict=True)))
+    sums = []
+    for b in range(BUCKETS):
+        mine = F.col("_bucket") == b
+        sums += [F.count_if(mine).alias(f"n{b}"), *[F.sum(F.when(mine, F.col(x))).alias(f"s{b}_{i}") for i, x in enumerate(lanes)]]
+    return seen, told.observe(seen, *sums).drop(*lanes, "_hash")
 
 
 def write_once(rows: DataFrame, root: str, table_id: str, kind: str = "generation", cluster_by: str | None = "customer_id", **bound: str) -> str:
-    """``written`` or ``replayed``; raises ``Conflict`` if the id holds other rows. ``bound``: digests to bind."""
+    """``written`` or ``replayed``; raises ``Conflict`` if the id holds other rows. ``bound``: digests to bind.
+
+    Rows are laid out by ``_bucket``, and count and digest of each bucket are observed while they are written, above the
+    last shuffle, so that no second scan is made and no task that is run again counts twice. The buckets' digests are a
+    table of their own, whose digest the manifest binds: ``damaged_buckets`` says which of them differs.
+    """
     spark = rows.sparkSession
     if not table_id or "/" in table_id or table_id.startswith("."):
         raise ValueError(f"{table_id!r} can't name a table")
@@ -42,14 +69,54 @@ def write_once(rows: DataFrame, root: str, table_id: str, kind: str = "generatio
         if same and all(old.get(k) == v for k, v in bound.items()):
             return "replayed"
         raise Conflict(f"{kind} {table_id} exists with other contents")
-    out = rows.repartition(cluster_by).sortWithinPartitions(cluster_by) if cluster_by in rows.columns else rows
-    out.write.mode("overwrite").parquet(f"{root}/{table_id}/rows")  # rows without a manifest are an interrupted write
-    stored = spark.read.parquet(f"{root}/{table_id}/rows")
-    manifest = rows_digest(stored, columns).withColumns({"kind": F.lit(kind), "table_id": F.lit(table_id), "columns": F.lit(",".join(columns))} | {k: F.lit(v) for k, v in bound.items()})
-    manifest.coalesce(1).write.mode("errorifexists").parquet(f"{root}/{table_id}/manifest")
+    out = _bucketed(rows, columns, cluster_by).hint("rebalance", F.col("_bucket"))
+    seen, out = _observed(out.sortWithinPartitions("_bucket", cluster_by) if cluster_by in rows.columns else out)
+    out.write.mode("overwrite").partitionBy("_bucket").parquet(f"{root}/{table_id}/rows")  # rows without a manifest are an interrupted write
+    told = seen.get
+    sums = [[int(told[f"s{b}_{i}"] or 0) for i in range(4)] for b in range(BUCKETS)]
+    leaves = [(b, told[f"n{b}"], digest_of_sums(told[f"n{b}"], sums[b])) for b in range(BUCKETS)]
+    count, whole = sum(n for _, n, _ in leaves), [sum(x) for x in zip(*sums, strict=True)]
+    spark.createDataFrame(leaves, _LEAVES).coalesce(1).write.mode("overwrite").parquet(f"{root}/{table_id}/digests")
+    manifest = {"row_count": count, "rows_digest": digest_of_sums(count, whole), "tree_digest": _tree(leaves), "cluster_by": cluster_by if cluster_by in rows.columns else "", "kind": kind, "table_id": table_id, "columns": ",".join(columns)} | bound
+    spark.range(1).select(*[F.lit(v).alias(k) for k, v in manifest.items()]).withColumn("row_count", F.lit(count).cast("bigint")).coalesce(1).write.mode("errorifexists").parquet(f"{root}/{table_id}/manifest")
     return "written"
 
 
+_LEAVES = "bucket int, row_count bigint, rows_digest string"
+
+
+def _tree(leaves: Sequence[tuple[int, int, str]]) -> str:
+    return hashlib.sha256("\n".join(f"{b}:{n}:{d}" for b, n, d in sorted(leaves)).encode()).hexdigest()
+
+
+def stored_rows(spark: SparkSession, root: str, table_id: str, buckets: Sequence[int] | None = None) -> DataFrame:
+    """A stored table's rows, unchecked; of some buckets only those are read."""
+    rows = spark.read.parquet(f"{root}/{table_id}/rows")
+    return (rows if buckets is None else rows.where(F.col("_bucket").isin(list(buckets)))).drop("_bucket")
+
+
+def damaged_buckets(spark: SparkSession, root: str, table_id: str, buckets: Sequence[int] | None = None) -> list[int]:
+    """Those of the buckets (of all, if none are named) whose rows aren't the ones that were written; others aren't read.
+
+    Rows that stand in another bucket than their own damage both; -1 stands for files that lie in no bucket. The digests
+    themselves must be those of the manifest.
+    """
+    manifest = manifest_of(spark, root, table_id)
+    leaves = {r.bucket: (r.row_count, r.rows_digest) for r in spark.read.schema(_LEAVES).parquet(f"{root}/{table_id}/digests").collect()}  # BUCKETS rows
+    if _tree([(b, *x) for b, x in leaves.items()]) != manifest["tree_digest"]:
+        raise Damaged(f"the digests of {table_id} aren't those of its manifest")
+    wanted = sorted(leaves) if buckets is None else sorted(buckets)
+    rows = spark.read.parquet(f"{root}/{table_id}/rows").where(F.col("_bucket").isin(wanted))
+    own = _bucketed(rows.withColumnRenamed("_bucket", "_stored"), manifest["columns"].split(","), manifest["cluster_by"] or None)
+    count, digest = digest_of("_hash")
+    told = own.groupBy("_stored").agg(count, digest, F.count_if(F.col("_stored") != F.col("_bucket")).alias("strange")).collect()
+    found = {r._stored: (r.row_count, r.rows_digest) for r in told if not r.strange}
+    empty = (0, digest_of_sums(0, [0] * 4))
+    strange = {r._stored for r in told if r.strange}
+    stray = [n for n in listed(spark, f"{root}/{table_id}/rows") if not n.startswith(("_bucket=", "_SUCCESS", "."))]
+    return [-1] * bool(stray) + [b for b in wanted if b in strange or found.get(b, empty) != leaves[b]]
+
+
 def manifest_of(spark: SparkSession, root: str, table_id: str) -> dict:
     """The manifest of a complete table; raises where there is none."""
     manifest = _manifest(spark, root, table_id)
@@ -60,12 +127,9 @@ def manifest_of(spark: SparkSession, root: str, table_id: str) -> dict:
 
 def read_checked(spark: SparkSession, root: str, table_id: str) -> DataFrame:
     """The rows of a complete table whose count and digest are those of its manifest."""
-    manifest = manifest_of(spark, root, table_id)
-    rows = spark.read.parquet(f"{root}/{table_id}/rows")
-    found = rows_digest(rows, manifest["columns"].split(",")).first()
-    if (found.row_count, found.rows_digest) != (manifest["row_count"], manifest["rows_digest"]):
-        raise Damaged(f"{table_id} doesn't agree with its manifest")
-    return rows
+    if wrong := damaged_buckets(spark, root, table_id):
+        raise Damaged(f"{table_id} doesn't agree with its manifest in buckets {', '.join(map(str, wrong))}")
+    return stored_rows(spark, root, table_id)
 
 
 def read_generation(spark: SparkSession, values: str, generation_id: str) -> DataFrame:

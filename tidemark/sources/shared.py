@@ -53,3 +53,9 @@ def remove(spark: SparkSession, path: str) -> None:
     """Remove a file or folder that nothing still to run reads, if it is there."""
     store, where = _at(spark, path)
     store.delete(where, True)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file, as a sign that what lies beside it is complete."""
+    store, where = _at(spark, path)
+    store.create(where, True).close()

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.shared import exists, listed, remove, size_of
+from tidemark.sources.shared import exists, listed, mark, remove, size_of
 
 _COLUMNS = "_key string, {}, _bucket int, _batch bigint"
 
@@ -90,5 +90,5 @@ class KeyIndex:
         remove(spark, f"{self.root}/width={wider}")
         self._write(rows.where(~last).distinct(), wider, -batch_id)
         self._write(rows.where(last).distinct(), wider, batch_id)
-        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/width={wider}/_complete")
+        mark(spark, f"{self.root}/width={wider}/_complete")
         remove(spark, whole)
