@@ -15,7 +15,7 @@ from tidemark.operators.incremental import refreshed_generation
 from tidemark.operators.online import online_records
 from tidemark.operators.parity import parity_summary
 from tidemark.operators.quality import assert_clean, assert_spine
-from tidemark.sources.generations import manifest_of, stored_rows, write_once
+from tidemark.sources.generations import damaged_buckets, manifest_of, stored_rows, write_once
 
 
 def full_rebuild(revisions: DataFrame, spine: DataFrame, definitions: Sequence[FeatureDefinition], event_cutoff: int, knowledge_cutoff: int, generation_id: str, root: str) -> str:
@@ -35,7 +35,9 @@ def stored_refresh(root: str, predecessor_id: str, revisions: DataFrame, spine:
     """
     assert_spine(spine)
     spark = revisions.sparkSession
-    manifest = manifest_of(spark, root, predecessor_id)
+    if wrong := damaged_buckets(spark, root, predecessor_id):
+        raise ValueError(f"the predecessor isn't the table of its manifest: row_count, rows_digest of buckets {', '.join(map(str, wrong))}")
+    manifest = {k: v for k, v in manifest_of(spark, root, predecessor_id).items() if k != "rows_digest"}
     values, _ = refreshed_generation(stored_rows(spark, root, predecessor_id), revisions, spine, definitions, event_cutoff, base, target, generation_id, maximum_fraction, manifest)
     return write_once(values, root, generation_id, definition_set=definition_set_digest(definitions), event_cutoff=str(event_cutoff), knowledge_cutoff=str(target))
 

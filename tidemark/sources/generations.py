@@ -7,10 +7,12 @@ writers and readers and so work on any store Spark can reach.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.functions.values import digest_of, digest_of_sums, lanes_of, row_digest, rows_digest
 from tidemark.sources.shared import exists, listed
@@ -77,7 +79,7 @@ def write_once(rows: DataFrame, root: str, table_id: str, kind: str = "generatio
     leaves = [(b, told[f"n{b}"], digest_of_sums(told[f"n{b}"], sums[b])) for b in range(BUCKETS)]
     count, whole = sum(n for _, n, _ in leaves), [sum(x) for x in zip(*sums, strict=True)]
     spark.createDataFrame(leaves, _LEAVES).coalesce(1).write.mode("overwrite").parquet(f"{root}/{table_id}/digests")
-    manifest = {"row_count": count, "rows_digest": digest_of_sums(count, whole), "tree_digest": _tree(leaves), "cluster_by": cluster_by if cluster_by in rows.columns else "", "kind": kind, "table_id": table_id, "columns": ",".join(columns)} | bound
+    manifest = {"row_count": count, "rows_digest": digest_of_sums(count, whole), "tree_digest": _tree(leaves), "cluster_by": cluster_by if cluster_by in rows.columns else "", "kind": kind, "table_id": table_id, "columns": ",".join(columns), "schema": rows.schema.json()} | bound
     spark.range(1).select(*[F.lit(v).alias(k) for k, v in manifest.items()]).withColumn("row_count", F.lit(count).cast("bigint")).coalesce(1).write.mode("errorifexists").parquet(f"{root}/{table_id}/manifest")
     return "written"
 
@@ -89,9 +91,15 @@ def _tree(leaves: Sequence[tuple[int, int, str]]) -> str:
     return hashlib.sha256("\n".join(f"{b}:{n}:{d}" for b, n, d in sorted(leaves)).encode()).hexdigest()
 
 
+def _rows(spark: SparkSession, root: str, table_id: str) -> DataFrame:
+    """A complete table's rows with ``_bucket``, in the types of its manifest."""
+    fields = StructType.fromJson(json.loads(manifest_of(spark, root, table_id)["schema"])).fields
+    return spark.read.schema(StructType([*fields, StructField("_bucket", IntegerType())])).parquet(f"{root}/{table_id}/rows")
+
+
 def stored_rows(spark: SparkSession, root: str, table_id: str, buckets: Sequence[int] | None = None) -> DataFrame:
     """A stored table's rows, unchecked; of some buckets only those are read."""
-    rows = spark.read.parquet(f"{root}/{table_id}/rows")
+    rows = _rows(spark, root, table_id)
     return (rows if buckets is None else rows.where(F.col("_bucket").isin(list(buckets)))).drop("_bucket")
 
 
@@ -106,7 +114,7 @@ def damaged_buckets(spark: SparkSession, root: str, table_id: str, buckets: Sequ
     if _tree([(b, *x) for b, x in leaves.items()]) != manifest["tree_digest"]:
         raise Damaged(f"the digests of {table_id} aren't those of its manifest")
     wanted = sorted(leaves) if buckets is None else sorted(buckets)
-    rows = spark.read.parquet(f"{root}/{table_id}/rows").where(F.col("_bucket").isin(wanted))
+    rows = _rows(spark, root, table_id).where(F.col("_bucket").isin(wanted))
     own = _bucketed(rows.withColumnRenamed("_bucket", "_stored"), manifest["columns"].split(","), manifest["cluster_by"] or None)
     count, digest = digest_of("_hash")
     told = own.groupBy("_stored").agg(count, digest, F.count_if(F.col("_stored") != F.col("_bucket")).alias("strange")).collect()
