@@ -5,14 +5,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.definitions import FeatureDefinition, payment_features
+from tidemark.definitions import FeatureDefinition, payment_features, register
 from tidemark.functions.values import rows_digest
-from tidemark.operators import tiles, training
-from tidemark.operators.features import build_generation
+from tidemark.operators import skew, temporal, tiles, training
+from tidemark.operators.features import build_generation, wide_features
 from tidemark.operators.temporal import validity_intervals
+from tidemark.plans import sql
 from tidemark.schemas import LABELS, REVISIONS
-from tidemark.sources import generations
+from tidemark.sources import clustered, generations
 from tidemark.sources.workload import synthetic_revisions, with_corrections
+from tidemark.streaming import ingest
 
 DEFS = payment_features()
 START = 1_700_000_000
@@ -103,3 +105,101 @@ def test_a_digest_tree_names_what_differs(spark, feed, tmp_path):
         generations.read_checked(spark, root, "g")
     assert generations.write_once(spark.createDataFrame([], REVISIONS), root, "empty", kind="rows") == "written"
     assert generations.read_checked(spark, root, "empty").count() == 0
+
+
+def test_heavy_stretches_are_dealt_evenly(spark):
+    """Four fifths of labels and events on one customer: every task gets about as many pairs as the next."""
+    feed = synthetic_revisions(spark, "skewed", 9, 40, 4000).persist()
+    rng = random.Random(3)
+    rows = [(f"l{i}", "c-0" if i % 5 else f"c-{rng.randrange(40)}", START + rng.randrange(10 * DAY, 40 * DAY), None, 0) for i in range(600)]
+    labels = spark.createDataFrame(rows, LABELS)
+    want = rows_of(training.point_in_time_dataset(labels, feed, DEFS, START + 60 * DAY))
+    assert rows_of(skew.dealt_dataset(labels, feed, DEFS, START + 60 * DAY, pairs=500)) == want
+    cut = training.label_cutoffs(labels, START + 60 * DAY).select("label_id", "customer_id", "label_time", "effective_cutoff")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        events = validity_intervals(feed).where("operation = 'upsert'")
+        dealt = lambda pairs: sorted(r.n for r in skew.dealt_join(cut, events, DEFS, pairs).groupBy("customer_id", "_at", "_l", "_e").agg(F.count("*").alias("n")).groupBy(F.pmod(F.hash("customer_id", "_at", "_l", "_e"), F.lit(8))).agg(F.sum("n").alias("n")).collect())
+        even, as_it_was = dealt(500), dealt(1 << 40)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        feed.unpersist()
+    assert sum(even) == sum(as_it_was) and max(even) < 2 * even[len(even) // 2]
+
+
+def test_a_page_reads_the_files_that_hold_it(spark, tmp_path):
+    rows = spark.range(4000).select((F.col("id") % 1000).alias("k"), F.concat(F.lit("f"), (F.col("id") / 1000).cast("int").cast("string")).alias("f"), "id")
+    clustered.write_clustered(rows, str(tmp_path), ["k", "f"], 20)
+    everything = [tuple(r) for r in rows.orderBy("k", "f").collect()]
+    cursor, read = None, []
+    for page in range(3):
+        assert len(clustered.page_files(spark, str(tmp_path), ["k", "f"], 300, cursor)) <= 4
+        got = [tuple(r) for r in clustered.clustered_page(spark, str(tmp_path), ["k", "f"], 300, cursor).collect()]
+        assert got == everything[300 * page : 300 * page + 301]
+        read += got[:300]
+        cursor = read[-1][:2]
+    last = everything[-5][:2]
+    assert [tuple(r) for r in clustered.clustered_page(spark, str(tmp_path), ["k", "f"], 300, last).collect()] == everything[-4:]
+    assert len(clustered.page_files(spark, str(tmp_path), ["k", "f"], 300, last)) == 1
+    assert clustered.clustered_page(spark, str(tmp_path), ["k", "f"], 300, everything[-1][:2]).count() == 0
+
+
+def test_bucketed_records_are_not_shuffled(spark, tmp_path):
+    keys = ["generation_id", "customer_id", "feature_name"]
+    rows = spark.range(500).select(F.lit("g2").alias("generation_id"), (F.col("id") % 100).alias("customer_id"), F.concat(F.lit("f"), (F.col("id") / 100).cast("int").cast("string")).alias("feature_name"), "id")
+    table = clustered.write_bucketed(rows, "tidemark_test_records", str(tmp_path / "b"), keys, 8)
+    asked = spark.range(50).select(F.when(F.col("id") % 7 == 0, "g1").otherwise("g2").alias("generation_id"), F.col("id").alias("customer_id"), F.concat(F.lit("f"), (F.col("id") % 5).cast("string")).alias("feature_name"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = asked.join(table.groupBy(*keys).agg(F.max("id").alias("id")), keys, "left")
+        assert sorted(r.id for r in out.collect() if r.id is not None) == sorted(i + i % 5 * 100 for i in range(50) if i % 7)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning") == plan[: plan.index("Initial Plan")].count("hashpartitioning") * 2 == 2  # the requests' only
+        assert "Bucketed: true" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sql("drop table tidemark_test_records")
+    again = clustered.open_bucketed(spark, "tidemark_test_records", str(tmp_path / "b"), "generation_id string, customer_id bigint, feature_name string, id bigint", keys, 8)
+    assert again.count() == 500
+    spark.sql("drop table tidemark_test_records")
+
+
+def test_sql_functions_equal_the_operators(spark, feed, labels):
+    spine = feed.select("customer_id").distinct()
+    sql.register_functions(spark, feed, spine, labels, DEFS, prefix="t_")
+    at, frontier = START + 20 * DAY, START + 21 * DAY
+    assert rows_of(spark.sql(f"select * from t_state_at({frontier})")) == rows_of(temporal.latest_known(feed, frontier))
+    assert rows_of(spark.sql(f"select * from t_standing_at({at}, {frontier})")) == rows_of(temporal.standing(feed, at, frontier))
+    assert rows_of(spark.sql(f"select * from t_features_at({at}, {frontier})")) == rows_of(wide_features(feed, spine, DEFS, at, frontier))
+    mine = training.point_in_time_dataset(labels, feed, DEFS, frontier).drop("requested_cutoff", "dataset_as_of", "truncated")
+    got = spark.sql(f"select * from t_training_set({frontier})")
+    assert rows_of(got) == rows_of(mine.select(*got.columns))
+    plan = spark.sql(f"select * from t_state_at({frontier}) where customer_id = 'c-1'")._jdf.queryExecution().optimizedPlan().toString()
+    assert str(frontier) in plan
+    register("t_no_sql", "integer", lambda inside, anchor: F.count_if(inside))
+    with pytest.raises(ValueError, match="without SQL"):
+        sql.register_functions(spark, feed, spine, labels, [FeatureDefinition("n", 1, "integer", 5, "t_no_sql", 5, "")])
+    with pytest.raises(ValueError, match="parts"):
+        tiles.build_tiles(validity_intervals(feed), [FeatureDefinition("n", 1, "integer", 5, "t_no_sql", 5, "")])
+
+
+def test_lag_percentiles_stand_within_their_rank_error(spark, tmp_path):
+    """Exact below the accuracy, and within it beyond: here the accuracy is lowered so that sketches compress."""
+    rows = synthetic_revisions(spark, "balanced", 4, 10, 6000).withColumn("source", F.when(F.col("customer_id") < "c-5", "a").otherwise("b"))
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    lags = {r: [x.lag for x in rows.where(F.col("source") == r).select((F.col("knowledge_time") - F.col("event_time")).alias("lag")).orderBy("lag").collect()] for r in "ab"}
+    for accuracy in (ingest.LAG_ACCURACY, 50):
+        ingest.LAG_ACCURACY, before = accuracy, ingest.LAG_ACCURACY
+        try:
+            query = ingest.arrival_lag(stream, width="10000 days", source="source").writeStream.outputMode("complete").format("memory").queryName(f"lags_{accuracy}").trigger(availableNow=True).start()
+        finally:
+            ingest.LAG_ACCURACY = before
+        query.awaitTermination()
+        for r in spark.table(f"lags_{accuracy}").collect():
+            mine = lags[r.source]
+            for p, got in ((0.5, r.p50_lag), (0.95, r.p95_lag), (0.99, r.p99_lag)):
+                ranks = [i + 1 for i, x in enumerate(mine) if x == got]
+                assert ranks and min(abs(i - p * len(mine)) for i in ranks) <= len(mine) / accuracy + 1

@@ -226,6 +226,10 @@ SQL = {
     "pit_training_tiled": f"{_WITH}{_cut(SECOND)}{_dataset('cut', 'r.knowledge_time <= l.effective_cutoff')} select * from data",
     "rolling_features": f"{_WITH}, cut as (select customer_id || '@' || ({CUTOFF} - 604800 * w) as label_id, customer_id, {CUTOFF} - 604800 * w as label_time, {CUTOFF} - 604800 * w as effective_cutoff from spine, range(12) x(w)){_dataset('cut', 'r.knowledge_time <= l.effective_cutoff')} select customer_id, label_time, {', '.join(NAMES)} from data",
     "digest_tree": f"{_GEN2} select count(*)::bigint as rows, 1::bigint as damaged from gen2",
+    "pit_training_dealt": f"{_WITH}, hot_rev as (select * replace (case when event_id % 5 < 4 then 0 else customer_id end as customer_id) from rev), hot_lab as (select * replace (case when label_id % 5 < 4 then 0 else customer_id end as customer_id) from lab){_cut(SECOND).replace('from lab', 'from hot_lab')}{_dataset('cut', 'r.knowledge_time <= l.effective_cutoff').replace('join rev r', 'join hot_rev r')} select * from data",
+    "sql_training_set": f"{_WITH}{_cut(SECOND)}{_dataset('cut', 'r.knowledge_time <= l.effective_cutoff')} select label_id, customer_id, label_time, prediction_knowledge_time, value, effective_cutoff, {', '.join(NAMES)} from data where label_id % 2 = 0",
+    "sql_features_at": f"{_GEN12} select a.customer_id, a.value_long as before, b.value_long as after, c.value_double as ratio from gen1 a join gen2 b on a.customer_id = b.customer_id and a.feature_name = '{NAMES[0]}' and b.feature_name = '{NAMES[0]}' join gen2 c on c.customer_id = a.customer_id and c.feature_name = '{NAMES[2]}'",
+    "sql_state_at": f"{_WITH}{_state(FIRST, 'st1')}{_state(SECOND, 'st2')} select 'first' as at, operation, count(*) as events, sum(amount_cents)::bigint as cents from st1 group by operation union all select 'second', operation, count(*), sum(amount_cents)::bigint from st2 group by operation",
     "pit_label_cutoffs": f"{_WITH}{_cut(CUTOFF)} select * from cut",
     "pit_leakage_report": f"{_WITH}{_cut(2_000_000_000)}{_dataset('cut', 'r.knowledge_time <= l.effective_cutoff').replace('data as', 'right_ as')}{_dataset('cut', 'true').replace('ranked', 'ranked2').replace('seen', 'seen2').replace('data as', 'wrong as')} "
     + " union all ".join(f"select '{n}' as feature_name, count(*) as labels, count_if(a.{n} is distinct from b.{n}) as leaked from right_ a join wrong b using (label_id)" for n in NAMES),
@@ -254,11 +258,13 @@ SQL = {
     "sampled_parity": f"{_RECS}{_COMPARED}{_SAMPLE}, n as ({_SUMMED} (select c.* replace (null as ineligible) from cmp c join sample s on c.customer_id = s.customer_id and c.feature_name = s.feature_name)) select compared_count, missing_count, extra_count, semantic_mismatch_count, envelope_mismatch_count, {_CODES} as reasons, false as passed from n",
     "reconcile_report": f"{_RECS} select count(a.partition_key) as planned_count, count(b.partition_key) as stored_count, count_if(b.partition_key is null) as missing, count_if(a.partition_key is null) as extra, count_if(a.record_digest <> b.record_digest) as differing, count_if(b.record_digest <> b.actual) as corrupt, false as passed from rec a full join (select *, {_record_hash()} as actual from stored) b on a.partition_key = b.partition_key and a.sort_key = b.sort_key",
     "serving_outcomes": f"{_RECS}{_REQUESTS}{_SERVED} select request_id, customer_id, feature_name, status, case when status = 'FOUND' then coalesce(value_integer::double, value_decimal::double) end as value from served",
+    "serving_from_buckets": f"{_RECS}{_REQUESTS}{_SERVED} select request_id, customer_id, feature_name, status, case when status = 'FOUND' then coalesce(value_integer::double, value_decimal::double) end as value from served",
     "pointer_history_audit": f"with{_EVENTS}{_HISTORY}, j as (select *, row_number() over w as i, lag(pointer_version) over w as pv, lag(to_generation) over w as pt, count(*) over (partition by operation_id) as ops from hist window w as (partition by feature_set order by pointer_version, activated_at, to_generation)), p as (select *, concat_ws(',', case when pointer_version <> coalesce(pv, 0) + 1 then 'VERSION_GAP' end, case when from_generation is distinct from pt then 'BROKEN_CHAIN' end, case when ops > 1 then 'OPERATION_REPEATED' end) as problems from j) select feature_set, pointer_version, to_generation, problems from p where problems <> ''",
     "active_generations": f"with{_EVENTS}{_HISTORY} select feature_set, to_generation as generation_id, pointer_version from hist qualify row_number() over (partition by feature_set order by pointer_version desc, activated_at desc, to_generation desc) = 1",
     "pinned_serving_history": f"with{_EVENTS}{_HISTORY}, spans as (select *, lead(activated_at) over (partition by feature_set order by pointer_version, activated_at, to_generation) as ends from hist) select v.event_id as request_id, 'set-' || v.user_id as feature_set, v.t as request_time, s.to_generation as generation_id from (select * from e where event_type = 'view') v left join spans s on s.feature_set = 'set-' || v.user_id and v.t >= s.activated_at and (s.ends is null or v.t < s.ends)",
     "transition_audit": f"with{_EVENTS}, s as (select user_id as g, t * 1000 + event_id % 1000 as moment, ['BUILDING', 'VALIDATING', 'READY', 'ACTIVE', 'RETIRED'][event_id % 5 + 1] as status from e), p as (select *, coalesce(lag(status) over (partition by g order by moment, status), 'CREATED') as previous from s) select previous, status, previous || '>' || status in ({', '.join(f"'{a}>{b}'" for a, b in OFFLINE_MOVES)}) as legal, count(*) as moves from p group by 1, 2, 3",
     "keyset_page": f"{_GEN2} select customer_id, feature_name, value_long, value_double from gen2 where (customer_id, feature_name) > (40, '{NAMES[2]}') order by 1, 2 limit 51",
+    "clustered_page": f"{_GEN2} select customer_id, feature_name, value_long, value_double from gen2 where (customer_id, feature_name) > (40, '{NAMES[2]}') order by 1, 2 limit 51",
     "keyset_traversal": f"{_GEN2} select customer_id, feature_name, (row_number() over (order by customer_id, feature_name) - 1) // 7 as page from gen2",
     "gate_decisions": f"with{_EVENTS}{_GATED} select generation_id, operation_id, case when reasons = '' then 'ELIGIBLE' else 'REJECTED' end as status, reasons from gated",
     "publish_verdicts": f"with{_EVENTS}{_GATED} select generation_id, case when other_reasons = '' then 'ELIGIBLE' else 'QUARANTINED' end as verdict, other_reasons as reasons from gated",

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark.definitions import definitions_frame, payment_features
 from tidemark.functions.values import canonical_decimal, digest_of, finite, row_digest, rows_digest
-from tidemark.operators import assurance, features, incremental, kept, online, parity, quality, temporal, tiles, training
-from tidemark.plans import pipelines
+from tidemark.operators import assurance, features, incremental, kept, online, parity, quality, skew, temporal, tiles, training
+from tidemark.plans import pipelines, sql
 from tidemark.schemas import REVISION_FIELDS, REVISIONS
-from tidemark.sources import derived, generations, tables, workload
+from tidemark.sources import clustered, derived, generations, tables, workload
 from tidemark.sources.shared import shared_folder, stored
 from tidemark.streaming import ingest
 
@@ -203,6 +203,38 @@ def rolling_features(spark, d):
     return tiles.tiled_dataset(asked, _rev(spark, d), FEATURES, SECOND).select("customer_id", "label_time", *NAMES)
 
 
+@query
+def pit_training_dealt(spark, d):
+    """The same training set, had one customer four fifths of all labels and events: its heavy stretches are dealt out."""
+    hot = lambda df, key: df.withColumn("customer_id", F.when(F.col(key) % 5 < 4, 0).otherwise(F.col("customer_id")))
+    return skew.dealt_dataset(hot(derived.labels(spark, d), "label_id"), hot(_rev(spark, d), "event_id"), FEATURES, SECOND, pairs=20_000)
+
+
+def _functions(spark, d):
+    sql.register_functions(spark, _rev(spark, d), derived.spine(spark, d), derived.labels(spark, d), FEATURES)
+
+
+@query
+def sql_training_set(spark, d):
+    """A training set in pure SQL, by a table function."""
+    _functions(spark, d)
+    return spark.sql(f"select * from training_set({SECOND}) where label_id % 2 = 0")
+
+
+@query
+def sql_features_at(spark, d):
+    """Features at two frontiers in pure SQL: which customers' counts later knowledge changed."""
+    _functions(spark, d)
+    return spark.sql(f"select a.customer_id, a.{NAMES[0]} as before, b.{NAMES[0]} as after, b.{NAMES[2]} as ratio from features_at({CUTOFF}, {FIRST}) a join features_at({CUTOFF}, {SECOND}) b on a.customer_id = b.customer_id")
+
+
+@query
+def sql_state_at(spark, d):
+    """States at two times in pure SQL, by operation."""
+    _functions(spark, d)
+    return spark.sql(f"select 'first' as at, operation, count(*) as events, sum(amount_cents) as cents from state_at({FIRST}) group by operation union all select 'second', operation, count(*), sum(amount_cents) from state_at({SECOND}) group by operation")
+
+
 @query
 def pit_label_cutoffs(spark, d):
     return training.label_cutoffs(derived.labels(spark, d), CUTOFF)
@@ -422,6 +454,24 @@ def serving_outcomes(spark, d):
     return out.select("request_id", "customer_id", "feature_name", "status", "value")
 
 
+@query
+def serving_from_buckets(spark, d):
+    """The same lookups against records in a bucketed table: only the requests are shuffled."""
+    path = shared_folder(spark, "bucketed")
+    keys = ["generation_id", "customer_id", "feature_name"]
+    held = clustered.write_bucketed(_stored(spark, d), f"tidemark_{path.rpartition('-')[2]}", path, keys, 16)
+    states = spark.sql("select 'payments' feature_set, stack(3, 'g1', 'RETIRED', 'g2', 'ACTIVE', 'g9', 'WRITING') as (generation_id, state)")
+    return online.serving_outcomes(_requests(spark, d), states, held).select("request_id", "customer_id", "feature_name", "status", "value")
+
+
+@query
+def clustered_page(spark, d):
+    """A page from the files of key ranges that hold it."""
+    path = shared_folder(spark, "clustered")
+    clustered.write_clustered(_generation(spark, d, SECOND, "g2"), path, ["customer_id", "feature_name"], 8)
+    return clustered.clustered_page(spark, path, ["customer_id", "feature_name"], 50, (40, NAMES[2])).select("customer_id", "feature_name", "value_long", "value_double")
+
+
 def _history(spark, d):
     """A pointer history for each customer, made of its purchases; some entries skip a version, break a chain or repeat an operation."""
     from pyspark.sql import Window
