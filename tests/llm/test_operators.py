@@ -60,6 +60,17 @@ def test_agendas_need_no_correction():
     assert codec.corrected == 0
 
 
+def test_a_broken_agenda_is_put_right_for_all_chunks(monkeypatch):
+    """A unit or tail with wrong ids is corrected where it is first met, and so in every later chunk that holds it."""
+    codec = sentencepiece_codec.Codec(queries.vocabulary())
+    right = codec._agenda
+    monkeypatch.setattr(codec, "_agenda", lambda units: {u: (5,) if u.endswith("house") or u == "." else ids for u, ids in right(units).items()})
+    for texts in (["the house."], ["a house, the tree.", "house. house"], ["house.", "tree."]):
+        for text, (ids, _) in zip(texts, codec.encode(texts), strict=True):
+            assert ids == codec.library.encode(text), text
+    assert codec.corrected and all(v != (5,) for k, v in codec.units.now.items() if k.endswith("house"))
+
+
 def test_models_that_chunks_do_not_fit_are_refused(spark, monkeypatch):
     model = queries.vocabulary()
     assert sentencepiece_codec.check(model) is None
@@ -404,6 +415,15 @@ def test_lm_scores_rows_by_brute_force(spark, empty):
     assert lattice_lm.lm_report(empty, queries.vocabulary()).count() == 0
 
 
+def test_lm_scores_of_very_long_words_have_no_floor(spark):
+    rng = random.Random(5)
+    rows = [(i, words(rng, 20, 60)) for i in range(60)] + [(900 + k, "\U0001f600" * n) for k, n in enumerate((250_000, 500_000))]
+    counts = lattice_lm.written(lattice_lm.word_counts(spark.createDataFrame(rows[:60], "doc_id bigint, text string"), F.lit(True)), "counts")
+    model = lattice_lm.fit(counts, queries.vocabulary())
+    told = {r.doc_id: r.score for r in lattice_lm.scored(spark.createDataFrame(rows[60:], "doc_id bigint, text string"), counts, model).collect()}
+    assert told[901] < told[900] < -1e6 and told[901] == pytest.approx(2 * told[900], rel=1e-3)
+
+
 def test_forward_equals_sum_over_segmentations():
     pieces, byte_at, logp = lattice_lm.vocabulary(queries.vocabulary())
     lattice = lattice_lm.Lattice.of(pieces, byte_at, logp)

@@ -341,7 +341,7 @@ def scored(docs: DataFrame, counts: DataFrame, model: Fitted) -> DataFrame:
                 met, times = np.unique(np.repeat(np.arange(len(texts)), n)[rare] * len(kinds) + where[rare], return_counts=True)
                 kind = met % len(kinds)
                 words = pa.array([kinds[i].decode("utf-8", "replace") for i in kind.tolist()], pa.string())
-                each = pa.StructArray.from_arrays([words, pa.array(times, pa.int64()), pa.array(np.maximum(spelled[kind], -1e6))], ["word", "n", "l"])
+                each = pa.StructArray.from_arrays([words, pa.array(times, pa.int64()), pa.array(spelled[kind])], ["word", "n", "l"])
                 cuts = np.searchsorted(met, np.arange(len(texts) + 1) * len(kinds))
                 more = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), each)
                 columns = [pa.array(np.arange(row, row + len(texts))), batch.column(0), pa.array(n), *map(pa.array, sums), more]

@@ -177,6 +177,11 @@ class Codec:
             if ids[i] != tuple(want):
                 self.corrected += 1
                 ids[i] = tuple(want)
+                # other chunks may hold the same unit or tail, so these are put right too
+                unit, tail = cut[i]
+                units[unit] = right = tuple(self.library.encode(unit[len(MARK) :]))
+                if tail and ids[i][: len(right)] == right:
+                    tails[tail] = ids[i][len(right) :]
         self.chunks.now.update(zip(keys, ids, strict=True))
 
     def chunks_of(self, text: str) -> list[str]:
