@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.definitions import definition_set_digest
 from tidemark.operators.assurance import DIAGNOSES, GATES, OFFLINE_MOVES, TELEMETRY_EVENTS
 from tidemark.plans.queries import CUTOFF, FEATURE_SET, FEATURES, FIRST, MADE_AT, NAMES, OPERATION, SECOND, SOURCE
 
@@ -292,7 +293,9 @@ SQL = {
     "json_revision_scan": f"{_WITH} select * replace (event_id::varchar as event_id, customer_id::varchar as customer_id) from rev",
     "generation_scan": f"{_WITH}{_state(FIRST, 'st1')}{_gen('st1', FIRST, 'gen1', 'g1')} select customer_id, feature_name, value_long, value_double, generation_id from gen1",
     "generation_round_trip": f"{_GEN2} select {_digest('h')}, 'written' as first, 'replayed' as second from (select {_VALUE_HASH} as h from gen2)",
-    "dataset_binding": f"{_WITH} select (select count(*) from lab) as row_count, (select rows_digest from (select {_digest('h')} from (select {_REV_HASH} as h from rev))) as source_digest, (select rows_digest from (select {_digest('h')} from (select {_hash(label_id='label_id::varchar', customer_id='customer_id::varchar', label_time='label_time::varchar', prediction_knowledge_time='prediction_knowledge_time::varchar', value='value::varchar')} as h from lab))) as label_digest",
+    "dataset_binding": f"{_WITH} select (select count(*) from lab) as row_count, (select rows_digest from (select {_digest('h')} from (select {_REV_HASH} as h from rev))) as source_digest, (select rows_digest from (select {_digest('h')} from (select {_hash(label_id='label_id::varchar', customer_id='customer_id::varchar', label_time='label_time::varchar', prediction_knowledge_time='prediction_knowledge_time::varchar', value='value::varchar')} as h from lab))) as label_digest, '{definition_set_digest(FEATURES)}' as definition_set_digest",
+    "build_job": f"{_GEN2} select customer_id::varchar as customer_id, feature_name, value_long, value_double, generation_id from gen2",
+    "definition_usage": f"{_GEN2} select identity, place, '{definition_set_digest(FEATURES)}' as definition_set_digest, count(*) as rows, 0::bigint as of_other_type from gen2 join (values {', '.join(f"('{d.digest}', '{d.identity}', {i})" for i, d in enumerate(sorted(FEATURES, key=lambda d: d.identity)))}) v(definition_digest, identity, place) using (definition_digest) group by identity, place",
     "missing_links": f"{_WITH} select customer_id, sha256(max(revision_id)) as source_digest from rev group by 1 having customer_id % 6 = 0",
     "stream_arrival_lag": f"{_WITH}, sl as (select *, min(knowledge_time) over () as low, (max(knowledge_time) over () - min(knowledge_time) over ()) // 4 + 1 as step from rev), fed as (select knowledge_time, event_time, customer_id from sl union all select knowledge_time, event_time, customer_id from base where event_id % 50 = 0 union all select knowledge_time, event_time, customer_id from base where event_id % 60 = 1) select knowledge_time // 86400 * 86400 as window_start, 'feed-' || (customer_id % 3) as source, quantile_disc(knowledge_time - event_time, 0.5) as p50_lag, quantile_disc(knowledge_time - event_time, 0.95) as p95_lag, quantile_disc(knowledge_time - event_time, 0.99) as p99_lag, count(*) as revisions, min(knowledge_time - event_time) as minimum_lag, max(knowledge_time - event_time) as maximum_lag, sum(knowledge_time - event_time)::bigint as total_lag from fed group by 1, 2",
     "stream_ingest_revisions": f"{_WITH}, dup as (select count(*) as n from base where event_id % 60 = 1) select 'appended' as outcome, count(*) as rows from rev union all select 'conflict', n from dup",

@@ -8,10 +8,10 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.definitions import definitions_frame, payment_features
+from tidemark.definitions import definition_set, definition_set_digest, definitions_frame, payment_features
 from tidemark.functions.values import canonical_decimal, digest_of, finite, row_digest, rows_digest
 from tidemark.operators import assurance, features, incremental, kept, online, parity, quality, skew, temporal, tiles, training
-from tidemark.plans import pipelines, sql
+from tidemark.plans import job, pipelines, sql
 from tidemark.schemas import REVISION_FIELDS, REVISIONS
 from tidemark.sources import clustered, derived, generations, tables, workload
 from tidemark.sources.shared import shared_folder, stored
@@ -663,12 +663,34 @@ def digest_tree(spark, d):
     return spark.read.parquet(f"{root}/g2/digests").agg(F.sum("row_count").alias("rows"), F.count_if(F.col("bucket").isin(wrong)).alias("damaged"))
 
 
+@query
+def build_job(spark, d):
+    """A generation built by the job from files of revisions and customers, read back through its checks."""
+    base = shared_folder(spark, "job")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    _rev(spark, d).select(*[text(c) if c.endswith("_id") else F.col(c) for c in REVISION_FIELDS]).write.parquet(f"{base}/revisions")
+    derived.spine(spark, d).select(text("customer_id")).write.parquet(f"{base}/spine")
+    told = {"revisions": f"{base}/revisions", "spine": f"{base}/spine", "root": f"{base}/out", "generation": "g2", "event-cutoff": CUTOFF, "knowledge-cutoff": SECOND}
+    job.main([str(x) for k, v in told.items() for x in (f"--{k}", v)])
+    return generations.read_checked(spark, f"{base}/out", "g2").select("customer_id", "feature_name", "value_long", "value_double", "generation_id")
+
+
+@query
+def definition_usage(spark, d):
+    """A generation's rows by the definitions of the set that they name, with the set's digest: its type contract holds if no row has the other type."""
+    names = definition_set(spark, FEATURES).select("definition_digest", "identity", "value_type", "place", "definition_set_digest")
+    rows = _generation(spark, d, SECOND, "g2").join(F.broadcast(names), "definition_digest", "left")
+    other = F.when(F.col("value_type") == "integer", F.col("value_double")).otherwise(F.col("value_long").cast("double"))
+    return rows.groupBy("identity", "place", "definition_set_digest").agg(F.count("*").alias("rows"), F.count(other).alias("of_other_type"))
+
+
 @query
 def dataset_binding(spark, d):
     """A training set's manifest: its rows' digest bound to those of its sources."""
     rows = training.point_in_time_dataset(derived.labels(spark, d), _rev(spark, d), FEATURES, SECOND)
     source, labels = rows_digest(_rev(spark, d)).first().rows_digest, rows_digest(derived.labels(spark, d)).first().rows_digest
-    return training.dataset_manifest(rows, source, labels, "definitions", "code").select("row_count", "source_digest", "label_digest")
+    code = rows_digest(definitions_frame(spark, FEATURES)).first().rows_digest
+    return training.dataset_manifest(rows, source, labels, definition_set_digest(FEATURES), code).select("row_count", "source_digest", "label_digest", "definition_set_digest")
 
 
 @query
