@@ -61,6 +61,11 @@ def test_late_knowledge_and_repeated_advances(spark, history, tmp_path):
         changed = kept.advance(spark, root, late, CUTOFF + 1)
         assert changed.count() == changed.select("event_id").distinct().count()
         assert rows_of(kept.kept_state(spark, root)) == rows_of(latest_known(known, CUTOFF).select(*kept.REVISION_FIELDS))
+    nothing = kept.advance(spark, root, late.limit(0), CUTOFF + 2)
+    assert nothing.count() == 0 and rows_of(kept.kept_state(spark, root)) == rows_of(latest_known(known, CUTOFF).select(*kept.REVISION_FIELDS))
+    empty = str(tmp_path / "empty")
+    kept.keep_state(late.limit(0), CUTOFF, empty)
+    assert kept.kept_state(spark, empty).count() == 0 and kept.advance(spark, empty, late, CUTOFF + 1).count() > 0
     with pytest.raises(ValueError, match="no state"):
         kept.advance(spark, str(tmp_path / "none"), late, 5)
 

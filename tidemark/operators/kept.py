@@ -48,16 +48,18 @@ def _write(rows: DataFrame, root: str, name: str) -> None:
     mark(rows.sparkSession, f"{path}/_complete")
 
 
-def _read(spark: SparkSession, path: str, kinds: StructType | None) -> DataFrame:
-    """A layer. ``kinds``: a schema that has the revisions' fields, where it is known; else Spark looks it up."""
-    if kinds is None:
-        return spark.read.parquet(path)
+def _read(spark: SparkSession, path: str, kinds: StructType) -> DataFrame:
+    """A layer. ``kinds``: a schema that has the revisions' fields."""
     fields = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in REVISION_FIELDS)
     return spark.read.schema(f"{fields}, _prior {_PRIOR}, _bucket int").parquet(path)
 
 
 def keep_state(revisions: DataFrame, frontier: int, root: str, layer: int | None = None) -> None:
-    """The first layer: the latest revision of every event known at the frontier, retractions included."""
+    """The first layer: the latest revision of every event known at the frontier, retractions included.
+
+    An empty table beside ``root`` keeps the columns' types, as layers may have no rows.
+    """
+    revisions.select(*REVISION_FIELDS).limit(0).write.mode("overwrite").parquet(f"{root}-types")
     _write(latest_known(revisions.select(*REVISION_FIELDS), frontier), root, f"whole={frontier if layer is None else layer}")
 
 
@@ -66,6 +68,7 @@ def kept_state(spark: SparkSession, root: str, frontier: int | None = None, buck
     names = layers(spark, root, frontier)
     if not names:
         raise ValueError(f"no state is kept at {root}")
+    kinds = spark.read.parquet(f"{root}-types").schema if kinds is None else kinds
 
     def layer(name: str) -> DataFrame:
         rows = _read(spark, f"{root}/{name}", kinds)
