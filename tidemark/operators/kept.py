@@ -154,6 +154,17 @@ def features_of(state: DataFrame, spine: DataFrame, definitions: Sequence[Featur
     return long_form(wide, definitions, event_cutoff, knowledge_cutoff, generation_id)
 
 
+def recomputed_from_state(root: str, delta: DataFrame, spine: DataFrame, definitions: Sequence[FeatureDefinition], event_cutoff: int, target: int, generation_id: str, layer: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows at ``target`` of the customers that ``delta`` touches, those customers); the kept state is advanced."""
+    spark, layer = delta.sparkSession, target if layer is None else layer
+    check_definitions(definitions)
+    buckets = buckets_of(delta)
+    changed = advance(spark, root, delta, layer, buckets)
+    touched = stored(touched_customers(changed, definitions, event_cutoff), "touched")
+    state = kept_state(spark, root, layer, buckets, delta.schema).join(touched, "customer_id", "left_semi")
+    return features_of(state, spine.join(touched, "customer_id", "left_semi"), definitions, event_cutoff, target, generation_id), touched
+
+
 def refreshed_from_state(predecessor: DataFrame, root: str, delta: DataFrame, spine: DataFrame, definitions: Sequence[FeatureDefinition], event_cutoff: int, target: int, generation_id: str, layer: int | None = None) -> DataFrame:
     """The generation at ``target`` from the one before and the state kept there; ``delta`` is what became known since.
 
@@ -161,12 +172,6 @@ def refreshed_from_state(predecessor: DataFrame, root: str, delta: DataFrame, sp
     their frontiers, or by ``layer``, where frontiers needn't grow. ``spine``: distinct customers. The predecessor is
     taken as it is (``sources.generations`` checks it by bucket).
     """
-    spark, layer = predecessor.sparkSession, target if layer is None else layer
-    check_definitions(definitions)
-    buckets = buckets_of(delta)
-    changed = advance(spark, root, delta, layer, buckets)
-    touched = stored(touched_customers(changed, definitions, event_cutoff), "touched")
-    state = kept_state(spark, root, layer, buckets, delta.schema).join(touched, "customer_id", "left_semi")
-    fresh = features_of(state, spine.join(touched, "customer_id", "left_semi"), definitions, event_cutoff, target, generation_id)
+    fresh, touched = recomputed_from_state(root, delta, spine, definitions, event_cutoff, target, generation_id, layer)
     held = predecessor.join(touched, "customer_id", "left_anti").withColumns({"knowledge_time": F.lit(target).cast("bigint"), "generation_id": F.lit(generation_id)})
     return fresh.unionByName(held.select(*fresh.columns))

@@ -239,6 +239,7 @@ SQL = {
     "affected_mode": f"{_SCOPED} {_MODE} from seen_customers",
     "incremental_generation": f"{_GEN2} select * from gen2",
     "kept_refresh": f"{_GEN2} select * from gen2",
+    "layered_refresh": f"{_GEN2} select * from gen2",
     "kept_layers": f"{_WITH}{_state(SECOND, 'st')} select * from st",
     "incremental_work_summary": f"{_SCOPED}, w as ({_MODE} from seen_customers), ac as (select count(distinct customer_id) as affected_customers from pairs) select w.*, affected_customers, (select count(*) * 5 from spine) as predecessor_rows, affected_customers * 5 as recomputed_rows, (select count(*) * 5 from spine) - affected_pairs as preserved_rows from w, ac",
     "changed_within_scope": f"{_SCOPE}{_gen('st1', FIRST, 'gen1', 'g')}{_gen('st2', SECOND, 'gen2', 'g')}, ch as (select a.customer_id, a.feature_name from gen1 a join gen2 b on a.customer_id = b.customer_id and a.feature_name = b.feature_name where a.value_long is distinct from b.value_long or a.value_double is distinct from b.value_double) select count_if(p.customer_id is not null and c.customer_id is not null) as common, count(*) as either, count_if(c.customer_id is null) as only_expected, count_if(p.customer_id is null) as only_actual, count_if(p.customer_id is null) = 0 as actual_is_subset from pairs p full join ch c on p.customer_id = c.customer_id and p.feature_name = c.feature_name",

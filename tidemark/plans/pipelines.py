@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.definitions import FeatureDefinition, definition_set_digest, definitions_frame
 from tidemark.functions.values import rows_digest
+from tidemark.operators import kept
 from tidemark.operators.assurance import publish_verdict
 from tidemark.operators.features import build_generation, long_form, with_default
 from tidemark.operators.incremental import refreshed_generation
@@ -16,6 +17,7 @@ from tidemark.operators.online import online_records
 from tidemark.operators.parity import parity_summary
 from tidemark.operators.quality import assert_clean, assert_spine
 from tidemark.sources.generations import damaged_buckets, manifest_of, stored_rows, write_once
+from tidemark.sources.layered import write_layer
 
 
 def full_rebuild(revisions: DataFrame, spine: DataFrame, definitions: Sequence[FeatureDefinition], event_cutoff: int, knowledge_cutoff: int, generation_id: str, root: str) -> str:
@@ -42,6 +44,21 @@ def stored_refresh(root: str, predecessor_id: str, revisions: DataFrame, spine:
     return write_once(values, root, generation_id, definition_set=definition_set_digest(definitions), event_cutoff=str(event_cutoff), knowledge_cutoff=str(target))
 
 
+def layered_refresh(root: str, predecessor_id: str, state: str, delta: DataFrame, spine: DataFrame, definitions: Sequence[FeatureDefinition], event_cutoff: int, base: int, target: int, generation_id: str) -> str:
+    """Refresh a stored generation from the kept state, and store the touched customers' rows only: ``written`` or ``replayed``.
+
+    ``spine``: distinct customers, those of the predecessor. The predecessor must be at the base frontier with the same
+    definitions and event cutoff; its rows aren't read. ``sources.layered`` checks and reads the result.
+    """
+    told = manifest_of(delta.sparkSession, root, predecessor_id)
+    bound = {"definition_set": definition_set_digest(definitions), "event_cutoff": str(event_cutoff)}
+    if wrong := [k for k, v in (bound | {"knowledge_cutoff": str(base)}).items() if told.get(k) != v]:
+        raise ValueError(f"the predecessor can't be refreshed: other {', '.join(wrong)}")
+    recomputed, _ = kept.recomputed_from_state(state, delta, spine, definitions, event_cutoff, target, generation_id)
+    shared = {"knowledge_time": target, "generation_id": generation_id}
+    return write_layer(recomputed, root, generation_id, predecessor_id, shared, knowledge_cutoff=str(target), **bound)
+
+
 def expected_values(revisions: DataFrame, spine: DataFrame, definitions: Sequence[FeatureDefinition], event_cutoff: int, knowledge_cutoff: int, generation_id: str) -> DataFrame:
     """The same values by another formulation, for comparisons: ranked revisions, one join and grouping per feature."""
     rank = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("knowledge_time"), F.desc("revision_id")))

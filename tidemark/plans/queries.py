@@ -13,7 +13,7 @@ from tidemark.functions.values import canonical_decimal, digest_of, finite, row_
 from tidemark.operators import assurance, features, incremental, kept, online, parity, quality, skew, temporal, tiles, training
 from tidemark.plans import job, pipelines, sql
 from tidemark.schemas import REVISION_FIELDS, REVISIONS
-from tidemark.sources import clustered, derived, generations, tables, workload
+from tidemark.sources import clustered, derived, generations, layered, tables, workload
 from tidemark.sources.shared import shared_folder, stored
 from tidemark.streaming import ingest
 
@@ -310,6 +310,19 @@ def kept_refresh(spark, d):
     return kept.refreshed_from_state(spark.read.parquet(f"{base}/g1"), f"{base}/state", delta, derived.spine(spark, d), FEATURES, CUTOFF, SECOND, "g2")
 
 
+@query
+def layered_refresh(spark, d):
+    """The same refresh, stored as a layer of the touched customers over the generation before, read through both."""
+    base, at = shared_folder(spark, "layered"), (FIRST + SECOND) // 2
+    r, spine = _rev(spark, d), derived.spine(spark, d)
+    kept.keep_state(r, FIRST, f"{base}/state")
+    pipelines.full_rebuild(r, spine, FEATURES, CUTOFF, FIRST, "g0", f"{base}/generations")
+    for old, new, low, high in (("g0", "g1", FIRST, at), ("g1", "g2", at, SECOND)):
+        delta = r.where((F.col("knowledge_time") > low) & (F.col("knowledge_time") <= high))
+        pipelines.layered_refresh(f"{base}/generations", old, f"{base}/state", delta, spine, FEATURES, CUTOFF, low, high, new)
+    return layered.layered_checked(spark, f"{base}/generations", "g2")
+
+
 @query
 def kept_layers(spark, d):
     """The kept state after two deltas, one of them behind the frontier, read through its layers."""
