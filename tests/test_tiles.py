@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.definitions import FeatureDefinition, payment_features, register
 from tidemark.functions.values import rows_digest
-from tidemark.operators import skew, temporal, tiles, training
+from tidemark.operators import skew, temporal, tiles, timelines, training
 from tidemark.operators.features import build_generation, wide_features
 from tidemark.operators.temporal import validity_intervals
 from tidemark.plans import sql
@@ -215,3 +216,43 @@ def test_lag_percentiles_are_exact(spark, tmp_path):
     mine = sorted(i * i % 700_001 for i in range(25_000))
     [got] = spark.table("exact_lags").collect()
     assert (got.p50_lag, got.p95_lag, got.p99_lag) == tuple(mine[-(-p * 25_000 // 100) - 1] for p in (50, 95, 99))
+
+
+def test_timelines_answer_what_a_scan_answers():
+    rng = np.random.default_rng(3)
+    for m in (1, 2, 3, 37, 300):
+        when, start = rng.integers(0, 60, m), rng.integers(0, 90, m)
+        end, low, asked = start + rng.integers(1, 60, m), rng.integers(-5, 60, 400), rng.integers(-5, 150, 400)
+        high, v, w = low + rng.integers(0, 40, 400), rng.integers(-9, 9, m), rng.random(m)
+        total, most = timelines.answered(when, start, end, [(v, "add"), (w, "maximum")], low, high, asked)
+        inside = (when > low[:, None]) & (when <= high[:, None]) & (start <= asked[:, None]) & (asked[:, None] < end)
+        assert (total == (inside * v).sum(axis=1)).all() and (most == np.where(inside, w, -np.inf).max(axis=1)).all()
+
+
+def test_timelines_equal_the_exact_training_set(spark, feed, labels):
+    """With chunks of 40 rows and questions dealt to several copies of a group, and a label before all events."""
+    odd = spark.createDataFrame([("early", "c-0", 5, 5, 1), ("late", "c-0", START + 200 * DAY, None, 1)], LABELS)
+    labels = labels.where("customer_id = 'c-0'").unionByName(odd)
+    cut = training.label_cutoffs(labels, START + 40 * DAY)
+    events = validity_intervals(feed).where("operation = 'upsert'")
+    want = {r.label_id: r for r in training.point_in_time_dataset(labels, feed, DEFS, START + 40 * DAY).collect()}
+    got = timelines.timeline_features(cut, events, DEFS, chunk=40, questions=30).collect()
+    assert len(got) == len({r.label_id for r in got}) > 20
+    told = {r.label_id: r for r in got}
+    for label, w in want.items():
+        for d in DEFS:
+            mine = told[label][d.name] if label in told else None
+            assert (d.default if mine is None else mine) == w[d.name]
+
+
+def test_heavy_customers_make_no_pairs(spark):
+    """Thirty thousand labels and as many events of one customer: some 450 million pairs, of which none is made."""
+    n = F.col("id")
+    t = F.lit(START) + n * 60
+    events = spark.range(30_000).select(n.cast("string").alias("event_id"), n.cast("string").alias("revision_id"), F.lit("c").alias("customer_id"), t.alias("event_time"), t.alias("knowledge_time"), F.lit("upsert").alias("operation"), n.alias("amount_cents"), F.lit("succeeded").alias("status"), (n % 100 / 100).alias("merchant_risk"))
+    labels = spark.range(30_000).select(n.cast("string").alias("label_id"), F.lit("c").alias("customer_id"), t.alias("label_time"), t.alias("prediction_knowledge_time"), F.lit(1).cast("bigint").alias("value"))
+    out = skew.dealt_dataset(labels, events, DEFS, START + 90 * DAY)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "label_parts" not in plan
+    got = out.agg(F.sum(DEFS[0].name).alias("n"), F.sum(DEFS[1].name).alias("spent")).first()
+    assert got.n == sum(min(i + 1, 1440) for i in range(30_000)) and got.spent == sum(i * (i + 1) // 2 for i in range(30_000))
