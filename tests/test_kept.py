@@ -124,3 +124,13 @@ def test_an_unreadable_target_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)parquet|footer|read"):
         ingest.read_before(spark, str(tmp_path / "accepted"), schema, 5).count()
     assert ingest.read_before(spark, str(tmp_path / "none"), schema, 5).count() == 0
+
+
+def test_parts_are_streamed_in_turn(spark, tmp_path):
+    """A part is one batch, though several tasks write it, and none of a later one's rows is in it."""
+    parts, seen = [spark.range(i * 100, i * 100 + 100, numPartitions=4) for i in range(3)], []
+    keep = lambda batch, number: seen.append((number, sorted(r.id for r in batch.collect())))
+    start = lambda stream: stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    ingest.in_turn(parts, f"{tmp_path}/in", start)
+    assert seen == [(i, list(range(i * 100, i * 100 + 100))) for i in range(3)]
+    assert all(len(list((tmp_path / "in" / f"part={i}").glob("*.parquet"))) == 4 for i in range(3))

@@ -714,24 +714,20 @@ def missing_links(spark, d):
     return generations.missing_links(per, stored, "source_digest").select("customer_id", "source_digest")
 
 
-def _slices(spark, d, path):
-    """Revisions as files of four successive spans of knowledge time, the last with replays and contradictions."""
+def _slices(spark, d):
+    """Revisions of four successive spans of knowledge time, the last with replays and contradictions."""
     r = _rev(spark, d)
     low, high = r.agg(F.min("knowledge_time"), F.max("knowledge_time")).first()
     step = (high - low) // 4 + 1
-    for i in range(4):
-        part = r.where((F.col("knowledge_time") >= low + i * step) & (F.col("knowledge_time") < low + (i + 1) * step))
-        if i == 3:
-            first = r.where("revision_id like '%-r1'")
-            part = part.unionByName(first.where("event_id % 50 = 0")).unionByName(first.where("event_id % 60 = 1").withColumn("amount_cents", F.col("amount_cents") + 7))
-        part.coalesce(1).write.parquet(f"{path}/slice={i}")  # a file is a batch, in the order of writing
-    return spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    parts = [r.where((F.col("knowledge_time") >= low + i * step) & (F.col("knowledge_time") < low + (i + 1) * step)) for i in range(4)]
+    first = r.where("revision_id like '%-r1'")
+    return [*parts[:3], parts[3].unionByName(first.where("event_id % 50 = 0")).unionByName(first.where("event_id % 60 = 1").withColumn("amount_cents", F.col("amount_cents") + 7))]
 
 
 @query
 def stream_ingest_revisions(spark, d):
     base = shared_folder(spark, "stream-ingest")
-    ingest.ingest(_slices(spark, d, f"{base}/in"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    ingest.in_turn(_slices(spark, d), f"{base}/in", lambda stream: ingest.ingest(stream, f"{base}/out", f"{base}/checkpoint"))
     kept, refused = spark.read.parquet(f"{base}/out/accepted"), spark.read.parquet(f"{base}/out/quarantine")
     return kept.groupBy(F.lit("appended").alias("outcome")).agg(F.count("*").alias("rows")).union(refused.groupBy("outcome").agg(F.count("*").alias("rows")))
 
@@ -751,12 +747,15 @@ def stream_telemetry(spark, d):
 def stream_arrival_lag(spark, d):
     base = shared_folder(spark, "stream-lag")
     source = F.concat(F.lit("feed-"), (F.col("customer_id") % 3).cast("string"))
-    lags = ingest.arrival_lag(_slices(spark, d, f"{base}/in").withColumn("source", source), source="source")
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
-    lags.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    def watch(stream):
+        lags = ingest.arrival_lag(stream.withColumn("source", source), source="source")
+        return lags.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+    ingest.in_turn(_slices(spark, d), f"{base}/in", watch)
     out = spark.read.parquet(f"{base}/out")
     return out.join(F.broadcast(out.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
 
@@ -764,7 +763,7 @@ def stream_arrival_lag(spark, d):
 @query
 def stream_incremental_generation(spark, d):
     base = shared_folder(spark, "stream-generation")
-    ingest.continuous_generation(_slices(spark, d, f"{base}/in"), derived.spine(spark, d), FEATURES, CUTOFF, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    ingest.in_turn(_slices(spark, d), f"{base}/in", lambda stream: ingest.continuous_generation(stream, derived.spine(spark, d), FEATURES, CUTOFF, f"{base}/out", f"{base}/checkpoint"))
     out = spark.read.parquet(f"{base}/out/values")
     return out.join(F.broadcast(out.agg(F.max("batch").alias("batch"))), "batch").drop("batch", "generation_id")
 
@@ -778,10 +777,8 @@ def _told(spark, d, frontier):
 def stream_upserts(spark, d):
     """Records of two frontiers as a stream of idempotent writes: rows stored, and rows that contradict them."""
     base = shared_folder(spark, "stream-upserts")
-    for i, part in enumerate((_told(spark, d, FIRST).where("customer_id % 4 <> 0"), _told(spark, d, SECOND))):
-        part.coalesce(1).write.parquet(f"{base}/in/slice={i}")
-    stream = spark.readStream.schema(_told(spark, d, FIRST).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
-    ingest.upsert(stream, ["partition_key", "sort_key"], "digest", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    parts = [_told(spark, d, FIRST).where("customer_id % 4 <> 0"), _told(spark, d, SECOND)]
+    ingest.in_turn(parts, f"{base}/in", lambda stream: ingest.upsert(stream, ["partition_key", "sort_key"], "digest", f"{base}/out", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/out/stored").select(F.lit("stored").alias("sink")).union(spark.read.parquet(f"{base}/out/conflicts").select(F.lit("conflicts"))).groupBy("sink").agg(F.count("*").alias("rows"))
 
 
