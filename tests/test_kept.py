@@ -134,3 +134,12 @@ def test_parts_are_streamed_in_turn(spark, tmp_path):
     ingest.in_turn(parts, f"{tmp_path}/in", start)
     assert seen == [(i, list(range(i * 100, i * 100 + 100))) for i in range(3)]
     assert all(len(list((tmp_path / "in" / f"part={i}").glob("*.parquet"))) == 4 for i in range(3))
+
+
+def test_the_first_batch_decides_the_width(spark, tmp_path):
+    index = KeyIndex(str(tmp_path / "index"), "digest string", width=2, bucket_entries=10)
+    rows = spark.range(300).selectExpr("cast(id as string) as _key", "'d' as digest")
+    for _ in range(2):  # again, as after a failure
+        index.add(rows, 0, index.numbers(rows))
+        assert index.current(spark) == 32
+    assert index.met(rows, 0, index.numbers(rows)).count() == 0 and index.met(rows, 1, index.numbers(rows)).count() == 300

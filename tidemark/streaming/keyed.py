@@ -1,7 +1,8 @@
 """An index of stored keys in hash buckets, so that a batch finds what it meets without a scan of the history.
 
 Entries lie below ``root/width=W/_bucket=B/_batch=N``. A batch reads the buckets that its keys fall into, whatever else is
-stored, and adds entries under its own number, so a batch that is run again replaces its own. A bucket of many batches
+stored, and adds entries under its own number, so a batch that is run again replaces its own. The first batch decides how
+many buckets there are, so that no task writes more than some of them whatever its size. A bucket of many batches
 is merged, and when buckets grow beyond a size all entries are dealt to four times as many: so a bucket's size, and with
 it the time of a batch, doesn't grow with the history.
 """
@@ -26,6 +27,7 @@ class KeyIndex:
     payload: str
     width: int = 16  # buckets at first
     bucket_bytes: int = 64 << 20
+    bucket_entries: int = 400_000  # of the first batch
     batches: int = 16  # of a bucket before it is merged
 
     def current(self, spark: SparkSession) -> int:
@@ -65,6 +67,13 @@ class KeyIndex:
     def add(self, entries: DataFrame, batch_id: int, numbers: list[int]) -> None:
         """Store a batch's entries (``_key`` and the payload) in buckets ``numbers``; then merge or deal anew what has grown."""
         spark, width = entries.sparkSession, self.current(entries.sparkSession)
+        if not listed(spark, f"{self.root}/width={width}"):  # the first batch says how many buckets there are
+            n = entries.count()
+            while n > width * self.bucket_entries:
+                width *= 4
+            self._write(entries, width, batch_id)
+            mark(spark, f"{self.root}/width={width}/_complete")
+            return
         self._write(entries, width, batch_id)
         touched = self.paths(spark, numbers)
         if any(size_of(spark, p) > self.bucket_bytes for p in touched):
