@@ -261,3 +261,10 @@ def test_continuous_refresh_keeps_what_it_refuses(spark, tmp_path):
     last = spark.read.parquet(f"{tmp_path}/out/values").where("batch = 1").drop("batch", "generation_id")
     want = features.build_generation(spark.createDataFrame(LIFE, REVISIONS), spine, DEFS, 200000, 200010, "x").drop("generation_id")
     assert parity.value_parity(want, last).count() == 0
+
+
+def test_numbers_are_written_by_many_tasks(spark):
+    """A file of one split is dealt out before the work on its rows."""
+    from tidemark.plans.queries import QUERIES
+
+    assert QUERIES["canonical_numbers"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,36 +18,53 @@ def finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, however often it is named there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def canonical_decimal(x: Column) -> Column:
     """A number as plain decimal text: the shortest digits that read back as the number, without exponent or trailing
     zeros; ``-0`` is ``0``; null if not finite. Digits are moved as text, so the text is exact at any size.
     """
     text = F.when(finite(x), x.cast("string"))
-    part = lambda pattern: F.regexp_extract(text, pattern, 1)
-    whole, fraction = part(r"^-?(\d+)"), part(r"\.(\d+)")
-    # large numbers are whole, and taken with all their digits
-    large = (F.abs(x) >= 1e16) & (F.abs(x) < 9.2e18)
-    given = F.when(large, F.abs(x).cast("bigint").cast("string")).otherwise(F.concat(whole, fraction))
-    power = F.when(large, 0).otherwise(F.coalesce(part(r"E(-?\d+)$").try_cast("int"), F.lit(0)) - F.length(fraction))
-    # of digits that read back as the number the fewest count; the platform may show some more
-    shown = F.struct(given.alias("digits"), power.alias("power"))
-    for k in range(1, 5):
-        rounded = F.floor((F.ltrim(given, F.lit("0")).try_cast("decimal(20,0)") + 10**k // 2) / 10**k).cast("string")
-        same = F.concat(rounded, F.lit("E"), (power + k).cast("string")).try_cast("double") == F.abs(x.cast("double"))
-        shown = F.when(F.coalesce(same, F.lit(False)), F.struct(rounded.alias("digits"), (power + k).alias("power"))).otherwise(shown)
+
+    def given(s: Column) -> Column:
+        # large numbers are whole, and taken with all their digits
+        large = (s["size"] >= 1e16) & (s["size"] < 9.2e18)
+        mantissa = F.substring_index(s["text"], "E", 1)
+        digits = F.when(large, s["size"].cast("bigint").cast("string")).otherwise(F.replace(mantissa, F.lit("."), F.lit("")))
+        power = F.when(large, 0).otherwise(F.substring_index(s["text"], "E", -1).try_cast("int") - F.length(mantissa) + 2)
+        return F.struct(s["size"].alias("size"), digits.alias("digits"), power.alias("power"))
+
+    def shown(s: Column) -> Column:
+        # of digits that read back as the number the fewest count; the platform may show some more
+        out = F
+        for k in range(4, 0, -1):
+            more = (s["digits"].cast("bigint") + 10**k // 2).cast("string")
+            rounded = F.substring(more, F.lit(1), F.length(more) - k)
+            same = F.concat(rounded, F.lit("E"), (s["power"] + k).cast("string")).try_cast("double") == s["size"]
+            out = out.when(F.coalesce(same, F.lit(False)), F.struct(rounded.alias("digits"), (s["power"] + k).alias("power")))
+        return out.otherwise(F.struct(s["digits"].alias("digits"), s["power"].alias("power")))
+
+    def trimmed(s: Column) -> Column:
+        short = F.rtrim(s["digits"], F.lit("0"))
+        at = s["power"] + F.length(s["digits"]) - F.length(short)  # of the last digit
+        return F.struct(F.ltrim(short, F.lit("0")).alias("digits"), at.alias("at"))
 
     def plain(s: Column) -> Column:
-        digits = F.rtrim(F.ltrim(s["digits"], F.lit("0")), F.lit("0"))
-        at = s["power"] + F.length(s["digits"]) - F.length(F.rtrim(s["digits"], F.lit("0")))  # of the last digit
+        digits, at = s["digits"], s["at"]
         n = F.length(digits)
         spread = F.when(at >= 0, F.concat(digits, F.repeat(F.lit("0"), at)))
         spread = spread.when(n + at > 0, F.concat(F.substring(digits, F.lit(1), n + at), F.lit("."), F.substring(digits, n + at + 1, n)))
         spread = spread.otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -(n + at)), digits))
-        return F.when(digits == "", "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), spread))
+        return F.when(digits == "", "0").otherwise(spread)
 
     # most numbers come without an exponent
-    usual = F.when(x == 0, "0").otherwise(F.regexp_replace(text, r"\.?0+$", ""))
-    return F.when(~text.contains("E"), usual).when(text.isNotNull(), F.get(F.transform(F.array(shown), plain), F.lit(0)))
+    usual = F.when(x == 0, "0").otherwise(F.rtrim(F.rtrim(text, F.lit("0")), F.lit(".")))
+    number = F.struct(F.abs(x).cast("double").alias("size"), F.abs(x).cast("string").alias("text"))
+    moved = _once(_once(_once(_once(number, given), shown), trimmed), plain)
+    return F.when(~text.contains("E"), usual).when(text.isNotNull(), F.concat(F.when(x < 0, "-").otherwise(""), moved))
 
 
 def canonical_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:

@@ -375,7 +375,8 @@ def revision_rows_digest(spark, d):
 def canonical_numbers(spark, d):
     """Numbers of ordinary, very large and very small size as plain decimals."""
     x = F.col("value") * F.col("k") / 7
-    return derived.events(spark, d).select("event_id", canonical_decimal(x).alias("canonical"), canonical_decimal(x * 1e12).alias("large"), canonical_decimal(x / -1e35).alias("tiny"), finite(x).alias("finite"))
+    rows = derived.events(spark, d).select("event_id", "value", "k").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")  # few splits, much work a row
+    return rows.select("event_id", canonical_decimal(x).alias("canonical"), canonical_decimal(x * 1e12).alias("large"), canonical_decimal(x / -1e35).alias("tiny"), finite(x).alias("finite"))
 
 
 @query
