@@ -8,6 +8,7 @@ import unicodedata
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,50 @@ def test_top_k_of_repeated_ids(spark):
     assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
 
 
+def test_top_k_copies_queries_once_for_each_part(spark, monkeypatch):
+    met, searched = [], pivot_search._searched
+    monkeypatch.setattr(pivot_search, "_searched", lambda df, k, thresholds: met.append(df.count()) or searched(df, k, thresholds))
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(3000)]
+    vectors = pivot_search.scaled(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1))
+    got = defaultdict(list)
+    for r in pivot_search.top_k(vectors, F.col("id") % 100 == 0, k=10, block=16, query_block=1).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert {q: [(d, s) for _, d, s in sorted(x)] for q, x in got.items()} == dict(top_k_by_force(rows, 10))
+    blocks, parts = 188, 6 * spark.sparkContext.defaultParallelism
+    assert met[-1] <= blocks + 30 * parts < blocks * 30  # pairs of blocks with blocks are never rows
+
+
+def by_force(x, q, k, own):
+    score = x.astype(object) @ q.astype(object)
+    return [(int(-s), int(j)) for s, j in sorted((-min(max(int(s), -(1 << 63)), (1 << 63) - 1), j) for j, s in enumerate(score) if j != own)[:k]]
+
+
+def test_slabs_of_far_candidates_are_left_out(monkeypatch):
+    rng = np.random.default_rng(9)
+    centers = rng.normal(0, 4000, (40, 16))
+    clustered = np.floor(centers[rng.integers(0, 40, 4000)] + rng.normal(0, 50, (4000, 16)))
+    copies = np.repeat(np.floor(rng.normal(0, 900, (4, 16))), 300, 0)
+    huge = np.floor(rng.normal(0, 1e12, (300, 16)))  # beyond what doubles hold
+    beyond = np.full((40, 16), 2.0**62) * rng.choice([-1, 1], (40, 1))  # scores beyond 64 bits
+    zero = np.zeros((30, 16))
+    for x, most in ((clustered, 0.5), (copies, 1), (huge, 1), (beyond, 1), (np.concatenate([clustered[:500], huge, beyond, zero]), 1), (zero, 1)):
+        ids, asks = np.arange(len(x)), np.arange(0, len(x), 7)
+        met, slab = [], pivot_search.Queries._slab
+        monkeypatch.setattr(pivot_search.Queries, "_slab", lambda self, a, at, *rest: met.append(len(at)) or slab(self, a, at, *rest))  # noqa: B023
+        q = pivot_search.Queries(asks, asks, x[asks], np.full(len(asks), -np.inf), x[:32], 10)
+        slabs = 0
+        for a in range(0, len(x), 1000):
+            c = pivot_search.Candidates(ids[a : a + 1000], ids[a : a + 1000], x[a : a + 1000], x[:32], 10, slab=32)
+            slabs += len(c.starts)
+            q.search(c)
+        q.end()
+        monkeypatch.undo()
+        assert sum(met) <= most * slabs * len(asks)
+        for n, at in enumerate(asks):
+            assert list(zip(q.score[n, : q.count[n]].tolist(), q.found[n, : q.count[n]].tolist(), strict=True)) == by_force(x, x[at], 10, at)
+
+
 # 3
 def test_url_filters_are_as_of(spark):
     events = spark.createDataFrame([("block", "d:example.com", 10, "add"), ("block", "d:example.com", 20, "remove"), ("block", "d:example.com", 20, "add"), ("allow", "p:a.example.com/x", 12, "add"), ("block", None, 1, "add")], "list string, key string, day bigint, op string")
