@@ -153,7 +153,7 @@ def test_slabs_of_far_candidates_are_left_out(monkeypatch):
     huge = np.floor(rng.normal(0, 1e12, (300, 16)))  # beyond what doubles hold
     beyond = np.full((40, 16), 2.0**62) * rng.choice([-1, 1], (40, 1))  # scores beyond 64 bits
     zero = np.zeros((30, 16))
-    for x, most in ((clustered, 0.5), (copies, 1), (huge, 1), (beyond, 1), (np.concatenate([clustered[:500], huge, beyond, zero]), 1), (zero, 1)):
+    for x, most in ((clustered, 0.5), (copies, 1), (huge, 1), (beyond, 1), (np.concatenate([clustered[:500], huge, beyond, zero]), 1), (np.concatenate([huge * 1e5, zero, clustered[:500]]), 1), (zero, 1)):
         ids, asks = np.arange(len(x)), np.arange(0, len(x), 7)
         met, slab = [], pivot_search.Queries._slab
         monkeypatch.setattr(pivot_search.Queries, "_slab", lambda self, a, at, *rest: met.append(len(at)) or slab(self, a, at, *rest))  # noqa: B023

@@ -58,6 +58,11 @@ def table_of(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def rounding(dim: int) -> float:
+    """What a distance in a table, kept in single precision, can be off by, as a share of both norms."""
+    return ((dim + 8) * 2.0**-51) ** 0.5 + 2.0**-21
+
+
 def _narrow(x: np.ndarray) -> np.ndarray:
     """Whole numbers in the narrowest of three types that holds them."""
     most = np.abs(x).max(initial=0)
@@ -166,7 +171,8 @@ class Candidates:
         self.most, self.norm = np.abs(x).max(initial=0), float(np.sqrt(x2.max())) or 1.0
         self.single = (self.x / self.norm).astype(np.float32)
         self.starts = np.arange(0, len(x), slab)
-        self.low, self.high = np.minimum.reduceat(table, self.starts), np.maximum.reduceat(table, self.starts)
+        off = 2 * rounding(x.shape[1]) * np.sqrt((pivots * pivots).sum(1))  # of both tables, by the pivot's norm
+        self.low, self.high = (np.minimum.reduceat(table, self.starts) - off).astype(np.float32), (np.maximum.reduceat(table, self.starts) + off).astype(np.float32)
         self.x2 = np.maximum.reduceat(x2, self.starts)
         self.slab = slab
 
@@ -189,7 +195,7 @@ class Queries:
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, least: np.ndarray, pivots: np.ndarray, k: int):
         self.rows, self.ids, self.x, self.least, self.k = rows, ids, x, least, k
-        n, self.norm, self.table = len(rows), np.empty(len(rows)), np.empty((len(pivots), len(rows)))
+        n, self.norm, self.table = len(rows), np.empty(len(rows)), np.empty((len(pivots), len(rows)), np.float32)
         self.single, self.most = np.empty(x.shape, np.float32), 0.0
         for a in range(0, n, AT_ONCE):  # wide numbers of some rows only at once
             v = x[a : a + AT_ONCE].astype(np.float64)
@@ -199,6 +205,7 @@ class Queries:
             self.single[a : a + AT_ONCE] = v / self.norm[a : a + AT_ONCE, None]
             self.table[:, a : a + AT_ONCE] = table_of(v, pivots).T
         self.count, self.score, self.found = np.zeros(n, np.int64), np.zeros((n, k), np.int64), np.zeros((n, k), np.int64)
+        self.room = np.empty(0, np.float32)
         self.waiting, self.margin = {a: [] for a in range(0, n, AT_ONCE)}, (x.shape[1] + 8) * 2.0**-22
 
     def search(self, c: Candidates) -> None:
@@ -206,12 +213,13 @@ class Queries:
             self._search(a, min(a + AT_ONCE, len(self.rows)), c)
 
     def _search(self, a: int, e: int, c: Candidates) -> None:
-        low = np.zeros((len(c.starts), e - a))
+        low, far = np.zeros((len(c.starts), e - a), np.float32), np.empty((len(c.starts), e - a), np.float32)
         for p in range(len(self.table)):
             t = self.table[p, a:e]
-            np.maximum(low, np.maximum(t - c.high[:, p, None], c.low[:, p, None] - t), out=low)
+            np.maximum(low, np.subtract(t, c.high[:, p, None], out=far), out=low)
+            np.maximum(low, np.subtract(c.low[:, p, None], t, out=far), out=low)
         size = self.norm[a:e] ** 2 + c.x2[:, None]
-        low = np.maximum(low - 1e-6 * (1 + low) - 1e-7 * np.sqrt(size), 0)  # rounding can't lift it above the true bound
+        low = np.maximum(low - 1e-6 * (1 + low) - 2 * rounding(self.x.shape[1]) * np.sqrt(size), 0)  # rounding can't lift it above the true bound
         bound = (size - low * low) / 2
         bound += 1e-9 * (np.abs(bound) + size) + 1e-3
         bound = np.maximum(bound, float(_LONG[0]))  # as scores are
@@ -222,7 +230,10 @@ class Queries:
 
     def _slab(self, a: int, at: np.ndarray, c: Candidates, cut: slice, whole: bool) -> None:
         x = c.single[cut]
-        product = (self.single[a : a + len(at)] if whole else self.single[at]) @ x.T
+        if len(self.room) < len(at) * len(x):
+            self.room = np.empty(len(at) * len(x), np.float32)
+        product = self.room[: len(at) * len(x)].reshape(len(at), len(x))
+        np.matmul(self.single[a : a + len(at)] if whole else self.single[at], x.T, out=product)
         new = np.flatnonzero(self.least[at] == -np.inf)
         if len(new):  # the best of this slab are taken first
             self._merge(a)
